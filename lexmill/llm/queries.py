@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from lexmill.llm import simhash
+from lexmill.llm import chat, licenses, simhash
 
 QUERIES = {
+    "op1_license_scan": licenses.op1_license_scan,
     "op5_simhash": simhash.op5_simhash,
+    "op9_chat_format": chat.op9_chat_format,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_license_scan": licenses.oracle(),
+    "op9_chat_format": chat.oracle(),
+}
