@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from lexmill.llm import chat, licenses, simhash
+from lexmill.llm import chat, licenses, packing, recount, simhash, warc
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
+    "op3_pack": packing.op3_pack,
+    "op4_token_counts": recount.op4_token_counts,
     "op5_simhash": simhash.op5_simhash,
+    "op6_warc": warc.op6_warc,
     "op9_chat_format": chat.op9_chat_format,
 }
 
 ORACLE: dict[str, str] = {
     "op1_license_scan": licenses.oracle(),
+    "op6_warc": warc.oracle(),
     "op9_chat_format": chat.oracle(),
 }
