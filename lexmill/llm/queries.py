@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from lexmill.llm import chat, licenses, packing, recount, simhash, warc
+from lexmill.llm import chat, licenses, packing, quality, recount, simhash, toxicity, warc
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
+    "op2_quality": quality.op2_quality,
     "op3_pack": packing.op3_pack,
     "op4_token_counts": recount.op4_token_counts,
     "op5_simhash": simhash.op5_simhash,
     "op6_warc": warc.op6_warc,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op9_chat_format": chat.op9_chat_format,
 }
 
