@@ -22,7 +22,7 @@ from lexmill.llm import logistic
 from lexmill.llm.labelled import held_out, labelled_sample
 
 #: lines of a training chain; longer documents make several chains
-CHAIN, STEPS, RATE, RIDGE = 64, 80, 0.2, 1e-3
+CHAIN, STEPS, RATE, RIDGE = 64, 120, 0.2, 1e-3
 MEASURES = 11
 #: labelled ids of each class for the fit, at most
 SAMPLE = 1500

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexmill.llm import chat, licenses, packing, quality, recount, simhash, toxicity, warc
+from lexmill.llm import chat, decontaminate, licenses, packing, quality, recount, simhash, toxicity, warc
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_simhash": simhash.op5_simhash,
     "op6_warc": warc.op6_warc,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_chat_format": chat.op9_chat_format,
 }
 
