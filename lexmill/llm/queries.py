@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexmill.llm import chat, decontaminate, licenses, packing, quality, recount, simhash, toxicity, warc
+from lexmill.llm import chat, decontaminate, licenses, packing, quality, recount, simhash, toxicity, vectors, warc
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_chat_format": chat.op9_chat_format,
+    "op10_vectors": vectors.op10_vectors,
 }
 
 ORACLE: dict[str, str] = {
