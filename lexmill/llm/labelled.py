@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: labelled ids of each class that a fit may take, at most: those with the smallest hashes
 SAMPLE = 4000
@@ -31,3 +36,19 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(ids, "id")
     got = rows.orderBy(hashed, "text", "y").limit(2 * limit).collect()
     return [r["text"] for r in got], [r["y"] for r in got], tuple(max(1.0, there.get(y, 0) / limit) for y in (0, 1))
+
+
+def rated(docs: DataFrame, rate: Callable[[list[str | None]], np.ndarray], text_col: str = "text", name: str = "score", batch: int = 256) -> DataFrame:
+    """docs with one more column, the rate of each text as a probability; rows keep their partitions and all their columns.
+
+    rate takes texts, null ones too, and returns log-odds. A column of that name is replaced."""
+    src = docs.drop(name)
+    at = src.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            z = [rate(b.column(at).slice(i, batch).to_pylist()) for i in range(0, b.num_rows, batch)]
+            scores = 1 / (1 + np.exp(-np.concatenate(z))) if z else np.empty(0)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], names=[*b.schema.names, name])
+
+    return src.mapInArrow(run, T.StructType([*src.schema.fields, T.StructField(name, T.DoubleType())]))

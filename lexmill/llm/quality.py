@@ -9,17 +9,15 @@ their mean, weighted by line lengths, and is calibrated on documents of the samp
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.llm import logistic
-from lexmill.llm.labelled import held_out, labelled_sample
+from lexmill.llm.labelled import held_out, labelled_sample, rated
 
 #: lines of a training chain; longer documents make several chains
 CHAIN, STEPS, RATE, RIDGE = 64, 120, 0.2, 1e-3
@@ -179,24 +177,14 @@ def train(texts: list[str | None], good: list[int], stands_for: tuple[float, flo
     return model
 
 
-def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score): one row per input row, nothing is shuffled. Null and empty texts are one empty line; without a model all scores are 1."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores: list[float] = []
-            for i in range(0, batch.num_rows, 256):
-                texts = batch.column(1).slice(i, 256).to_pylist()
-                z = model.logits(texts) if model else np.full(len(texts), np.inf)
-                scores += (1 / (1 + np.exp(-z))).tolist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["id", "score"])
-
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string")).mapInArrow(run, "id long, score double")
+def rate(docs: DataFrame, model: Model | None, text_col: str = "text", name: str = "score") -> DataFrame:
+    """docs with a score from 0 to 1 in one more column; nothing is shuffled. Null and empty texts are one empty line; without a model all scores are 1."""
+    return rated(docs, lambda texts: model.logits(texts) if model else np.full(len(texts), np.inf), text_col, name)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     held = held_out("doc_id", 3, 1)
     model = train(*labelled_sample(docs, labels, "quality", ~held, SAMPLE))
-    scored = score(docs, model).withColumnRenamed("id", "doc_id")
+    scored = rate(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))

@@ -12,21 +12,21 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.llm import logistic
-from lexmill.llm.labelled import held_out, labelled_sample
+from lexmill.llm.labelled import held_out, labelled_sample, rated
 
 WINDOW, LENGTHS, LONGEST, LEAST_DOCS, LEAST_Z, LEAST_RATIO, DICTIONARY = 4, (5, 6, 7, 8, 10, 12), 18, 5, 5.0, 4.0, 4096
 #: the key before each window; both dictionaries end with it
 KEY = b" q0w9e8r7t6y5u4i3o2p1 "
 NOISE = 2
+#: labelled ids of each class for the fit, at most
+SAMPLE = 4000
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -96,8 +96,8 @@ class Model:
         over, n = np.maximum(d - NOISE, 0), max(1, len(words))
         return [d.max(), np.sort(d)[-2:].sum(), d.sum() / n, over.sum() / n, math.sqrt(over.sum()), math.sqrt(over.sum() / n), (over > 0).mean(), math.log1p(n)]
 
-    def logits(self, texts: list[str | None], pair: tuple | None = None) -> np.ndarray:
-        pair = pair or self.compressors()
+    def logits(self, texts: list[str | None]) -> np.ndarray:
+        pair = self.compressors()
         x = np.array([self.features(t, pair) for t in texts], dtype=np.float64).reshape(len(texts), -1)
         return logistic.logits(x, self.weights) - self.cut if len(texts) else np.empty(0)
 
@@ -121,21 +121,14 @@ def train(texts: list[str | None], toxic: list[int], stands_for: tuple[float, fl
     return model
 
 
-def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score): one row per input row, nothing is shuffled. Null and empty texts are scored as a window without words; without a model all scores are 0."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = model.compressors() if model else None
-        for batch in batches:
-            z = model.logits(batch.column(1).to_pylist(), pair) if model else np.full(batch.num_rows, -np.inf)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-z)), pa.float64())], names=["id", "score"])
-
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string")).mapInArrow(run, "id long, score double")
+def rate(docs: DataFrame, model: Model | None, text_col: str = "text", name: str = "score") -> DataFrame:
+    """docs with a score from 0 to 1 in one more column; nothing is shuffled. Null and empty texts are scored as a window without words; without a model all scores are 0."""
+    return rated(docs, lambda texts: model.logits(texts) if model else np.full(len(texts), -np.inf), text_col, name)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     held = held_out("doc_id", 5, 0)
-    model = train(*labelled_sample(docs, labels, "toxic", ~held))
-    scored = score(docs, model).withColumnRenamed("id", "doc_id")
+    model = train(*labelled_sample(docs, labels, "toxic", ~held, SAMPLE))
+    scored = rate(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
