@@ -5,8 +5,9 @@ from __future__ import annotations
 import numpy as np
 
 
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(means, scales, weights with the constant last) of a ridge fit on standardised columns."""
+def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1.0, steps: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(means, scales, weights with the constant last) of a ridge fit on standardised columns; weight: rows that each row stands for."""
+    weight = np.ones(len(x)) if weight is None else weight
     mean, scale = x.mean(axis=0), x.std(axis=0)
     scale[scale < 1e-9] = 1.0
     a = np.hstack([(x - mean) / scale, np.ones((len(x), 1))])
@@ -15,7 +16,7 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 40) -> tu
     keep[-1] = 1e-6
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag(keep), a.T @ (y - p) - keep * w)
+        step = np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + np.diag(keep), a.T @ (weight * (y - p)) - keep * w)
         w += step
         if np.abs(step).max() < 1e-6:
             break
@@ -25,15 +26,3 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 40) -> tu
 def logits(x: np.ndarray, model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
     mean, scale, w = model
     return np.clip((x - mean) / scale @ w[:-1] + w[-1], -30, 30)
-
-
-def best_cut(z: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> float:
-    """The logit at which F1 of the label 1 is highest, midway to the next lower value; weight: rows that each row stands for."""
-    order = np.argsort(-z, kind="stable")
-    weight = np.ones(len(z)) if weight is None else weight
-    hits = np.cumsum((y * weight)[order])
-    f1 = 2 * hits / (np.cumsum(weight[order]) + max(1, hits[-1]))
-    last = np.r_[z[order][1:] < z[order][:-1], True]  # a cut can't part equal values
-    k = int(np.argmax(np.where(last, f1, -1)))
-    below = z[order][k + 1] if k + 1 < len(z) else z[order][k] - 1
-    return float((z[order][k] + below) / 2)

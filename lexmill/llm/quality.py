@@ -88,7 +88,6 @@ class Model:
     weights: np.ndarray
     tie: list[list[float]]
     calibration: tuple | None = None
-    cut: float = 0.0
 
     def document(self, docs: list[list[bytes]]) -> np.ndarray:
         """Rows of a document's length-weighted mean marginal, as log-odds, and its least marginal."""
@@ -105,7 +104,7 @@ class Model:
         return np.array(out).reshape(len(docs), -1)
 
     def logits(self, texts: list[str | None]) -> np.ndarray:
-        return logistic.logits(self.document([lines_of(t) for t in texts]), self.calibration) - self.cut if texts else np.empty(0)
+        return logistic.logits(self.document([lines_of(t) for t in texts]), self.calibration) if texts else np.empty(0)
 
 
 def _fit(docs: list[list[bytes]], y: np.ndarray, weight: np.ndarray) -> Model:
@@ -171,9 +170,7 @@ def train(texts: list[str | None], good: list[int], stands_for: tuple[float, flo
     weight = np.where(y == 1, 1 / max(1, (y == 1).sum()), 1 / max(1, (y == 0).sum())) * len(y)
     model = _fit([d for d, out in zip(docs, part) if not out], y[~part], weight[~part])
     x = model.document([d for d, out in zip(docs, part) if out])
-    model.calibration = logistic.fit(x, y[part])
-    z = logistic.logits(x, model.calibration)
-    model.cut = -logistic.best_cut(-z, 1 - y[part], np.where(y[part] == 1, stands_for[1], stands_for[0]))
+    model.calibration = logistic.fit(x, y[part], np.where(y[part] == 1, stands_for[1], stands_for[0]))
     return model
 
 

@@ -5,7 +5,7 @@ that its class's documents have far oftener than the other's. A text is cut into
 window is compressed with either dictionary; the difference of the two lengths says how many bytes the toxic
 dictionary saves. Literals aren't entropy-coded and every window starts with a key that both dictionaries end with, so
 a window's length has no cost of its own for a first match. The differences' sums, maxima and counts are calibrated on
-labelled documents that the dictionaries didn't see, and the threshold of the score is put at 0.5.
+labelled documents that the dictionaries didn't see, so that the score is a probability and its threshold 0.5.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from lexmill.llm import logistic
 from lexmill.llm.labelled import held_out, labelled_sample, rated
 
-WINDOW, LENGTHS, LONGEST, LEAST_DOCS, LEAST_Z, LEAST_RATIO, DICTIONARY = 4, (5, 6, 7, 8, 10, 12), 18, 5, 5.0, 4.0, 4096
+WINDOW, LENGTHS, LONGEST, LEAST_DOCS, LEAST_RATIO, DICTIONARY = 4, (5, 6, 7, 8, 10, 12), 18, 5, 4.0, 4096
 #: the key before each window; both dictionaries end with it
 KEY = b" q0w9e8r7t6y5u4i3o2p1 "
 NOISE = 2
@@ -43,19 +44,33 @@ def _beginnings(words: list[bytes]) -> set[bytes]:
     return out
 
 
+def _apart(docs: list[list[bytes]]) -> list[list[bytes]]:
+    """The documents without copies and near copies, which would count a text's own words again and again: of those that share one of three least run hashes, the first."""
+    seen: set[tuple[int, int]] = set()
+    out = []
+    for words in docs:
+        runs = [crc32(b" ".join(words[i : i + 4])) for i in range(max(1, len(words) - 3))]
+        marks = {(m, min((r * m) & 0xFFFFFFFF for r in runs)) for m in (1, 0x9E3779B1, 0x85EBCA77)}
+        if not marks & seen:
+            out.append(words)
+        seen |= marks
+    return out
+
+
 def _distinctive(own: list[list[bytes]], other: list[list[bytes]]) -> bytes:
-    """A raw dictionary: the strings whose share of documents is higher by LEAST_Z standard errors and LEAST_RATIO times, the surest last."""
+    """A raw dictionary: the strings whose share of documents is higher LEAST_RATIO times and by some standard errors (more of them where more documents try more strings), the surest last."""
     a, b = Counter(), Counter()
     for words in own:
         a.update(_beginnings(words))
     for words in other:
         b.update(_beginnings(words))
     n, m, scored = len(own), len(other), []
+    least = 3.25 + 0.5 * math.log10(n)
     for s, k in a.items():
         if k >= LEAST_DOCS:
             p, q = (k + 0.5) / (n + 1), (b[s] + 0.5) / (m + 1)
             z = (p - q) / math.sqrt(p * (1 - p) / n + q * (1 - q) / m)
-            if z >= LEAST_Z and p >= LEAST_RATIO * q:
+            if p >= LEAST_RATIO * q and z >= least:
                 scored.append((-z, s))
     out: list[bytes] = []
     size = 0
@@ -73,7 +88,6 @@ class Model:
     toxic: bytes
     ordinary: bytes
     weights: tuple | None = None
-    cut: float = 0.0
 
     def compressors(self) -> tuple:
         import zstandard as zs
@@ -99,25 +113,24 @@ class Model:
     def logits(self, texts: list[str | None]) -> np.ndarray:
         pair = self.compressors()
         x = np.array([self.features(t, pair) for t in texts], dtype=np.float64).reshape(len(texts), -1)
-        return logistic.logits(x, self.weights) - self.cut if len(texts) else np.empty(0)
+        return logistic.logits(x, self.weights) if len(texts) else np.empty(0)
 
 
 def train(texts: list[str | None], toxic: list[int], stands_for: tuple[float, float] = (1.0, 1.0)) -> Model | None:
     """Dictionaries from two thirds of the documents, calibration on the rest; None without documents of both classes.
 
-    stands_for: how many labelled rows of each class a sampled one stands for, when the threshold is chosen."""
+    stands_for: how many labelled rows of each class a sampled one stands for, so that 0.5 is where either class is as likely."""
     y = np.array(toxic)
     part = np.arange(len(y)) % 3 == 2
     words = [tokens(t) for t in texts]
     pick = lambda label: [w for w, t, out in zip(words, y, part) if t == label and not out]
-    bad, good = pick(1), pick(0)
+    bad, good = _apart(pick(1)), _apart(pick(0))
     if not bad or not good or len(set(y[part])) < 2:
         return None
     model = Model(_distinctive(bad, good), _distinctive(good, bad))
     pair = model.compressors()
     x = np.array([model.features(t, pair) for t, out in zip(texts, part) if out])
-    model.weights = logistic.fit(x, y[part])
-    model.cut = logistic.best_cut(logistic.logits(x, model.weights), y[part], np.where(y[part] == 1, stands_for[1], stands_for[0]))
+    model.weights = logistic.fit(x, y[part], np.where(y[part] == 1, stands_for[1], stands_for[0]))
     return model
 
 
