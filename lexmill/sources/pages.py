@@ -10,10 +10,10 @@ from functools import reduce
 from operator import and_, or_
 from urllib.parse import urljoin
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lexmill import schemas
 from lexmill.sources.dom import Element, classed, parse, tagged
@@ -45,15 +45,18 @@ def links(pages: DataFrame, html: str = "html") -> DataFrame:
     return pages.withColumn("link", F.explode(F.regexp_extract_all(html, F.lit('href="([^"]*)"'), 1)))
 
 
-def _rows(df: DataFrame, schema: T.StructType, make: Callable[[str, str], dict | None]) -> DataFrame:
+def _rows(df: DataFrame, schema: schemas.Schema, make: Callable[[str, str], dict | None]) -> DataFrame:
     """One dictionary per row of (url, html); None leaves the row out."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    struct = schema.struct()
+    arrow = to_arrow_schema(struct)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [r for u, h in zip(batch["u"], batch["h"]) if (r := make(u, h)) is not None]
-            yield pd.DataFrame({n: [r.get(n) for r in made] for n in schema.names}, dtype=object)
+            made = (make(u.as_py(), h.as_py()) for u, h in zip(*batch.columns))
+            yield pa.RecordBatch.from_pylist([r for r in made if r is not None], schema=arrow)
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, struct)
 
 
 def document_page(url: str, html: str | None) -> dict:
@@ -121,7 +124,7 @@ def detail_page(url: str, html: str | None) -> dict | None:
     return got | {"title": got["title"] or "", "date": _listed(got["date"]), "sourceUrl": url, "fileUrls": list(dict.fromkeys(files))}
 
 
-def _parsed(pages: DataFrame, schema: T.StructType, make, url: str, html: str) -> DataFrame:
+def _parsed(pages: DataFrame, schema: schemas.Schema, make, url: str, html: str) -> DataFrame:
     return _rows(pages.select(F.col(url).cast("string").alias("u"), F.col(html).cast("string").alias("h")), schema, make)
 
 
