@@ -111,9 +111,10 @@ class Model:
         return [d.max(), np.sort(d)[-2:].sum(), d.sum() / n, over.sum() / n, math.sqrt(over.sum()), math.sqrt(over.sum() / n), (over > 0).mean(), math.log1p(n)]
 
     def logits(self, texts: list[str | None]) -> np.ndarray:
+        if not texts:
+            return np.empty(0)
         pair = self.compressors()
-        x = np.array([self.features(t, pair) for t in texts], dtype=np.float64).reshape(len(texts), -1)
-        return logistic.logits(x, self.weights) if len(texts) else np.empty(0)
+        return logistic.logits(np.array([self.features(t, pair) for t in texts], dtype=np.float64), self.weights)
 
 
 def train(texts: list[str | None], toxic: list[int], stands_for: tuple[float, float] = (1.0, 1.0)) -> Model | None:
