@@ -3,9 +3,9 @@
 A text is lower-cased (A-Z), split at ASCII white space and cut into word shingles, repeats included; a bit of its
 fingerprint is 1 if more than half of the shingles' XXH64 values have it set.
 
-Search: a fingerprint is cut into tau + 1 segments on a ring. If two fingerprints differ in at most tau bits, there is
-a start segment from which every chain of l segments differs in at most floor(l * tau / (tau + 1)) bits. The budgets of
-the chains of one and two segments are 0 and 1, so the first two segments of the chain are the join key: one side has
+Search: a fingerprint is cut into tau + 1 segments on a ring (three at least). If two fingerprints differ in at most tau bits, there is
+a start segment from which every chain of l segments differs in at most floor(l * tau / segments) bits. The budgets of
+the chains of one and two segments are 0 and 1 at most, so the first two segments of the chain are the join key: one side has
 its own value, the other all values at most one bit away in the second segment. Candidates that meet in a key are
 tested against the budgets of the longer chains, and what is left by the full Hamming distance. Rows per fingerprint
 are fixed, whatever the group sizes; equal fingerprints are one class and are never paired.
@@ -79,8 +79,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def segments(tau: int) -> list[tuple[int, int]]:
-    """(first bit, width) of each of tau + 1 segments."""
-    cuts = [i * BITS // (tau + 1) for i in range(tau + 2)]
+    """(first bit, width) of each of tau + 1 segments, three at least, so that two fit into a key."""
+    n = max(3, tau + 1)
+    cuts = [i * BITS // n for i in range(n + 1)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
