@@ -102,8 +102,7 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lineitem as edges from orders to orders (the part's number taken as an order's)."""
     li = table(spark, sf_dir, "lineitem")
     kind = authority.first_rule([(F.col("l_returnflag") == "R", "repeals"), (F.col("l_returnflag") == "A", "amends")], "cites")
-    # numbers don't identify a line: equal lines are told apart by their amounts
-    return li.select(
+    return li.select(  # a line's numbers don't identify it; its amount and day tell equal ones apart
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_extendedprice").cast("decimal(18,2)"), F.col("l_shipdate").cast("date")).alias("id"),
         F.col("l_orderkey").cast("string").alias("source_document_id"), F.col("l_partkey").cast("string").alias("target_document_id"), kind.alias("reference_type"),
         F.when(F.col("l_linestatus") == "F", "replace").alias("change_type"), F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("raw_citation_text"),
@@ -262,9 +261,8 @@ def folder_rollup(spark, sf_dir):
 
 @query("select p_partkey, p_name, p_brand, 0.0::double as score from part where lower(trim(p_brand)) = 'brand#7' and p_size >= 10 order by p_size desc, p_partkey limit 1")
 def best_match(spark, sf_dir):
-    p = table(spark, sf_dir, "part").withColumns({"citation": F.concat(F.col("p_brand"), F.lit(" ")), "title": F.col("p_name"), "date": F.format_string("%02d/01/2020", F.when(F.col("p_size") >= 10, F.col("p_size"))), "position": F.col("p_partkey")})
-    # days over 31 aren't dates, so they are spread over the years instead
-    p = p.withColumn("date", F.when(F.col("p_size") >= 10, F.format_string("01/01/%04d", F.col("p_size") + 1900)))
+    day = F.when(F.col("p_size") >= 10, F.format_string("01/01/%04d", F.col("p_size") + 1900))  # small parts have no date
+    p = table(spark, sf_dir, "part").withColumns({"citation": F.concat(F.col("p_brand"), F.lit(" ")), "title": F.col("p_name"), "date": day, "position": F.col("p_partkey")})
     return corpus.best_match(p, citation="brand#7", date_from="1900-01-01").select("p_partkey", "p_name", "p_brand", "score")
 
 

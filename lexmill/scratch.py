@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
@@ -36,7 +37,7 @@ def remove(spark: SparkSession, path: str) -> None:
         jvm = spark._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # noqa: BLE001  the session may be gone at exit
+    except (Py4JError, OSError, AttributeError):  # the session is gone
         pass
 
 
