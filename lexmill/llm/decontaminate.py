@@ -27,9 +27,11 @@ SHORT = 14
 #: share of an item's words that may be edited
 EDITS = 0.2
 #: characters of items that one pass over the texts holds in memory, at most; more items make more passes
-ITEM_CHARS = 8_000_000
+ITEM_CHARS = 2_000_000
 CHUNK_WORDS = 1 << 16
 BLOCK = 1 << 14
+#: low bits of a word's number that tell it from an item's other words; candidates that are held against them at once
+MEMBER_MASK, CANDIDATES, SHIFT = (1 << 12) - 1, 1 << 14, 1 << 20
 _CLEAN = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
 
 
@@ -97,7 +99,11 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str | None]], edits: float = EDITS) -> None:
         self.items = [(i, symbols(w)) for i, t in items if (w := words_of(t))]
-        self.edits = edits
+        self.sizes = np.array([len(x) for _, x in self.items], dtype=np.int64)
+        self.allowed = (self.sizes * edits).astype(np.int64)
+        self.members = np.zeros((len(self.items), MEMBER_MASK + 1), dtype=bool)
+        for k, (_, x) in enumerate(self.items):
+            self.members[k, x & MEMBER_MASK] = True
         self.by_size: dict[int | None, list] = {}
         groups: dict[int | None, list[int]] = {}
         for k, (_, s) in enumerate(self.items):
@@ -121,9 +127,10 @@ class Index:
                 tables.append((keys, owners[order], offsets[order], seen))
             self.by_size[size] = [bits, tables]
 
-    def candidates(self, s: np.ndarray, starts: np.ndarray) -> set[tuple[int, int]]:
-        """(item, start of s that its first word is aligned with) of all windows that agree in a table."""
-        out: set[tuple[int, int]] = set()
+    def candidates(self, s: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(items, starts of s that their first words are aligned with) of all windows that agree in a table and whose
+        surroundings hold enough of the item's words."""
+        found = []
         for size, (bits, tables) in self.by_size.items():
             sigs = signatures(s, starts, size)
             for t, (keys, owners, offsets, seen) in enumerate(tables):
@@ -131,10 +138,24 @@ class Index:
                 if not len(at):
                     continue
                 lo, hi = np.searchsorted(keys, sigs[t][at], "left"), np.searchsorted(keys, sigs[t][at], "right")
-                for p, a, b in zip(starts[at].tolist(), lo.tolist(), hi.tolist()):
-                    for k in range(a, b):
-                        out.add((int(owners[k]), p - int(offsets[k])))
-        return out
+                n = hi - lo
+                hit = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                found.append((owners[hit] << 40) + np.repeat(starts[at], n) - offsets[hit] + SHIFT)
+        if not found:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        both = np.unique(np.concatenate(found))
+        item, place = both >> 40, (both & ((1 << 40) - 1)) - SHIFT
+        keep = np.zeros(len(item), dtype=bool)
+        for i in range(0, len(item), CANDIDATES):
+            k, p = item[i : i + CANDIDATES], place[i : i + CANDIDATES]
+            n, allowed = self.sizes[k], self.allowed[k]
+            first, last = np.maximum(p - allowed - 1, 0), np.minimum(p + n + allowed + 1, len(s))
+            held = np.zeros(len(k), dtype=np.int64)
+            for j in range(int((last - first).max())):
+                at = np.minimum(first + j, len(s) - 1)
+                held += self.members[k, s[at] & MEMBER_MASK] & (first + j < last)
+            keep[i : i + CANDIDATES] = held >= n - allowed  # each edit spoils one of the item's words at most
+        return item[keep], place[keep]
 
     def matches(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, int, int, int]]:
         """(number of the text, item id, distance, words of the item, first word, last word) of the best place of each item within the allowed distance, over whole texts."""
@@ -157,13 +178,14 @@ class Index:
         starts = np.flatnonzero(s)
         for i in range(0, len(starts), BLOCK):
             block = starts[i : i + BLOCK]
-            for k, p in self.candidates(s, block):
-                pass_at = np.searchsorted(begins, p + len(self.items[k][1]) // 2, "right") - 1
-                found.setdefault((int(max(0, pass_at)), k), []).append(p)
+            items, places = self.candidates(s, block)
+            texts = np.maximum(0, np.searchsorted(begins, places + self.sizes[items] // 2, "right") - 1)
+            for d, k, p in zip(texts.tolist(), items.tolist(), places.tolist()):
+                found.setdefault((d, k), []).append(p)
         for (d, k), places in sorted(found.items()):
             item_id, item = self.items[k]
             lo, hi = start[d], (start[d + 1] if d + 1 < len(start) else len(s)) - DEPTH
-            allowed, n, best = int(self.edits * len(item)), len(item), None
+            allowed, n, best = int(self.allowed[k]), len(item), None
             slack, places = allowed + 1, sorted(set(places))
             runs = [[places[0], places[0]]]
             for p in places[1:]:
@@ -174,7 +196,7 @@ class Index:
             for a, b in runs:
                 first, last = max(lo, a - slack), min(hi, b + n + slack)
                 region = s[first:last]
-                if np.isin(item, region).sum() < n - allowed:  # each edit removes at most one of the item's words
+                if np.isin(item, region).sum() < n - allowed:
                     continue
                 dist, x, y = edit_place(item, region)
                 if dist <= allowed and (best is None or dist < best[0]):
