@@ -27,7 +27,7 @@ WINDOW, LENGTHS, LONGEST, LEAST_DOCS, LEAST_RATIO, DICTIONARY = 4, (5, 6, 7, 8,
 KEY = b" q0w9e8r7t6y5u4i3o2p1 "
 NOISE = 2
 #: labelled ids of each class for the fit, at most
-SAMPLE = 4000
+SAMPLE = 2500
 
 
 def tokens(text: str | None) -> list[bytes]:
