@@ -2,12 +2,38 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.scratch import written
 
 
+#: edges that one task may join by union-find; more take the distributed steps
+LOCAL_EDGES = 200_000
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of all edges of a partition."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = top(up.setdefault(u, u)), top(up.setdefault(v, v))
+            if a != b:
+                up[max(a, b)] = min(a, b)
+    nodes = list(up)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([top(x) for x in nodes], pa.int64())], names=["node", "root"])
+
+
 def _star(edges: DataFrame, both_ways: bool) -> DataFrame:
     """One step: every node hands the least of its neighbours (itself included) to its larger neighbours, or all of them.
 
@@ -23,16 +49,19 @@ def _star(edges: DataFrame, both_ways: bool) -> DataFrame:
     return out.distinct()
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(node, root): for each node of an edge with two different ends, the smallest node it reaches.
 
-    Nulls and loops are no edges. Each round writes its edges to the shared folder, so lineage stays short and no edge
-    list or label map is collected."""
+    Nulls and loops are no edges. Different edges are counted first: up to ``local_edges`` of them, a few megabytes, are
+    joined in one task, which saves the rounds. More are joined by rounds of distributed steps, each written to the
+    shared folder, so lineage stays short. Neither edges nor labels ever come to the driver; both ways agree."""
     cur = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter(F.col(a).isNotNull() & F.col(b).isNotNull()).filter("u > v").distinct()
     cur, mark = written(cur, "edges"), None
     while True:
         now = tuple(cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == mark or not now[0]:
+        if now[0] <= local_edges:
+            return written(cur.coalesce(1).mapInArrow(_forest, "node long, root long"), "roots")
+        if now == mark:
             return cur.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(cur.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         mark = now
         cur = written(_star(_star(cur, True), False), "edges")

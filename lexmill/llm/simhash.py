@@ -164,7 +164,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     joined = connected_components(first, "x", "y")
     rest = pairs.join(joined.select(F.col("node").alias("x"), F.col("root").alias("rx")), "x", "left").join(joined.select(F.col("node").alias("y"), F.col("root").alias("ry")), "y", "left")
     rest = written(rest.filter("rx is null or ry is null or rx <> ry").join(first, ["x", "y"], "left_anti").select("x", "y"), "candidates")
-    links = connected_components(first.unionByName(_verified(docs, id_col, text_col, words, similarity, rest)), "x", "y").withColumnRenamed("node", "least")
+    more = written(_verified(docs, id_col, text_col, words, similarity, rest), "close")
+    links = joined if more.isEmpty() else connected_components(joined.select(F.col("node").alias("x"), F.col("root").alias("y")).unionByName(more), "x", "y")
+    links = links.withColumnRenamed("node", "least")
     least = reps.select(*names, F.col("id").alias("least")).join(links, "least", "left").select(*names, F.coalesce("root", "least").alias("component_id"))
     return fps.join(written(least, "classes"), names, "left").select("id", F.coalesce("component_id", "id").alias("component_id"))
 

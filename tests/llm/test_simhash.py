@@ -91,7 +91,8 @@ def test_connected_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(60)] + [(2000, 2000 + i) for i in range(50)] + [(5, None), (7, 7)]
     real = [(a, b) for a, b in edges if b is not None and a != b]
-    got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     nodes = {x for e in real for x in e}
-    assert got == groups(nodes, real)
+    for local in (0, 10**6):
+        got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "a long, b long"), local_edges=local).collect()}
+        assert got == groups(nodes, real)
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
