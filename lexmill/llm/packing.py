@@ -26,6 +26,8 @@ from lexmill.scratch import written
 CAPACITY, SEPARATOR = 1024, 2
 #: rows of a plan that may be broadcast; a longer plan is joined by a shuffle
 PLAN_ROWS = 200_000
+#: pieces of a bucket of ranks, at least; the square root of a length's pieces beyond that
+BUCKET = 256
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, separator: int = SEPARATOR, vocabulary: str = DEFAULT, with_ids: bool = True) -> DataFrame:
@@ -168,7 +170,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, groups: int = 512) -> DataFra
     size: a window ranks within a bucket, and a running sum over the buckets' counts gives each bucket's first rank."""
     spark = cut.sparkSession
     counted = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
-    buckets = {n: -(-k // max(2000, int(k**0.5))) for n, k in counted.items()}
+    buckets = {n: -(-k // max(BUCKET, int(k**0.5))) for n, k in counted.items()}
     of = F.broadcast(spark.createDataFrame([(n, b) for n, b in buckets.items()], "length long, buckets long"))
     dealt = cut.join(of, "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), "buckets")).drop("buckets")
     sums = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))

@@ -119,7 +119,8 @@ def verified(fields: dict[str, str], block: bytes) -> dict:
 def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0) -> DataFrame:
     """(path, n_records, n_bytes): the archives' files. One record per row; null html is an empty payload.
 
-    Of rows with equal payloads of at least min_bytes bytes, one with the smallest id (nulls last) is the response.
+    Of rows with equal payloads of at least min_bytes bytes, those with the smallest id are the response, and others
+    revisit it; rows with null ids are always responses.
     Each attempt of a task writes files of its own, and only those of the attempt that ended well are listed. Pages
     keep their partitions if the revisits are few enough to be broadcast; else they are joined by a shuffle."""
     spark = pages.sparkSession
