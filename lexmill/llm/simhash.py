@@ -13,21 +13,25 @@ are fixed, whatever the group sizes; equal fingerprints are one class and are ne
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lexmill.llm.components import connected_components
 from lexmill.scratch import written
 
 BITS = 64
 _BLOCK = 1 << 16
-#: odd multipliers that derive further fingerprints from the same shingle hashes
-_MIX = (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+#: for the order of shingles: texts of the sample, texts of it that share a common shingle at least, common shingles kept
+SAMPLE, COMMON, LISTED = 20_000, 3, 200_000
+#: texts of a key that each text is held against before all others are
+NEIGHBOURS = 4
+#: longs of parity bits per text
+PARITY = 16
 
 
 def shingle_hashes(text: str | None, words: int, seed: int = 42) -> np.ndarray:
@@ -46,36 +50,25 @@ def shingle_hashes(text: str | None, words: int, seed: int = 42) -> np.ndarray:
     return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, ends[words - 1 :].tolist())), dtype="<u8", count=len(parts) - words + 1)
 
 
-def fingerprint(hashes: np.ndarray, mix: int = 1) -> int:
+def fingerprint(hashes: np.ndarray) -> int:
     """The majority bits as a signed 64-bit number; 0 without shingles."""
     if not len(hashes):
         return 0
-    h = hashes
-    if mix != 1:
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(mix)
-        h = h ^ (h >> np.uint64(32))
     ones = np.zeros(BITS, dtype=np.int64)
-    for i in range(0, len(h), _BLOCK):
-        ones += np.unpackbits(h[i : i + _BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<i8")[0])
+    for i in range(0, len(hashes), _BLOCK):
+        ones += np.unpackbits(hashes[i : i + _BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42, repeats: int = 1) -> DataFrame:
-    """(id, fp, fp2, ...): ``repeats`` independent fingerprints per row. Null and empty texts: 0. One row per input row."""
-    names = ["fp", *(f"fp{i}" for i in range(2, repeats + 1))]
-    schema = T.StructType([T.StructField("id", T.LongType()), *(T.StructField(n, T.LongType()) for n in names)])
-    mixes = _MIX[:repeats]
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42) -> DataFrame:
+    """(id, fp). Null and empty texts: 0. One row per input row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for text in batch.column(1):
-                h = shingle_hashes(text.as_py(), words, seed)
-                rows.append([fingerprint(h, m) for m in mixes])
-            cols = list(zip(*rows)) if rows else [[] for _ in mixes]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols)], names=["id", *names])
+            fps = [fingerprint(shingle_hashes(text.as_py(), words, seed)) for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, fp long")
 
 
 def segments(tau: int) -> list[tuple[int, int]]:
@@ -142,33 +135,113 @@ def _labelled(fps: DataFrame, links: DataFrame) -> DataFrame:
     return fps.join(names, "fp").select("id", "fp", "component_id")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, tau: int = 5, repeats: int = 2, similarity: float = 0.8) -> DataFrame:
-    """(id, component_id) under word shingles with an exact check.
-
-    Texts with equal fingerprints in all repeats are one class. Classes whose fingerprints of any repeat are at most
-    tau bits apart are candidates, and are linked if the Jaccard similarity of their representatives' shingle sets is at
-    least ``similarity``. The representative is the row with the smallest id."""
-    names = ["fp", *(f"fp{i}" for i in range(2, repeats + 1))]
-    fps = written(fingerprints(docs, id_col, text_col, words, repeats=repeats), "fps")
-    reps = written(fps.groupBy(*names).agg(F.min("id").alias("id")).filter("id is not null"), "reps")
-    pairs = None
-    for n in names:
-        near = near_pairs(reps, tau, n).unionByName(reps.groupBy(n).agg(F.count("*").alias("k")).filter("k > 1").select(F.col(n).alias("a"), F.col(n).alias("b")))
-        left, right = reps.select(F.col(n).alias("a"), F.col("id").alias("x")), reps.select(F.col(n).alias("b"), F.col("id").alias("y"))
-        found = near.join(left, "a").join(right, "b").filter("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-        pairs = found if pairs is None else pairs.unionByName(found)
-    pairs = written(pairs.distinct(), "candidates")
-    # A hot group has many candidate pairs. Each text is first held against its smallest partner alone; pairs that this
-    # has joined already can't change the classes, and all others are then checked.
-    first = written(_verified(docs, id_col, text_col, words, similarity, pairs.groupBy("y").agg(F.min("x").alias("x"))), "close")
-    joined = connected_components(first, "x", "y")
-    rest = pairs.join(joined.select(F.col("node").alias("x"), F.col("root").alias("rx")), "x", "left").join(joined.select(F.col("node").alias("y"), F.col("root").alias("ry")), "y", "left")
-    rest = written(rest.filter("rx is null or ry is null or rx <> ry").join(first, ["x", "y"], "left_anti").select("x", "y"), "candidates")
-    more = written(_verified(docs, id_col, text_col, words, similarity, rest), "close")
-    links = joined if more.isEmpty() else connected_components(joined.select(F.col("node").alias("x"), F.col("root").alias("y")).unionByName(more), "x", "y")
-    links = links.withColumnRenamed("node", "least")
-    least = reps.select(*names, F.col("id").alias("least")).join(links, "least", "left").select(*names, F.coalesce("root", "least").alias("component_id"))
-    return fps.join(written(least, "classes"), names, "left").select("id", F.coalesce("component_id", "id").alias("component_id"))
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, component_id): component_id is the smallest id reachable over links, pairs of texts whose distinct word
+    shingles have at least that Jaccard similarity.
+
+    No link is lost: texts with equal shingle sets (told by a 128-bit digest) are one class, and the classes' smallest
+    ids are joined by prefix filter. With the shingles of every text in one order, two texts at the similarity share
+    one of their first size - ceil(similarity * size) + 1, so those are the join keys. What comes of a key is cut only
+    by bounds that no link breaks (sizes, places in the order, parity bits) and then verified by exact intersection.
+    The order puts shingles that are frequent in a sample last; it decides the work, not the result.
+
+    A hot key would meet itself in pairs. Its texts are first held against a few neighbours alone, by size and then in
+    random order; then all pairs of a key that these links haven't joined are tried.
+    Rows with null ids link with nothing but equal sets; rows of one id are one node."""
+    prefixes = written(_prefixes(docs, id_col, text_col, words, similarity), "prefixes")
+    classes = written(prefixes.groupBy("d1", "d2").agg(F.min("id").alias("least")), "classes")
+    firsts = classes.filter("least is not null").select("d1", "d2", F.col("least").alias("id"))
+    reps = written(prefixes.join(firsts, ["d1", "d2", "id"], "left_semi").filter("size > 0").select("id", "size", "bits", "prefix"), "reps")
+    key = Window.partitionBy("key")
+    lists = reps.select("id", "size", F.posexplode("prefix").alias("place", "key")).withColumn("n", F.count("*").over(key))
+    lists = written(lists.filter("n > 1").select("key", "id", "size", "place"), "lists")
+    links = None
+    for order in (["size", "place", "id"], [F.xxhash64("id", "key"), "id"]):
+        by, own = key.orderBy(*order), F.struct("id", "size", "place", "root")
+        met = _open(lists, links).withColumn("near", F.array(*(F.lag(own, i).over(by) for i in range(1, NEIGHBOURS + 1)))).withColumn("f", F.explode("near")).filter("root <> f.root")
+        pairs = _possible(met.select("id", "size", "place", F.col("f.id").alias("id2"), F.col("f.size").alias("size2"), F.col("f.place").alias("place2")), similarity)
+        links = _more_links(docs, id_col, text_col, words, similarity, reps, pairs, links)
+    left = written(_open(lists, links), "open")
+    right = left.select("key", *(F.col(c).alias(f"{c}2") for c in ("id", "size", "place", "root")))
+    pairs = _possible(left.join(right, "key").filter("id < id2 and root <> root2"), similarity)
+    links = _more_links(docs, id_col, text_col, words, similarity, reps, pairs, links)
+    named = classes.join(links.select(F.col("node").alias("least"), "root"), "least", "left").select("d1", "d2", F.coalesce("root", "least").alias("component_id"))
+    return prefixes.select("id", "d1", "d2").join(written(named, "named"), ["d1", "d2"]).select("id", "component_id")
+
+
+def _open(lists: DataFrame, links: DataFrame | None) -> DataFrame:
+    """The rows of keys whose texts aren't all joined yet, with the texts' roots."""
+    if links is None:
+        return lists.withColumn("root", F.col("id"))
+    key = Window.partitionBy("key")
+    rooted = lists.join(links.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    return rooted.withColumns({"low": F.min("root").over(key), "high": F.max("root").over(key)}).filter("low <> high").drop("low", "high")
+
+
+def _possible(met: DataFrame, similarity: float) -> DataFrame:
+    """(x, y) of the met pairs that sizes and places allow. A link's first shared key passes, whatever becomes of its others."""
+    need = F.lit(similarity / (1 + similarity) - 1e-9) * (F.col("size") + F.col("size2"))
+    rest = F.least(F.col("size") - F.col("place"), F.col("size2") - F.col("place2"))
+    return met.filter(rest >= need).select(F.least("id", "id2").alias("x"), F.greatest("id", "id2").alias("y")).filter("x < y").distinct()
+
+
+def _more_links(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float, reps: DataFrame, pairs: DataFrame, links: DataFrame | None) -> DataFrame:
+    """links (node, root), joined further by those of the pairs that are similar.
+
+    Bits that differ in parity are shingles of one set alone, so more of them than a link can have rule a pair out."""
+    x, y = (reps.select(F.col("id").alias(c), F.col("size").alias(f"n{c}"), F.col("bits").alias(f"b{c}")) for c in "xy")
+    apart = sum((F.bit_count(F.col("bx")[i].bitwiseXOR(F.col("by")[i])) for i in range(PARITY)), F.lit(0))
+    may = F.lit((1 - similarity) / (1 + similarity) + 1e-9) * (F.col("nx") + F.col("ny"))
+    pairs = written(pairs.join(x, "x").join(y, "y").filter(apart <= may).select("x", "y").distinct(), "candidates")
+    close = written(_verified(docs, id_col, text_col, words, similarity, pairs), "close")
+    if links is not None:
+        close = links.select(F.col("node").alias("x"), F.col("root").alias("y")).unionByName(close)
+    return connected_components(close, "x", "y")
+
+
+def _common(docs: DataFrame, id_col: str, text_col: str, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several texts of a sample share, sorted, and how many do."""
+    every = max(1, docs.count() // SAMPLE)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter(F.pmod(F.xxhash64("id"), F.lit(every)) == 0)
+    counts = shingle_sets(texts, words).select(F.explode("s").alias("h")).groupBy("h").agg(F.count("*").alias("n")).filter(f"n >= {COMMON}")
+    table = counts.orderBy(F.desc("n"), "h").limit(LISTED).toArrow()
+    h, n = (table.column(c).to_numpy() for c in ("h", "n"))
+    h = h.astype("<i8").view("<u8")
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def _prefixes(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
+    """(id, d1, d2, size, bits, prefix) per row: digest and size of the set of shingles, parities of the numbers of
+    shingles that fall on each of PARITY * 64 bits, and the first shingles in order."""
+    common = docs.sparkSession.sparkContext.broadcast(_common(docs, id_col, text_col, words))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        known, counts = common.value
+        for batch in batches:
+            digests, sizes, bits, prefixes = [], [], [], []
+            for text in batch.column(1):
+                s = np.unique(shingle_hashes(text.as_py(), words))
+                digests.append(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), dtype="<i8"))
+                sizes.append(len(s))
+                odd = np.bincount((s % np.uint64(PARITY * 64)).astype(np.int64), minlength=PARITY * 64) & 1
+                bits.append(np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8"))
+                often = np.zeros(len(s), dtype=np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                    often = np.where(known[at] == s, counts[at], 0)
+                first = len(s) - math.ceil(similarity * len(s) - 1e-9) + 1
+                prefixes.append(s[np.argsort(often, kind="stable")[:first]].view("<i8"))
+            d = np.array(digests, dtype=np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(sizes, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(prefixes, pa.list_(pa.int64()))],
+                names=["id", "d1", "d2", "size", "bits", "prefix"],
+            )
+
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return texts.mapInArrow(run, "id long, d1 long, d2 long, size long, bits array<long>, prefix array<long>")
 
 
 def _verified(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float, pairs: DataFrame) -> DataFrame:

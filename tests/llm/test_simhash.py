@@ -96,3 +96,29 @@ def test_connected_components(spark):
         got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "a long, b long"), local_edges=local).collect()}
         assert got == groups(nodes, real)
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def similarity(a, b):
+    x, y = ({tuple(p[i : i + 5]) for i in range(max(1, len(p) - 4))} for p in (a.lower().split(), b.lower().split()))
+    return len(x & y) / len(x | y)
+
+
+def test_near_duplicates_lose_no_link(spark):
+    rng = random.Random(5)
+    vocab = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(2000)]
+    texts = []
+    for size in (12, 40, 150, 400) * 6:
+        base = rng.choices(vocab, k=size)
+        for _ in range(8):
+            edited = list(base)
+            for _ in range(rng.randrange(max(2, size // 30))):
+                edited[rng.randrange(size)] = rng.choice(vocab)
+            texts.append(" ".join(edited[rng.randrange(3) :]))
+    notice = " ".join(rng.choices(vocab, k=60))
+    texts += [f"{notice} {' '.join(rng.choices(vocab, k=rng.randrange(3, 30)))}" for _ in range(60)]
+    found = {p: similarity(texts[p[0]], texts[p[1]]) for p in itertools.combinations(range(len(texts)), 2)}
+    links = [p for p, s in found.items() if s >= 0.8]
+    assert sum(found[p] < 0.85 for p in links) > 20 and sum(0.7 < s < 0.8 for s in found.values()) > 20
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["id"]: r["component_id"] for r in simhash.near_duplicates(df).collect()}
+    assert got == groups(range(len(texts)), links)
