@@ -122,3 +122,14 @@ def test_near_duplicates_lose_no_link(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["id"]: r["component_id"] for r in simhash.near_duplicates(df).collect()}
     assert got == groups(range(len(texts)), links)
+
+
+def test_equal_fingerprints_are_no_link(spark):
+    rng = random.Random(7)
+    line = " ".join(f"l{i}" for i in range(7))
+    texts = [" ".join([line] * 100 + [f"w{rng.randrange(10**6)}" for _ in range(200)]) for _ in range(4)]
+    assert len({simhash.fingerprint(simhash.shingle_hashes(t, 5)) for t in texts}) == 1
+    assert max(similarity(a, b) for a, b in itertools.combinations(texts, 2)) < 0.1
+    rows = [*enumerate(texts), (9, f"{texts[3]} {line}")]
+    got = {r["id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 3, 9: 3}
