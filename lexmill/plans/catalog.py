@@ -98,6 +98,13 @@ def issuing_body_counts(spark, sf_dir):
     return search.issuing_bodies(bodies, docs).select("name", "authority_rank", "document_count")
 
 
+@query("select n_name as name, n_regionkey as authority_rank, count(c_custkey)::bigint as document_count from nation left join customer on c_nationkey = n_nationkey group by n_nationkey, n_name, n_regionkey")
+def issuing_body_counts_whole(spark, sf_dir):
+    bodies = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("authority_rank"), F.lit("national").alias("scope"))
+    docs = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("issuing_body_id"))
+    return search.issuing_bodies(bodies, docs).select("name", "authority_rank", "document_count")
+
+
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lineitem as edges from orders to orders (the part's number taken as an order's)."""
     li = table(spark, sf_dir, "lineitem")
@@ -141,6 +148,30 @@ def edge_all(spark, sf_dir):
     return _references(spark, sf_dir, edges.ALL, 100, 120)
 
 
+def _all_references(spark, sf_dir, direction):
+    docs = _documents(spark, sf_dir)
+    rows = edges.references(_edges(spark, sf_dir), docs, docs.select("id"), direction)
+    return rows.select("id", "reference_type", "source_citation", "target_citation", "target_title")
+
+
+_KNOWN = "in (select o_orderkey::varchar from orders)"
+
+
+@query(_reference_sql(f"s {_KNOWN}"))
+def edge_outgoing_whole(spark, sf_dir):
+    return _all_references(spark, sf_dir, edges.OUTGOING)
+
+
+@query(_reference_sql(f"t {_KNOWN}"))
+def edge_incoming_whole(spark, sf_dir):
+    return _all_references(spark, sf_dir, edges.INCOMING)
+
+
+@query(_reference_sql(f"(s {_KNOWN} or t {_KNOWN})"))
+def edge_all_whole(spark, sf_dir):
+    return _all_references(spark, sf_dir, edges.ALL)
+
+
 def _labelled_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as edges: the label is the target, bound where there is one."""
     d, lab = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select(F.col("doc_id").alias("l"), "quality")
