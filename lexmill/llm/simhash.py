@@ -18,18 +18,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.components import connected_components
-from lexmill.scratch import written
+from lexmill.llm.filters import text_digest
+from lexmill.scratch import discard, written
 
 BITS = 64
 _BLOCK = 1 << 16
 #: for the order of shingles: texts of the sample, texts of it that share a common shingle at least, common shingles kept
 SAMPLE, COMMON, LISTED = 20_000, 3, 200_000
-#: texts of a key that each text is held against before all others are
-NEIGHBOURS = 4
+#: rounds in which a key's texts are held against one of them, before all that are still apart are
+HUBS = 3
+#: digests of texts that may be broadcast; more are joined by a shuffle
+BROADCAST_DIGESTS = 200_000
 #: longs of parity bits per text
 PARITY = 16
 
@@ -111,8 +114,6 @@ def near_pairs(fps: DataFrame, tau: int = 2, col: str = "fp") -> DataFrame:
             step = total <= F.lit(n * tau // len(segs))
             ok = step if ok is None else ok & step
         ring = ok if ring is None else ring | ok
-    if tau > 3:  # the ring test of many segments costs more than the full distance, which it implies
-        ring = F.lit(True)
     return met.filter(ring).filter(F.bit_count(diff) <= tau).select("a", "b").distinct()
 
 
@@ -136,46 +137,61 @@ def _labelled(fps: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(id, component_id): component_id is the smallest id reachable over links, pairs of texts whose distinct word
-    shingles have at least that Jaccard similarity.
+    """(id, digest, component_id, kept): one row per input row. component_id is the smallest id reachable over links,
+    pairs of texts whose distinct word shingles have at least that Jaccard similarity; kept marks one of each group's
+    texts, that with the smallest id (null ids last) and MD5 digest. Rows of equal id and text share these values.
 
-    No link is lost: texts with equal shingle sets (told by a 128-bit digest) are one class, and the classes' smallest
-    ids are joined by prefix filter. With the shingles of every text in one order, two texts at the similarity share
+    No link is lost: texts with equal shingle sets (told by a 128-bit digest) are one class, whatever their ids, and
+    classes are joined by prefix filter. With the shingles of every text in one order, two texts at the similarity share
     one of their first size - ceil(similarity * size) + 1, so those are the join keys. What comes of a key is cut only
     by bounds that no link breaks (sizes, places in the order, parity bits) and then verified by exact intersection.
     The order puts shingles that are frequent in a sample last; it decides the work, not the result.
 
-    A hot key would meet itself in pairs. Its texts are first held against a few neighbours alone, by size and then in
-    random order; then all pairs of a key that these links haven't joined are tried.
-    Rows with null ids link with nothing but equal sets; rows of one id are one node."""
+    A hot key would meet itself in pairs. So its classes are first held against one hub alone, in several rounds: in
+    each the least of the key's classes in an order that all keys share, so a group of near copies meets few hubs. What
+    the links join needs no further test; all pairs of a key that are still apart are tried in the end.
+    Null and empty texts are one class. Classes are numbered, so rows that share an id, or have none, stay apart."""
     prefixes = written(_prefixes(docs, id_col, text_col, words, similarity), "prefixes")
-    classes = written(prefixes.groupBy("d1", "d2").agg(F.min("id").alias("least")), "classes")
-    firsts = classes.filter("least is not null").select("d1", "d2", F.col("least").alias("id"))
-    reps = written(prefixes.join(firsts, ["d1", "d2", "id"], "left_semi").filter("size > 0").select("id", "size", "bits", "prefix"), "reps")
-    key = Window.partitionBy("key")
-    lists = reps.select("id", "size", F.posexplode("prefix").alias("place", "key")).withColumn("n", F.count("*").over(key))
-    lists = written(lists.filter("n > 1").select("key", "id", "size", "place"), "lists")
+    who = F.struct(F.col("id").isNull().alias("none"), "id", "digest")
+    classes = prefixes.groupBy("d1", "d2").agg(F.min(who).alias("least"), F.min(F.col("row")).alias("row"))
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    named = classes.select(F.col("row").alias("own"), "node")
+    reps = prefixes.filter("size > 0").join(named, F.col("row") == F.col("own")).select("node", "digest", "d1", "d2", "size", "bits", "prefix")
+    reps = written(reps, "reps")
+    rows = written(prefixes.select("id", "digest", "d1", "d2"), "rows")
+    discard(prefixes)
+    lists = reps.select(F.col("node").alias("id"), "size", F.posexplode("prefix").alias("place", "key"))
+    shared = lists.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("key").alias("k")).hint("rebalance")
+    lists = written(lists.join(shared, F.col("key") == F.col("k")).select("key", "id", "size", "place", F.col("id").alias("root")), "lists")
     links = None
-    for order in (["size", "place", "id"], [F.xxhash64("id", "key"), "id"]):
-        by, own = key.orderBy(*order), F.struct("id", "size", "place", "root")
-        met = _open(lists, links).withColumn("near", F.array(*(F.lag(own, i).over(by) for i in range(1, NEIGHBOURS + 1)))).withColumn("f", F.explode("near")).filter("root <> f.root")
+    for turn in range(HUBS):
+        own = F.struct(F.xxhash64(F.lit(turn), "id").alias("at"), "id", "size", "place", "root")
+        hubs = lists.groupBy("key").agg(F.min(own).alias("f")).select(F.col("key").alias("k"), "f").hint("rebalance")
+        met = lists.join(hubs, F.col("key") == F.col("k")).filter("root <> f.root")
         pairs = _possible(met.select("id", "size", "place", F.col("f.id").alias("id2"), F.col("f.size").alias("size2"), F.col("f.place").alias("place2")), similarity)
-        links = _more_links(docs, id_col, text_col, words, similarity, reps, pairs, links)
-    left = written(_open(lists, links), "open")
-    right = left.select("key", *(F.col(c).alias(f"{c}2") for c in ("id", "size", "place", "root")))
-    pairs = _possible(left.join(right, "key").filter("id < id2 and root <> root2"), similarity)
-    links = _more_links(docs, id_col, text_col, words, similarity, reps, pairs, links)
-    named = classes.join(links.select(F.col("node").alias("least"), "root"), "least", "left").select("d1", "d2", F.coalesce("root", "least").alias("component_id"))
-    return prefixes.select("id", "d1", "d2").join(written(named, "named"), ["d1", "d2"]).select("id", "component_id")
-
-
-def _open(lists: DataFrame, links: DataFrame | None) -> DataFrame:
-    """The rows of keys whose texts aren't all joined yet, with the texts' roots."""
-    if links is None:
-        return lists.withColumn("root", F.col("id"))
-    key = Window.partitionBy("key")
-    rooted = lists.join(links.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    return rooted.withColumns({"low": F.min("root").over(key), "high": F.max("root").over(key)}).filter("low <> high").drop("low", "high")
+        links = _more_links(docs, text_col, words, similarity, reps, pairs, links)
+        after = written(_open(lists, links), "open")
+        discard(lists)
+        lists = after
+        if lists.isEmpty():
+            break
+    right = lists.select("key", *(F.col(c).alias(f"{c}2") for c in ("id", "size", "place", "root")))
+    pairs = _possible(lists.join(right, "key").filter("id < id2 and root <> root2"), similarity)
+    links = _more_links(docs, text_col, words, similarity, reps, pairs, links)
+    discard(lists, reps)
+    rooted = classes.join(links.withColumnRenamed("root", "top"), "node", "left").withColumn("top", F.coalesce("top", "node"))
+    tops = rooted.groupBy("top").agg(F.min("least").alias("first")).hint("rebalance")
+    named = written(rooted.select("d1", "d2", "top").join(tops, "top").select("d1", "d2", "first"), "named")
+    kept = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("digest") == F.col("first.digest"))
+    discard(classes)
+    return rows.join(named, ["d1", "d2"]).select("id", "digest", F.col("first.id").alias("component_id"), kept.alias("kept"))
+
+
+def _open(lists: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows of keys whose classes aren't all joined yet, with the classes' roots."""
+    rooted = lists.drop("root").join(links.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    apart = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select(F.col("key").alias("k")).hint("rebalance")
+    return rooted.join(apart, F.col("key") == F.col("k")).select("key", "id", "size", "place", "root")
 
 
 def _possible(met: DataFrame, similarity: float) -> DataFrame:
@@ -185,24 +201,26 @@ def _possible(met: DataFrame, similarity: float) -> DataFrame:
     return met.filter(rest >= need).select(F.least("id", "id2").alias("x"), F.greatest("id", "id2").alias("y")).filter("x < y").distinct()
 
 
-def _more_links(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float, reps: DataFrame, pairs: DataFrame, links: DataFrame | None) -> DataFrame:
+def _more_links(docs: DataFrame, text_col: str, words: int, similarity: float, reps: DataFrame, pairs: DataFrame, links: DataFrame | None) -> DataFrame:
     """links (node, root), joined further by those of the pairs that are similar.
 
     Bits that differ in parity are shingles of one set alone, so more of them than a link can have rule a pair out."""
-    x, y = (reps.select(F.col("id").alias(c), F.col("size").alias(f"n{c}"), F.col("bits").alias(f"b{c}")) for c in "xy")
+    x, y = (reps.select(F.col("node").alias(c), F.col("size").alias(f"n{c}"), F.col("bits").alias(f"b{c}")) for c in "xy")
     apart = sum((F.bit_count(F.col("bx")[i].bitwiseXOR(F.col("by")[i])) for i in range(PARITY)), F.lit(0))
     may = F.lit((1 - similarity) / (1 + similarity) + 1e-9) * (F.col("nx") + F.col("ny"))
-    pairs = written(pairs.join(x, "x").join(y, "y").filter(apart <= may).select("x", "y").distinct(), "candidates")
-    close = written(_verified(docs, id_col, text_col, words, similarity, pairs), "close")
+    pairs = written(pairs.join(x, "x").join(y, "y").filter(apart <= may).select("x", "y"), "candidates")
+    close = _verified(docs, text_col, words, similarity, reps, pairs)
     if links is not None:
         close = links.select(F.col("node").alias("x"), F.col("root").alias("y")).unionByName(close)
-    return connected_components(close, "x", "y")
+    out = connected_components(close, "x", "y")
+    discard(pairs)
+    return out
 
 
 def _common(docs: DataFrame, id_col: str, text_col: str, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that several texts of a sample share, sorted, and how many do."""
     every = max(1, docs.count() // SAMPLE)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter(F.pmod(F.xxhash64("id"), F.lit(every)) == 0)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter(F.pmod(F.xxhash64("id", "text"), F.lit(every)) == 0)
     counts = shingle_sets(texts, words).select(F.explode("s").alias("h")).groupBy("h").agg(F.count("*").alias("n")).filter(f"n >= {COMMON}")
     table = counts.orderBy(F.desc("n"), "h").limit(LISTED).toArrow()
     h, n = (table.column(c).to_numpy() for c in ("h", "n"))
@@ -212,8 +230,9 @@ def _common(docs: DataFrame, id_col: str, text_col: str, words: int) -> tuple[np
 
 
 def _prefixes(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
-    """(id, d1, d2, size, bits, prefix) per row: digest and size of the set of shingles, parities of the numbers of
-    shingles that fall on each of PARITY * 64 bits, and the first shingles in order."""
+    """(row, id, digest, d1, d2, size, bits, prefix) per row: a number, the MD5 digest of the text, digest and size of
+    the set of shingles, parities of the numbers of shingles that fall on each of PARITY * 64 bits, and the first
+    shingles in order."""
     common = docs.sparkSession.sparkContext.broadcast(_common(docs, id_col, text_col, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +241,7 @@ def _prefixes(docs: DataFrame, id_col: str, text_col: str, words: int, similarit
         known, counts = common.value
         for batch in batches:
             digests, sizes, bits, prefixes = [], [], [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 s = np.unique(shingle_hashes(text.as_py(), words))
                 digests.append(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), dtype="<i8"))
                 sizes.append(len(s))
@@ -236,22 +255,32 @@ def _prefixes(docs: DataFrame, id_col: str, text_col: str, words: int, similarit
                 prefixes.append(s[np.argsort(often, kind="stable")[:first]].view("<i8"))
             d = np.array(digests, dtype=np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(sizes, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(prefixes, pa.list_(pa.int64()))],
-                names=["id", "d1", "d2", "size", "bits", "prefix"],
+                [*batch.columns[:2], pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(sizes, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(prefixes, pa.list_(pa.int64()))],
+                names=["id", "digest", "d1", "d2", "size", "bits", "prefix"],
             )
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return texts.mapInArrow(run, "id long, d1 long, d2 long, size long, bits array<long>, prefix array<long>")
-
-
-def _verified(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float, pairs: DataFrame) -> DataFrame:
-    """The pairs (x, y) whose shingle sets have that Jaccard similarity at least; only texts in a pair are shuffled."""
-    ids = pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id"))).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(ids, "id", "left_semi")
-    sets = written(shingle_sets(texts, words), "shingles")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_digest(F.col(text_col)).alias("digest"), text.alias("text"))
+    made = texts.mapInArrow(run, "id long, digest string, d1 long, d2 long, size long, bits array<long>, prefix array<long>")
+    return made.withColumn("row", F.monotonically_increasing_id())
+
+
+def _verified(docs: DataFrame, text_col: str, words: int, similarity: float, reps: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (x, y) whose shingle sets have that Jaccard similarity at least; of the texts, those in a pair alone are
+    cut into shingles again, found by digest: by a broadcast of bounded size, or beyond it by a shuffle."""
+    ids = pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).distinct()
+    asked = written(reps.select("node", F.col("digest").alias("own")).join(ids, "node"), "asked")
+    small = asked.count() <= BROADCAST_DIGESTS
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    texts = docs.select(text_digest(F.col(text_col)).alias("digest"), text.alias("text"))
+    texts = texts.join(F.broadcast(asked) if small else asked, F.col("digest") == F.col("own")).select(F.col("node").alias("id"), "text")
+    sets = written(shingle_sets(texts.groupBy("id").agg(F.first("text").alias("text")), words), "shingles")
     x, y = sets.select(F.col("id").alias("x"), F.col("s").alias("sx")), sets.select(F.col("id").alias("y"), F.col("s").alias("sy"))
     close = pairs.join(x, "x").join(y, "y").withColumn("both", F.size(F.array_intersect("sx", "sy")))
-    return close.filter(F.col("both") >= F.lit(similarity) * (F.size("sx") + F.size("sy") - F.col("both"))).select("x", "y").distinct()
+    close = close.filter(F.col("both") >= F.lit(similarity) * (F.size("sx") + F.size("sy") - F.col("both")) - 1e-9)
+    out = written(close.select("x", "y"), "close")
+    discard(sets, asked)
+    return out
 
 
 def shingle_sets(texts: DataFrame, words: int) -> DataFrame:

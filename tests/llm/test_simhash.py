@@ -5,7 +5,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lexmill.llm import simhash
+from lexmill.llm import components, filters, simhash
 from lexmill.llm.components import connected_components
 
 DOC = "doc_id long, text string, fp string"
@@ -87,13 +87,14 @@ def test_near_duplicates_verify_similarity(spark):
     assert {r["id"]: r["component_id"] for r in simhash.near_duplicates(df).collect()} == {5: 2, 2: 2, 3: 3, 4: 2, 9: 8, 8: 8}
 
 
-def test_connected_components(spark):
+def test_connected_components(spark, monkeypatch):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(60)] + [(2000, 2000 + i) for i in range(50)] + [(5, None), (7, 7)]
     real = [(a, b) for a, b in edges if b is not None and a != b]
     nodes = {x for e in real for x in e}
-    for local in (0, 10**6):
-        got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "a long, b long"), local_edges=local).collect()}
+    for chunk in (3, 10**6):
+        monkeypatch.setattr(components, "CHUNK", chunk)
+        got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
         assert got == groups(nodes, real)
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
@@ -133,3 +134,40 @@ def test_equal_fingerprints_are_no_link(spark):
     rows = [*enumerate(texts), (9, f"{texts[3]} {line}")]
     got = {r["id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {0: 0, 1: 1, 2: 2, 3: 3, 9: 3}
+
+
+def test_rows_without_ids_and_repeated_ids_stay_apart(spark):
+    rng = random.Random(11)
+    a, b, c = (" ".join(f"t{rng.randrange(10**6)}" for _ in range(80)) for _ in range(3))
+    rows = [(1, a), (1, b), (None, a), (None, c), (None, c), (1, b), (2, a + " more")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = simhash.near_duplicates(df)
+    assert sorted((str(r["id"]), str(r["component_id"]), r["kept"]) for r in got.collect()) == sorted(
+        [("1", "1", True), ("1", "1", True), ("1", "1", True), ("None", "1", False), ("None", "None", True), ("None", "None", True), ("2", "1", False)])
+    left = filters.once(filters.without(df, got.filter("not kept")), got.filter("kept"))
+    assert sorted(map(str, map(tuple, left.collect()))) == sorted(map(str, [(1, a), (1, b), (None, c)]))
+
+
+def test_a_large_group_meets_few_hubs(spark):
+    """Near copies of one text: candidates grow with the group, not with its square."""
+    rng = random.Random(13)
+    base = [f"b{rng.randrange(10**6)}" for _ in range(120)]
+    texts = []
+    for _ in range(300):
+        t = list(base)
+        t[rng.randrange(120)] = f"n{rng.randrange(10**6)}"
+        texts.append(" ".join(t))
+    seen = []
+    real = simhash._verified
+
+    def counted(*args):
+        seen.append(args[-1].count())
+        return real(*args)
+
+    simhash._verified = counted
+    try:
+        got = simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    finally:
+        simhash._verified = real
+    assert {r["component_id"] for r in got} == {0} and sum(r["kept"] for r in got) == 1
+    assert sum(seen) < 10 * len(texts)

@@ -145,7 +145,7 @@ def test_decontamination_recall_and_brute_force(spark):
         rows.append((d, " ".join(words).upper() if d % 3 else " ".join(words)))
     index = decontaminate.Index(items)
     for d, text in rows:
-        words = decontaminate.symbols(decontaminate.words_of(text))
+        words = np.array([index.vocabulary.get(w, 0) for w in decontaminate.words_of(text)])
         for item, s in index.items:
             if decontaminate.edit_place(s, words)[0] <= int(0.2 * len(s)):
                 planted.add((d, item))
@@ -161,3 +161,30 @@ def test_decontamination_recall_and_brute_force(spark):
     finally:
         decontaminate.ITEM_CHARS = old
     assert decontaminate.contaminated(df, bench.filter(F.lit(False))).count() == 0
+    held = {d for d, _ in got}
+    left = [r["doc_id"] for r in decontaminate.clean(df, bench).collect()]
+    assert sorted(left) == [d for d, _ in rows if d not in held] and decontaminate.clean(df, bench).columns == df.columns
+    same = spark.createDataFrame([(None, items[0][1]), (7, items[0][1]), (7, "other words"), (None, None)], "doc_id long, text string")
+    assert sorted(map(str, map(tuple, decontaminate.clean(same, bench).collect()))) == ["(7, 'other words')", "(None, None)"]
+
+
+def test_items_of_all_sizes_are_met_at_the_limit():
+    """Every planted item has the most edits that are allowed; brute force says which of them are within the distance."""
+    rng = random.Random(21)
+    vocab = ["".join(rng.choices("abcdefghij", k=rng.randrange(2, 7))) for _ in range(3000)]
+    for low, high, n in ((1, 5, 30), (5, 8, 60), (8, 40, 60), (100, 400, 6)):
+        items = [(i, " ".join(rng.choices(vocab, k=rng.randrange(low, high)))) for i in range(n)]
+        index, texts, near = decontaminate.Index(items), [], set()
+        for d in range(150):
+            part, words = items[d % n][1].split(), rng.choices(vocab, k=rng.randrange(5, 200))
+            for _ in range(int(0.2 * len(part))):
+                at = rng.randrange(len(part))
+                part[at : at + rng.choice([0, 1])] = [rng.choice(vocab)] * rng.choice([0, 1])
+            cut = rng.randrange(len(words))
+            texts.append(" ".join([*words[:cut], *part, *words[cut:]]))
+            s = np.array([index.vocabulary.get(w, 0) for w in decontaminate.words_of(texts[-1])])
+            item = index.items[d % n][1]
+            if decontaminate.edit_place(item, s)[0] <= int(0.2 * len(item)):
+                near.add((d, d % n))
+        found = {m[:2] for m in index.matches(texts)}
+        assert len(found & near) >= 0.95 * len(near) > 100
