@@ -1,152 +1,185 @@
-"""Statute text to structure: the clause tree and citations in running text.
+"""Statute text to structure: the clause tree, and citations in preambles and running text.
 
-A document is read line by line by a state machine, which no set operation expresses; it runs once per row on Arrow
-batches. ``legacy`` gives the parity form of the rules that the default form corrects.
+The tree of a text is made in three steps, each over all lines: every line is classified by one table of line forms;
+the classified lines are cut into the main part, the closing block and the annexes; then the main part's headings take
+their places on a spine of seven levels. A node comes out with its path, so no later step has to look for ancestors.
+Texts are read where they lie, on Arrow batches, and nothing is shuffled. Citations are found by Column expressions.
+``legacy`` gives the parity form of the rules that the default form corrects.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
-from functools import partial
+from functools import cache, partial
+from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from lexmill.functions import citations
 from lexmill.functions.hashing import node_hash, stable_id
-from lexmill.functions.text import legacy_path_segment, path_segment, roman_value
-
-#: fixed values: names of the levels in headings, and where they stand in the order of nesting
-ARTICLE, PART, CHAPTER, SECTION, SUBSECTION, ANNEX = "Điều", "Phần", "Chương", "Mục", r"Tiểu\s+mục", r"Phụ\s+lục"
-LEVELS = {"phan": 0, "chuong": 1, "muc": 2, "tieu_muc": 3, "dieu": 4, "khoan": 5, "diem": 6}
-#: fixed values: lines that begin the closing block of names, and lines that begin an annex after it
-CLOSING = r"Nơi\s+nhận\s*:?|(?:TM|KT|Q)\.\s|THAY\s+MẶT(?![0-9A-Za-z_])"
-STATE_HEADER = r"CỘNG\s+HÒA\s+XÃ\s+HỘI\s+CHỦ\s+NGHĨA\s+VIỆT\s+NAM"
-FORM_CODE = r"(?:Biểu\s+(?:số|mẫu)|Mẫu\s+số|QCVN|TCVN)\s*[\dA-ZĐ][\dA-ZĐ.:/-]*"
-TEMPLATE_WORDS = r"mẫu\s+số"
-
-
-class _Rules:
-    """Line patterns. In the parity form a number ends at an ASCII word edge, so a letter with marks may follow it."""
-
-    def __init__(self, legacy: bool) -> None:
-        ci = re.IGNORECASE
-        edge = r"(?![0-9A-Za-z_])" if legacy else r"(?!\w)"
-        number = rf"([IVXLCDM]+|\d+){edge}[.:]?\s*(.*)"
-        self.article = re.compile(rf"{ARTICLE}\s+(\d+)([a-zđ]?)\s*[.:]?\s*(.*)", ci)
-        self.group = re.compile(rf"({PART}|{CHAPTER})\s+{number}", ci)
-        self.section = re.compile(rf"({SECTION})\s+(\d+){edge}[.:]?\s*(.*)", ci)
-        self.subsection = re.compile(rf"({SUBSECTION})\s+(\d+){edge}[.:]?\s*(.*)", ci)
-        self.annex = re.compile(rf"({ANNEX})\s*([IVXLCDM]*){edge}[.:]?\s*(.*)", ci)
-        self.clause = re.compile(r"(\d+)([a-zđ]?)\s*\.\s*(.*)")
-        self.point = re.compile(r"([a-zđ])\)\s*(.*)", ci)
-        self.closing = re.compile(CLOSING, ci)
-        self.restart = re.compile(rf"(?:{STATE_HEADER}|{FORM_CODE})\s*", ci)
-        own = (self.article, self.group, self.section, self.subsection, self.annex)
-        self.stops = own if legacy else (*own, self.clause, self.point, self.closing)
-
-    def heading(self, rest: str, after: str | None) -> tuple[str | None, int]:
-        """The heading, and how many further lines it takes: the rest of the line, else the next line unless that begins something itself."""
-        if rest:
-            return rest, 0
-        if after is None or after.startswith("(") or any(p.match(after) for p in self.stops):
-            return None, 0
-        return after, 1
-
-
-_RULES = {legacy: _Rules(legacy) for legacy in (False, True)}
+from lexmill.functions.text import roman_value
+
+#: fixed values: the levels of nesting, outermost first
+LEVELS = ("phan", "chuong", "muc", "tieu_muc", "dieu", "khoan", "diem")
+ARTICLE, CLAUSE, POINT = (LEVELS.index(k) for k in ("dieu", "khoan", "diem"))
+#: fixed values: kind of a heading, its word, and the form of its number
+HEADINGS = [
+    ("phu_luc", "Phụ lục", "roman or none"),
+    ("dieu", "Điều", "digits and letter"),
+    ("phan", "Phần", "roman or digits"),
+    ("chuong", "Chương", "roman or digits"),
+    ("tieu_muc", "Tiểu mục", "digits"),
+    ("muc", "Mục", "digits"),
+]
+#: fixed values: how the closing block begins, and the whole lines that end it
+CLOSING = ("Nơi nhận", "TM. ", "KT. ", "Q. ", "THAY MẶT")
+STATE_HEADER = "CỘNG HÒA XÃ HỘI CHỦ NGHĨA VIỆT NAM"
+FORM_WORDS = ("Biểu số", "Biểu mẫu", "Mẫu số", "QCVN", "TCVN")
+TEMPLATE_WORDS = "mẫu số"
+
+
+class Line(NamedTuple):
+    """A line's kind, the word and number of its heading, and what follows them; ``text`` is the whole line."""
+
+    kind: str
+    word: str
+    number: str
+    rest: str
+    text: str
+
+
+def _spaced(words: str) -> str:
+    return re.escape(words).replace(r"\ ", r"\s+")
+
+
+@cache
+def _forms(legacy: bool) -> list[tuple[str, re.Pattern]]:
+    """(kind, form of the line) in the order in which they are tried. In the parity form a number ends at an ASCII word edge, so a letter with marks may follow it."""
+    edge = r"(?![0-9A-Za-z_])" if legacy else r"(?!\w)"
+    numbers = {
+        "roman or none": rf"\s*(?P<number>[IVXLCDM]*){edge}",
+        "roman or digits": rf"\s+(?P<number>[IVXLCDM]+|\d+){edge}",
+        "digits": rf"\s+(?P<number>\d+){edge}",
+        "digits and letter": r"\s+(?P<number>\d+[a-zđ]?)\s*",
+    }
+    opening = "|".join(_spaced(w.strip()) + (r"\s" if w.endswith(" ") else r"(?![0-9A-Za-z_])" if w.isupper() else "") for w in CLOSING)
+    forms = {kind: rf"(?P<word>{_spaced(word)}){numbers[number]}[.:]?\s*(?P<rest>.*)" for kind, word, number in HEADINGS}
+    order = [("phu_luc", forms.pop("phu_luc")), ("closing", rf"(?P<word>(?:{opening}))(?P<number>)(?P<rest>.*)"), *forms.items()]
+    out = [(kind, re.compile(form, re.IGNORECASE)) for kind, form in order]
+    out.append(("khoan", re.compile(r"(?P<word>)(?P<number>\d+[a-zđ]?)\s*\.\s*(?P<rest>.*)")))
+    out.append(("diem", re.compile(r"(?P<word>)(?P<number>[a-zđ])\)\s*(?P<rest>.*)", re.IGNORECASE)))
+    return out
 
 
-def parse_body(text: str | None, legacy: bool = False) -> list[dict]:
-    """The nodes of a text in document order: seq, parent_seq, node_type, ordinal, label, heading, text_content, content_class.
+_REOPENS = re.compile(rf"(?:{_spaced(STATE_HEADER)}|(?:{'|'.join(map(_spaced, FORM_WORDS))})\s*[\dA-ZĐ][\dA-ZĐ.:/-]*)\s*", re.IGNORECASE)
 
-    Lines before the first heading are left out, and so is the closing block up to an annex."""
-    rules = _RULES[legacy]
-    lines = [s for x in re.split(r"\r?\n", text or "") if (s := x.strip())]
-    nodes: list[dict] = []
-    stack: list[tuple[int, dict]] = []
-    annex: dict | None = None
-    closed, annexes, k = False, 0, 0
-
-    def add(kind: str, ordinal: str, label: str, heading: str | None, parent: dict | None, content: str | None = None) -> dict:
-        node = {"seq": len(nodes), "parent_seq": parent["seq"] if parent else None, "node_type": kind, "ordinal": ordinal, "label": label, "heading": heading, "text_content": content or None, "content_class": None}
-        nodes.append(node)
-        return node
-
-    def extend(node: dict, line: str) -> None:
-        node["text_content"] = line if node["text_content"] is None else f"{node['text_content']}\n{line}"
-
-    def enter(kind: str, ordinal: str, label: str, heading: str | None, content: str | None = None) -> None:
-        while stack and stack[-1][0] >= LEVELS[kind]:
-            stack.pop()
-        stack.append((LEVELS[kind], add(kind, ordinal, label, heading, stack[-1][1] if stack else None, content)))
-
-    def open_annex(m: re.Match, i: int) -> int:
-        nonlocal annex, annexes, closed
-        annexes, closed = annexes + 1, False
-        stack.clear()
-        heading, used = rules.heading(m[3].strip(), lines[i + 1] if i + 1 < len(lines) else None)
-        label = f"{m[1]} {m[2]}" if m[2] else m[1]
-        annex = add("phu_luc", roman_value(m[2]) if m[2] else str(annexes), label, heading, None)
-        annex["content_class"] = "template" if heading and re.search(TEMPLATE_WORDS, heading, re.IGNORECASE) else "normative"
-        return used
-
-    while k < len(lines):
-        line, i = lines[k], k
-        k += 1
-        after = lines[k] if k < len(lines) else None
-        if m := rules.annex.fullmatch(line):
-            k += open_annex(m, i)
-        elif annex is not None:
-            extend(annex, line)
-        elif closed:
-            if rules.restart.fullmatch(line):
-                annexes, closed = annexes + 1, False
-                stack.clear()
-                annex = add("phu_luc", str(annexes), f"Phụ lục {annexes}", None, None, line)
-                annex["content_class"] = "normative"
-        elif rules.closing.match(line):
-            closed = True
-        elif m := rules.article.fullmatch(line):
-            heading, used = rules.heading(m[3].strip(), after)
-            k += used
-            enter("dieu", m[1] + m[2], f"{ARTICLE} {m[1]}{m[2]}", heading)
-        elif m := rules.group.fullmatch(line):
-            heading, used = rules.heading(m[3].strip(), after)
-            k += used
-            enter("phan" if m[1].lower() == PART.lower() else "chuong", roman_value(m[2]), f"{m[1]} {m[2]}", heading)
-        elif m := rules.subsection.fullmatch(line) or rules.section.fullmatch(line):
-            heading, used = rules.heading(m[3].strip(), after)
-            k += used
-            enter("muc" if m.re is rules.section else "tieu_muc", m[2], f"{m[1]} {m[2]}", heading)
-        elif (m := rules.clause.fullmatch(line)) and stack and stack[-1][0] >= LEVELS["dieu"]:
-            enter("khoan", m[1] + m[2], f"Khoản {m[1]}{m[2]}", None, m[3])
-        elif (m := rules.point.fullmatch(line)) and stack and stack[-1][0] >= LEVELS["khoan"]:
-            enter("diem", m[1], f"Điểm {m[1]}", None, m[2])
-        elif stack:
-            extend(stack[-1][1], line)
-    return nodes
-
-
-def body_references(text: str | None, own: str | None = None, legacy: bool = False) -> list[dict]:
-    """Citations after the first chapter heading, each once, in order, with the words around them; the document's own is left out."""
-    start = re.search(rf"[\n\r]\s*{citations.CHAPTER_WORD}\s*[\dIVXLC]+[.\s]", text or "", re.IGNORECASE)
-    if not start:
-        return []
-    body, seen, out = text[start.end() :], {own}, []
-    for m in re.finditer(citations.LEGACY_BODY_CITATION if legacy else citations.BODY_CITATION, body):
-        if m[0] in seen:
+
+def classify(text: str | None, legacy: bool = False) -> list[Line]:
+    """The lines of a text that aren't blank, each with its kind; ``text`` where no form fits."""
+    out = []
+    for raw in re.split(r"\r?\n", text or ""):
+        if line := raw.strip():
+            hit = next(((kind, m) for kind, form in _forms(legacy) if (m := form.fullmatch(line))), None)
+            out.append(Line(hit[0], hit[1]["word"], hit[1]["number"], hit[1]["rest"].strip(), line) if hit else Line("text", "", "", "", line))
+    return out
+
+
+def _titles(lines: list[Line], legacy: bool) -> dict[int, str]:
+    """Titles that stand on the line after their heading, by the number of that line. Headings end the search, in the
+    default form also clauses, points and the closing block; so do lines in parentheses."""
+    heads = {kind for kind, *_ in HEADINGS}
+    begins = heads if legacy else heads | {"closing", "khoan", "diem"}
+    return {i + 1: after.text for i, (line, after) in enumerate(zip(lines, lines[1:])) if line.kind in heads and not line.rest and after.kind not in begins and not after.text.startswith("(")}
+
+
+def _regions(lines: list[Line], titles: dict[int, str]) -> tuple[int, list[int]]:
+    """(end of the main part, first lines of the annexes). The main part ends at the first annex or closing block; after
+    a closing block the first annex may also be a form or a restated state header."""
+    end = next((i for i, line in enumerate(lines) if line.kind == "phu_luc" or (line.kind == "closing" and i not in titles)), len(lines))
+    closed = end < len(lines) and lines[end].kind == "closing"
+    first = next((i for i in range(end, len(lines)) if lines[i].kind == "phu_luc" or (closed and i > end and _REOPENS.fullmatch(lines[i].text))), len(lines))
+    return end, [i for i in range(first, len(lines)) if i == first or lines[i].kind == "phu_luc"]
+
+
+def _node(kind: str, ordinal: str, label: str, heading: str | None, parts: list[str], content_class: str | None = None) -> dict:
+    return {"node_type": kind, "ordinal": ordinal, "label": label, "heading": heading or None, "parts": parts, "content_class": content_class}
+
+
+def _main(lines: list[Line], end: int, titles: dict[int, str]) -> list[dict]:
+    """Nodes of the main part with their parents' numbers. The spine holds the last node of each level that is still open."""
+    spine: list[int | None] = [None] * len(LEVELS)
+    deepest, out = -1, []
+    for i in range(end):
+        line = lines[i]
+        if i in titles:
+            continue
+        least = {"khoan": ARTICLE, "diem": CLAUSE}.get(line.kind, -1)
+        if line.kind not in LEVELS or deepest < least:
+            if out:
+                out[-1]["parts"].append(line.text)
             continue
-        seen.add(m[0])
-        around = body[max(0, m.start() - citations.WINDOW) : m.end() + citations.WINDOW]
-        out.append({"citation": m[0], "context": around.lower().strip()})
+        level = LEVELS.index(line.kind)
+        if level < ARTICLE:
+            node = _node(line.kind, roman_value(line.number), f"{line.word} {line.number}", line.rest or titles.get(i + 1), [])
+        elif level == ARTICLE:
+            node = _node(line.kind, line.number, f"Điều {line.number}", line.rest or titles.get(i + 1), [])
+        else:
+            node = _node(line.kind, line.number, f"{'Khoản' if level == CLAUSE else 'Điểm'} {line.number}", None, [line.rest] if line.rest else [])
+        node["parent_seq"] = max((p for p in spine[:level] if p is not None), default=None)
+        spine[level:] = [len(out)] + [None] * (len(LEVELS) - level - 1)
+        deepest = level
+        out.append(node)
     return out
 
 
+def _annexes(lines: list[Line], firsts: list[int], titles: dict[int, str]) -> Iterator[dict]:
+    for n, (first, stop) in enumerate(zip(firsts, [*firsts[1:], len(lines)]), 1):
+        line = lines[first]
+        if line.kind == "phu_luc":
+            heading = line.rest or titles.get(first + 1)
+            parts = [lines[i].text for i in range(first + 1, stop) if line.rest or i != first + 1 or i not in titles]
+            named = f"{line.word} {line.number}" if line.number else line.word
+            kind = "template" if heading and re.search(_spaced(TEMPLATE_WORDS), heading, re.IGNORECASE) else "normative"
+            yield _node("phu_luc", roman_value(line.number) if line.number else str(n), named, heading, parts, kind)
+        else:
+            yield _node("phu_luc", str(n), f"Phụ lục {n}", None, [x.text for x in lines[first:stop]], "normative")
+
+
+def _segment(node: dict, legacy: bool) -> str:
+    ordinal = node["ordinal"] if legacy else re.sub("[đĐ]", "dd", node["ordinal"])
+    return node["node_type"] + re.sub("[^A-Za-z0-9_]", "", ordinal)
+
+
+def parse_body(text: str | None, legacy: bool = False) -> list[dict]:
+    """The nodes of a text in document order: seq, parent_seq, node_type, ordinal, label, heading, text_content,
+    content_class, path, parent_path. Later siblings of one name get a suffix in their paths, but not in the parity form.
+
+    Lines before the first heading are left out, and so is the closing block up to an annex."""
+    lines = classify(text, legacy)
+    titles = _titles(lines, legacy)
+    end, firsts = _regions(lines, titles)
+    nodes = [*_main(lines, end, titles), *_annexes(lines, firsts, titles)]
+    seen: Counter = Counter()
+    for seq, node in enumerate(nodes):
+        up = node.setdefault("parent_seq", None)
+        name = _segment(node, legacy)
+        seen[up, name] += 1
+        if seen[up, name] > 1 and not legacy:
+            name = f"{name}_{seen[up, name]}"
+        above = nodes[up]["path"] if up is not None else None
+        node |= {"seq": seq, "text_content": "\n".join(node.pop("parts")) or None, "path": f"{above}.{name}" if above else name, "parent_path": above}
+    return [{name: node[name] for name in TREE.names} for node in nodes]
+
+
+TREE = T.StructType([T.StructField(n, T.IntegerType() if n in ("seq", "parent_seq") else T.StringType()) for n in ("seq", "parent_seq", "node_type", "ordinal", "label", "heading", "text_content", "content_class", "path", "parent_path")])
+
+
 def _exploded(docs: DataFrame, make, fields: T.StructType, key: str, *inputs: str) -> DataFrame:
     """The key and a row per dictionary that make gives for a row's inputs. Texts don't leave the worker."""
     schema = T.StructType([docs.schema[key], *fields.fields])
@@ -160,35 +193,27 @@ def _exploded(docs: DataFrame, make, fields: T.StructType, key: str, *inputs: st
     return docs.select(key, *inputs).mapInArrow(run, schema)
 
 
-_TREE = T.StructType([T.StructField(n, T.IntegerType() if n in ("seq", "parent_seq") else T.StringType()) for n in ("seq", "parent_seq", "node_type", "ordinal", "label", "heading", "text_content", "content_class")])
-_REFERENCE = T.StructType([T.StructField(n, T.StringType()) for n in ("citation", "context")])
-
-
 def clause_nodes(docs: DataFrame, key: str = "document_id", text: str = "full_text", legacy: bool = False) -> DataFrame:
-    return _exploded(docs, partial(parse_body, legacy=legacy), _TREE, key, text)
+    return _exploded(docs, partial(parse_body, legacy=legacy), TREE, key, text)
 
 
 def with_paths(nodes: DataFrame, key: str = "document_id", legacy: bool = False) -> DataFrame:
-    """Nodes with path, id, parent_id and content_hash. Trees have eight levels at most, so paths take seven joins on
-    (document, parent) within one partitioning; equal paths of a document get a suffix."""
-    segment = (legacy_path_segment if legacy else path_segment)(F.col("node_type"), F.col("ordinal"))
-    rows = nodes.withColumn("__segment", segment)
-    if not legacy:  # later siblings of the same name
-        w = Window.partitionBy(key, "parent_seq", "__segment").orderBy("seq")
-        rows = rows.withColumn("__n", F.row_number().over(w)).withColumn("__segment", F.when(F.col("__n") > 1, F.concat("__segment", F.lit("_"), F.col("__n").cast("string"))).otherwise(F.col("__segment"))).drop("__n")
-    arrays = rows.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("seq", F.struct(F.col("parent_seq").alias("up"), F.col("__segment").alias("name"))))).alias("__all"))
-    joined = rows.join(arrays, key)
-    none = F.struct(F.col("parent_seq").alias("up"), F.col("__segment").alias("path"))
-
-    def climb(acc, _):
-        above = F.try_element_at(F.col("__all"), acc["up"])
-        return F.when(acc["up"].isNull(), acc).otherwise(F.struct(above["up"].alias("up"), F.concat(above["name"], F.lit("."), acc["path"]).alias("path")))
-
-    path = F.aggregate(F.sequence(F.lit(1), F.lit(len(LEVELS))), none, climb)["path"]
-    out = joined.withColumn("path", path).drop("__all", "__segment")
-    out = out.withColumn("id", stable_id(F.col(key).cast("string"), F.col("path"), F.col("seq") if legacy else F.lit(None)))
-    heads = out.select(F.col(key), F.col("seq").alias("parent_seq"), F.col("id").alias("parent_id"))
-    return out.join(heads, [key, "parent_seq"], "left").withColumn("content_hash", node_hash(F.col("label"), F.col("heading"), F.col("text_content")))
+    """Nodes with id, parent_id and content_hash, all from columns of their own rows: no join, no shuffle."""
+    name = lambda path, seq: stable_id(F.col(key).cast("string"), F.col(path), F.col(seq) if legacy else F.lit(None))
+    above = F.when(F.col("parent_path").isNotNull(), name("parent_path", "parent_seq"))
+    return nodes.withColumns({"id": name("path", "seq"), "parent_id": above, "content_hash": node_hash(F.col("label"), F.col("heading"), F.col("text_content"))}).drop("parent_path")
+
+
+def references_sql(text: str, own: str, legacy: bool = False) -> str:
+    """SQL for an array of (citation, context): the citations after the first chapter heading, each once, in order, with
+    the words around its first place; the document's own is left out."""
+    before, after = citations.EDGES[legacy]
+    form, w = citations.LEGACY_BODY_CITATION if legacy else citations.BODY_CITATION, citations.WINDOW
+    around = f"concat(right(p[0], {w}), c, substr(p[1], 1, {w}))"
+    one = f"transform(array(split(b, concat(r'{before}', c, r'{after}'), 2)), p -> struct(c as citation, regexp_replace(lower({around}), r'(?U)^\\s+|\\s+$', '') as context))[0]"
+    found = f"array_except(regexp_extract_all(b, r'{form}', 0), array({own}))"
+    body = f"transform(filter(array(split({text}, r'{citations.CHAPTER_START}', 2)), p -> size(p) > 1), p -> p[1])"
+    return f"flatten(transform({body}, b -> transform({found}, c -> {one})))"
 
 
 def text_references(docs: DataFrame, key: str = "document_id", text: str = "full_text", own: str = "citation_id", legacy: bool = False) -> DataFrame:
@@ -196,8 +221,8 @@ def text_references(docs: DataFrame, key: str = "document_id", text: str = "full
     lines = docs.select(key, F.explode(F.split(citations.preamble(F.col(text)), "\n")).alias("line")).withColumn("line", F.regexp_replace("line", r"(?U)^\s+|\s+$", ""))
     basis = lines.filter(F.lower("line").startswith(citations.BASIS_WORDS)).withColumn("citation", citations.citation_in_text(F.col("line"))).filter("citation is not null")
     head = basis.select(key, F.lit("has_basis").alias("reference_type"), F.lit(None).cast("string").alias("change_type"), "citation", F.col("line").alias("raw_citation_text"))
-    found = _exploded(docs, partial(body_references, legacy=legacy), _REFERENCE, key, text, own)
-    rest = found.select(key, citations.classify_reference(F.col("context")).alias("reference_type"), F.lit(None).cast("string").alias("change_type"), "citation", F.col("context").alias("raw_citation_text"))
+    found = docs.select(key, F.explode(F.expr(references_sql(f"`{text}`", f"`{own}`", legacy))).alias("r"))
+    rest = found.select(key, citations.classify_reference(F.col("r.context")).alias("reference_type"), F.lit(None).cast("string").alias("change_type"), "r.citation", F.col("r.context").alias("raw_citation_text"))
     return head.unionByName(rest)
 
 
@@ -209,10 +234,8 @@ def register(spark: SparkSession) -> None:
             for r in parse_body(text):
                 yield tuple(r.values())
 
-    class BodyReferences:
-        def eval(self, text: str, own: str):
-            for r in body_references(text, own):
-                yield r["citation"], r["context"]
-
-    spark.udtf.register("parse_document_body", F.udtf(ParseBody, returnType=_TREE))
-    spark.udtf.register("extract_body_references", F.udtf(BodyReferences, returnType=_REFERENCE))
+    spark.udtf.register("parse_document_body", F.udtf(ParseBody, returnType=TREE))
+    spark.sql(
+        "create or replace temporary function extract_body_references(t string, own string) returns table (citation string, context string) "
+        f"return select r.citation, r.context from (select explode({references_sql('t', 'own')}) as r)"
+    )

@@ -32,12 +32,30 @@ def test_annex_and_footer():
     assert body.parse_body(None) == [] and body.parse_body("") == []
 
 
-def test_references():
-    t = "Luật\nChương I. A\nTheo Nghị định 78/2025/NĐ-CP và 03/2009/TT-BKHĐT; sửa đổi 104/2016/QH13. Lại 78/2025/NĐ-CP."
-    assert [r["citation"] for r in body.body_references(t)] == ["78/2025/NĐ-CP", "03/2009/TT-BKHĐT", "104/2016/QH13"]
-    assert [r["citation"] for r in body.body_references(t, own="104/2016/QH13")] == ["78/2025/NĐ-CP", "03/2009/TT-BKHĐT"]
-    assert [r["citation"] for r in body.body_references(t, legacy=True)] == ["03/2009/TT-BKH", "104/2016/QH13"]
-    assert body.body_references("78/2025/NĐ-CP") == [] and body.body_references(None) == []
+def test_references(spark):
+    t = "Luật\nChương I. A\nTheo Nghị định 78/2025/NĐ-CP và 03/2009/TT-BKHĐT; sửa đổi 104/2016/QH13. Lại 78/2025/NĐ-CP, 1104/2016/QH13."
+    docs = spark.createDataFrame([(1, t, None), (2, t, "104/2016/QH13"), (3, "78/2025/NĐ-CP", None), (4, None, None)], "document_id int, full_text string, citation_id string")
+    found = lambda legacy=False: [(r["document_id"], r["citation"]) for r in body.text_references(docs, legacy=legacy).collect() if r["reference_type"] != "has_basis"]
+    three = ["78/2025/NĐ-CP", "03/2009/TT-BKHĐT", "104/2016/QH13"]
+    assert found() == [(1, c) for c in three] + [(2, c) for c in three[:2]]
+    assert found(legacy=True) == [(1, "03/2009/TT-BKH"), (1, "104/2016/QH13"), (2, "03/2009/TT-BKH")]
+    near = {r["citation"]: r for r in body.text_references(docs.filter("document_id = 1")).collect()}
+    assert near["104/2016/QH13"]["raw_citation_text"] == t.split("Chương I.")[1].lower().strip()[-106:] or "sửa đổi 104/2016/qh13. lại" in near["104/2016/QH13"]["raw_citation_text"]
+    assert near["104/2016/QH13"]["reference_type"] == "amends"
+    body.register(spark)
+    docs.createOrReplaceTempView("refs")
+    assert [r["citation"] for r in spark.sql("select r.citation from refs, lateral extract_body_references(full_text, citation_id) r where document_id = 2").collect()] == three[:2]
+
+
+def test_more_line_forms():
+    assert [x[1] for x in shape("Chương XIV\nA\nChương 3\nB\nChương IX. C")] == ["14", "3", "9"]
+    assert shape("Điều 1. A\n1. x\na) y\n2. z\nb) w")[-1] == ("diem", "b", None, "w", 3)
+    assert shape("1. lạc\na) lạc\nĐiều 1. A\na) chưa có khoản") == [("dieu", "1", "A", "a) chưa có khoản", None)]
+    assert shape("Phần I\nMột\nĐiều 1. A\nChương II\nHai\nĐiều 2. B") == [("phan", "1", "Một", None, None), ("dieu", "1", "A", None, 0), ("chuong", "2", "Hai", None, 0), ("dieu", "2", "B", None, 2)]
+    assert shape("Điều 1. A\nPhụ lục\nPhụ lục II. B\nx\nĐiều 9. y\nNơi nhận:") == [("dieu", "1", "A", None, None), ("phu_luc", "1", None, None, None), ("phu_luc", "2", "B", "x\nĐiều 9. y\nNơi nhận:", None)]
+    assert [n["label"] for n in body.parse_body("CHƯƠNG I\nA\nĐIỀU 1. B\nPHỤ LỤC III\nx")] == ["CHƯƠNG I", "Điều 1", "PHỤ LỤC III"]
+    assert shape("Điều 1. A\nThay mặt nhân dân\nx") == [("dieu", "1", "A", None, None)]
+    assert shape("Điều 1\nNơi nhận:\nx") == [("dieu", "1", None, None, None)] and shape("Điều 1\nNơi nhận:\nx", legacy=True) == [("dieu", "1", "Nơi nhận:", "x", None)]
 
 
 TEXT = "Chương I\nCHUNG\nĐiều 1. A\n1. Một\nd) D\nđ) Đ\n2. Hai\n10. Mười\nĐiều 2. B\nchữ\nĐiều 2. B lại\nPhụ lục\nMẫu số 1\nz"
