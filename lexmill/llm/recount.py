@@ -1,7 +1,8 @@
 """Edit-aware token counts.
 
 A document's pre-tokens are the leaves of a balanced segment tree whose nodes hold sums of characters and tokens. An
-edit replaces a range of characters. The pre-tokenizer reads from left to right and looks at most two characters ahead
+edit replaces a range of characters. A node whose children have grown uneven is built anew, so the tree stays of
+logarithmic depth wherever edits fall. The special token is a leaf of its own. The pre-tokenizer reads from left to right and looks at most two characters ahead
 of a match, so it is restarted two pre-tokens before the edit and stopped where a new cut falls on an old one after the
 edit: from there on both agree. Only pre-tokens between are encoded again; the sums on the path to the root follow.
 """
@@ -18,6 +19,8 @@ from pyspark.sql import types as T
 from lexmill.llm.tokens import DEFAULT, SPECIAL, encoder
 
 LEAF, CONTEXT = 64, 2
+#: share of a node's pre-tokens that one child may hold, beyond a few leaves; then the node is built anew
+UNEVEN = 0.7
 
 
 class Tree:
@@ -76,6 +79,21 @@ class Tree:
             self.left.splice(lo, cut, sizes, counts)
             self.right.splice(0, hi - cut, [], [])
         self.join(self.left, self.right)
+        if max(self.left.n, self.right.n) > UNEVEN * self.n + 2 * LEAF or self.n <= LEAF:
+            sizes, counts = [], []
+            for leaf in self.leaves():
+                sizes += leaf.sizes
+                counts += leaf.counts
+            self.__init__(sizes, counts)
+
+    def leaves(self) -> Iterator[Tree]:
+        todo = [self]
+        while todo:
+            node = todo.pop()
+            if node.left is None:
+                yield node
+            else:
+                todo += [node.right, node.left]
 
 
 class Counted:
@@ -86,13 +104,23 @@ class Counted:
 
         self.cut = regex.compile(enc.pattern)
         self.enc, self.text, self.encoded = enc, text, 0
-        pieces = self.cut.findall(text)
-        self.tree = Tree([len(p) for p in pieces], [enc.count(p) for p in pieces])
+        pieces = list(self.pieces(0))
+        self.tree = Tree([b - a for a, b, _ in pieces], [n for *_, n in pieces])
 
     @property
     def tokens(self) -> int:
-        """The special token's string has an id of its own and may stand across pre-tokens: such texts are counted whole."""
-        return len(self.enc.ids(self.text)) // 4 if SPECIAL in self.text else self.tree.tokens
+        return self.tree.tokens
+
+    def pieces(self, at: int) -> Iterator[tuple[int, int, int]]:
+        """(start, end, ids) of the pre-tokens from a place on. The special token's string is cut out first, as the encoder does."""
+        while at < len(self.text):
+            found = self.text.find(SPECIAL, at)
+            end = found if found >= 0 else len(self.text)
+            for m in self.cut.finditer(self.text, at, end):
+                yield m.start(), m.end(), self.enc.count(m.group())
+            if found >= 0:
+                yield found, found + len(SPECIAL), 1
+            at = end + len(SPECIAL)
 
     def edit(self, start: int, end: int, put: str) -> None:
         """Replaces characters start to end, exclusive, both clamped to the text; counts what it encodes in ``encoded``."""
@@ -100,22 +128,22 @@ class Counted:
         end = min(max(start, end), len(self.text))
         tree, old = self.tree, self.text
         self.text = old[:start] + put + old[end:]
-        first = max(0, tree.index(start) - CONTEXT)
+        first = max(0, tree.index(max(0, start - len(SPECIAL))) - CONTEXT)  # the edit may complete a special token
         at = tree.start(first)
         settled, moved = start + len(put), len(put) - (end - start)
         sizes, counts = [], []
         last, reach = tree.index(end), None
-        for m in self.cut.finditer(self.text, at):
-            if m.start() >= settled:
+        for begin, stop, n in self.pieces(at):
+            if begin >= settled:
                 if reach is None:
                     reach = tree.start(last) if last < tree.n else tree.chars
-                while reach < m.start() - moved and last < tree.n:
+                while reach < begin - moved and last < tree.n:
                     reach += tree.size(last)
                     last += 1
-                if reach == m.start() - moved:
+                if reach == begin - moved:
                     break
-            sizes.append(m.end() - m.start())
-            counts.append(self.enc.count(m.group()))
+            sizes.append(stop - begin)
+            counts.append(n)
         else:
             last = tree.n
         self.encoded += len(sizes)
