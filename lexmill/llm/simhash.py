@@ -29,8 +29,8 @@ BITS = 64
 _BLOCK = 1 << 16
 #: for the order of shingles: texts of the sample, texts of it that share a common shingle at least, common shingles kept
 SAMPLE, COMMON, LISTED = 20_000, 3, 200_000
-#: rounds in which a key's texts are held against one of them, before all that are still apart are
-HUBS = 3
+#: rounds in which a key's texts are held against some of them, before all that are still apart are, and how many
+TURNS, HUBS = 3, 4
 #: digests of texts that may be broadcast; more are joined by a shuffle
 BROADCAST_DIGESTS = 200_000
 #: longs of parity bits per text
@@ -147,9 +147,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     by bounds that no link breaks (sizes, places in the order, parity bits) and then verified by exact intersection.
     The order puts shingles that are frequent in a sample last; it decides the work, not the result.
 
-    A hot key would meet itself in pairs. So its classes are first held against one hub alone, in several rounds: in
-    each the least of the key's classes in an order that all keys share, so a group of near copies meets few hubs. What
-    the links join needs no further test; all pairs of a key that are still apart are tried in the end.
+    A hot key would meet itself in pairs. So its classes are first held against a few hubs alone, in several rounds: the
+    least of the key's classes in orders that all keys share, so a group of near copies meets few hubs. What the links
+    join needs no further test; all pairs of a key that are still apart are tried in the end.
     Null and empty texts are one class. Classes are numbered, so rows that share an id, or have none, stay apart."""
     prefixes = written(_prefixes(docs, id_col, text_col, words, similarity), "prefixes")
     who = F.struct(F.col("id").isNull().alias("none"), "id", "digest")
@@ -164,9 +164,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = lists.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("key").alias("k")).hint("rebalance")
     lists = written(lists.join(shared, F.col("key") == F.col("k")).select("key", "id", "size", "place", F.col("id").alias("root")), "lists")
     links = None
-    for turn in range(HUBS):
-        own = F.struct(F.xxhash64(F.lit(turn), "id").alias("at"), "id", "size", "place", "root")
-        hubs = lists.groupBy("key").agg(F.min(own).alias("f")).select(F.col("key").alias("k"), "f").hint("rebalance")
+    for turn in range(TURNS):
+        own = [F.struct(F.xxhash64(F.lit(turn * HUBS + i), "id").alias("at"), "id", "size", "place", "root") for i in range(HUBS)]
+        hubs = lists.groupBy("key").agg(*(F.min(o).alias(f"f{i}") for i, o in enumerate(own)))
+        hubs = hubs.select(F.col("key").alias("k"), F.explode(F.array_distinct(F.array(*(f"f{i}" for i in range(HUBS))))).alias("f")).hint("rebalance")
         met = lists.join(hubs, F.col("key") == F.col("k")).filter("root <> f.root")
         pairs = _possible(met.select("id", "size", "place", F.col("f.id").alias("id2"), F.col("f.size").alias("size2"), F.col("f.place").alias("place2")), similarity)
         links = _more_links(docs, text_col, words, similarity, reps, pairs, links)

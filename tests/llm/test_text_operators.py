@@ -34,6 +34,25 @@ def test_license_edited_notice(spark):
     assert got[1][0] == "mit" and got[1][1] > 0.9 and got[2] == ("", 0.0) and got[3] == ("", 0.0)
 
 
+def test_each_notice_gets_its_own_label_alone(spark):
+    rows = [(n, f"foo bar {words} and more") for n, (_, words) in enumerate(licenses.NOTICES)]
+    rows += [(500, "This work is licensed under the GNU General Public License version 4"), (501, "either version 7 of the license as published by the free software foundation")]
+    got = {r["id"]: r["labels"] for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {n: label for n, (label, _) in enumerate(licenses.NOTICES)} | {500: "", 501: ""}
+
+
+def test_whole_license_texts_from_files(spark, tmp_path):
+    rng = random.Random(3)
+    texts = {name: " ".join(rng.choices([f"w{i}" for i in range(300)], k=900)) for name in ("own-1", "own-2")}
+    for name, text in texts.items():
+        (tmp_path / f"{name}.txt").write_text(f"It's \"quoted\"; {text}")
+    notices = licenses.read_notices(spark, f"file://{tmp_path}")
+    assert [n for n, _ in notices] == ["own-1", "own-2"]
+    rows = [(1, f"before. {texts['own-1'].upper()} after"), (2, " ".join(texts["own-2"].split()[:300])), (3, texts["own-2"].replace("w7 ", "w8 "))]
+    got = {r["id"]: r["labels"] for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), notices=notices).collect()}
+    assert got == {1: "own-1", 2: "", 3: "own-2"}
+
+
 def brute_chat(turns):
     text = "".join(f"{r}\n{t}\n" for r, t in turns)
     loss = "".join(t for r, t in turns if r == "assistant")
@@ -60,6 +79,10 @@ def test_ids_match_the_library():
         assert full(enc.ids(t)) == enc.full.encode(t, add_special_tokens=False).ids
 
 
+def depth(node):
+    return 1 if node.left is None else 1 + max(depth(node.left), depth(node.right))
+
+
 def test_edited_counts_match_full_counts(spark):
     enc, rng = tokens.encoder(), random.Random(5)
     letters = list("ab's   \n\t12.,!?é'rell ")
@@ -70,6 +93,15 @@ def test_edited_counts_match_full_counts(spark):
             doc.edit(a, a + rng.choice([0, 1, 5]), "".join(rng.choices(letters, k=rng.choice([0, 1, 4]))))
             fresh = recount.Counted(doc.text, enc)
             assert (doc.tree.tokens, doc.tree.n, doc.tree.chars) == (fresh.tree.tokens, fresh.tree.n, len(doc.text)) and doc.tokens == len(enc.ids(doc.text)) // 4
+        doc = recount.Counted("".join(rng.choices(["a ", "<|endoftext|>", "  ", "x", "<|endof", "text|>"], k=rng.choice([3, 30]))), enc)
+        for _ in range(4):
+            a = rng.randint(0, len(doc.text))
+            doc.edit(a, a + rng.choice([0, 1, 3]), rng.choice(["", "text|>", "<|endof", "<|endoftext|>", " ", "y"]))
+            assert doc.tokens == len(enc.ids(doc.text)) // 4
+    grown = recount.Counted("start of it", enc)
+    for i in range(100_000):
+        grown.edit(2, 2, " a")
+    assert grown.tokens == recount.Counted(grown.text, enc).tokens and depth(grown.tree) < 40
     long = recount.Counted("word " * 20000, enc)
     long.edit(50000, 50003, "xyz")
     assert long.encoded < 12
