@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions.citations import citation_in_text
 from lexmill.functions.hashing import stable_id
+from lexmill.operators.search import Filters, matching
 
 OUTGOING, INCOMING, ALL = "outgoing", "incoming", "all"
 
@@ -62,15 +63,22 @@ def dangling_list(edges: DataFrame, document: DataFrame, **filters) -> DataFrame
 
 
 def heal(edges: DataFrame, document: DataFrame, citations: list[str] | None = None) -> DataFrame:
-    """All edges, dangling ones bound where their citation is a document's, each edge once; ``healed`` marks the bound ones.
+    """All edges, dangling ones bound where their citation is a document's; ``healed`` marks the bound ones.
 
-    The citation is the edge's own column or, without one, read from its raw text. Only dangling edges are joined."""
+    The citation is the edge's own column or, without one, read from its raw text. Only dangling edges are joined, and
+    only edges that share a bound one's source and target are told apart again: of equal ones the first stays. The
+    others are taken to be distinct, as insertion leaves them."""
     loose = edges.filter("target_document_id is null").withColumn("__c", F.coalesce(F.col("citation"), citation_in_text(F.col("raw_citation_text"))))
     ids = document.select(F.col("citation_id").alias("__c"), F.col("id").alias("__t")).filter("__c is not null")
     if citations is not None:
         ids = ids.filter(F.col("__c").isin(citations))
-    bound = loose.join(ids, "__c", "left").withColumn("healed", F.col("__t").isNotNull()).withColumn("target_document_id", F.col("__t")).drop("__c", "__t")
-    return dedup_edges(edges.filter("target_document_id is not null").withColumn("healed", F.lit(False)).unionByName(bound), ["healed", "created_at", "id"])
+    tried = loose.join(ids, "__c", "left").withColumn("healed", F.col("__t").isNotNull()).withColumn("target_document_id", F.col("__t")).drop("__c", "__t")
+    bound, still = tried.filter("healed"), tried.filter("not healed")
+    ends = ["source_document_id", "target_document_id"]
+    before = edges.filter("target_document_id is not null").withColumn("healed", F.lit(False))
+    near = bound.select(*ends).distinct()
+    changed = dedup_edges(before.join(near, ends, "left_semi").select(*bound.columns).unionByName(bound), ["healed", "created_at", "id"])
+    return before.join(near, ends, "left_anti").unionByName(still).unionByName(changed)
 
 
 def heal_report(edges: DataFrame, document: DataFrame, citations: DataFrame) -> DataFrame:
@@ -104,8 +112,9 @@ def delete_documents(document: DataFrame, nodes: DataFrame, edges: DataFrame, id
         ids = document.select("id")
     asked = ids.select("id").distinct()
     gone = asked.join(document.select("id"), "id", "left_semi")
-    n = nodes.groupBy(F.col("document_id").alias("id")).agg(F.count("*").alias("nodes"))
-    ends = edges.select(F.col("source_document_id").alias("id"), F.col("id").alias("e")).unionByName(edges.select(F.col("target_document_id").alias("id"), F.col("id").alias("e"))).distinct()
+    n = nodes.select(F.col("document_id").alias("id")).join(gone, "id", "left_semi").groupBy("id").agg(F.count("*").alias("nodes"))
+    sides = [edges.select(F.col(f"{end}_document_id").alias("id"), F.col("id").alias("e")).join(gone, "id", "left_semi") for end in ("source", "target")]
+    ends = sides[0].unionByName(sides[1]).distinct()
     e = ends.groupBy("id").agg(F.count("*").alias("edges"))
     found = document.select("id", F.lit(True).alias("there"))
     report = asked.join(found, "id", "left").join(n, "id", "left").join(e, "id", "left")
@@ -115,3 +124,15 @@ def delete_documents(document: DataFrame, nodes: DataFrame, edges: DataFrame, id
     for end in ("source_document_id", "target_document_id"):
         left = left.join(gone.withColumnRenamed("id", end), end, "left_anti")
     return document.join(gone, "id", "left_anti"), nodes.join(gone.withColumnRenamed("id", "document_id"), "document_id", "left_anti"), left, report
+
+
+def delete_matching(document: DataFrame, issuing_body: DataFrame, nodes: DataFrame, edges: DataFrame, f: Filters) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(documents, nodes, edges left, counters matched, deleted, not_found) of a delete by search filters.
+
+    Filters that leave every document match all of them, so empty ones are refused."""
+    if f.empty():
+        raise ValueError("no filters: delete_documents deletes every document if asked to")
+    ids = matching(document, issuing_body, f).select("id").distinct()
+    left = delete_documents(document, nodes, edges, ids)
+    counts = left[3].agg(F.count("*").alias("matched"), F.count_if(F.col("outcome") == "deleted").alias("deleted"), F.count_if(F.col("outcome") == "notFound").alias("not_found"))
+    return *left[:3], counts

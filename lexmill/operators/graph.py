@@ -33,7 +33,7 @@ def as_of(events: DataFrame, key: list[str], when: str, day: Column) -> DataFram
 
 def amendment_history(edges: DataFrame, document: DataFrame, document_id: str, day: Column) -> DataFrame:
     """Amending documents of one document that are in effect by a day, newest first."""
-    hits = edges.filter((F.col("target_document_id") == document_id) & (F.col("reference_type") == "amends"))
+    hits = edges.filter((F.col("target_document_id") == document_id) & (F.col("reference_type") == "amends")).drop("citation")
     by = document.select(F.col("id").alias("source_document_id"), F.col("citation_id").alias("citation"), F.coalesce("effective_date", "enacted_date").alias("effective"))
     return hits.join(by, "source_document_id").filter(F.col("effective") <= day).orderBy(F.desc("effective"), "citation")
 

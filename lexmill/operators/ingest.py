@@ -65,12 +65,19 @@ def skipped(pages: DataFrame) -> DataFrame:
     return pages.filter(F.coalesce(F.col("scope"), F.lit("")) != CENTRAL).select("sourceUrl", F.concat(F.lit("scope is "), F.coalesce("scope", F.lit("missing"))).alias("reason"))
 
 
-def sync(tables: Tables, pages: DataFrame, now: datetime, insert: bool = True, legacy: bool = False) -> tuple[Tables, DataFrame]:
-    """(new tables, outcomes by citation): documents by content hash, edges, clause trees of what changed, late targets.
+def parted(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pages that can be taken, errors (sourceUrl, message) of the others): one broken page doesn't stop a batch."""
+    marked = pages.withColumn("__problem", relations.page_problem())
+    return marked.filter("__problem is null").drop("__problem"), marked.filter("__problem is not null").select("sourceUrl", F.col("__problem").alias("message"))
+
+
+def sync(tables: Tables, pages: DataFrame, now: datetime, insert: bool = True, legacy: bool = False) -> tuple[Tables, DataFrame, DataFrame]:
+    """(new tables, outcomes by citation, errors by page): documents by content hash, edges, clause trees of what changed, late targets.
 
     insert=False updates known documents alone; others are reported as notFound. Trees are parsed for new and changed
     documents and for those without nodes, so texts that stayed the same aren't read again."""
-    docs = written(parsed_documents(pages.filter(F.col("scope") == CENTRAL), now), "parsed")
+    good, errors = parted(pages.filter(F.col("scope") == CENTRAL))
+    docs = written(parsed_documents(good, now), "parsed")
     cols = tables.document.columns
     known = tables.document.select("citation_id")
     taken = docs if insert else docs.join(known, "citation_id", "left_semi")
@@ -106,7 +113,7 @@ def sync(tables: Tables, pages: DataFrame, now: datetime, insert: bool = True, l
     tree = body.with_paths(body.clause_nodes(work, legacy=legacy), legacy=legacy).join(work.select("document_id", "status", "valid_from"), "document_id")
     tree = tree.withColumns({"valid_to": F.lit(None).cast("date"), "superseded_by_node_id": F.lit(None).cast("string")}).select(*schemas.DOCUMENT_NODE.names)
     node = tables.document_node.join(todo, "document_id", "left_anti").select(*schemas.DOCUMENT_NODE.names).unionByName(tree)
-    return Tables(bodies, document, node, reference), outcomes
+    return Tables(bodies, document, node, reference), outcomes, errors
 
 
 def _consolidated(document: DataFrame) -> DataFrame:
@@ -118,14 +125,14 @@ def _consolidated(document: DataFrame) -> DataFrame:
     return document.join(first, "id", "left").withColumn("consolidates_document_id", F.coalesce("__hit", "consolidates_document_id")).select(cols)
 
 
-def report(outcomes: DataFrame, left_out: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
-    """One row: documents by outcome, skipped pages, and edges bound in this batch."""
+def report(outcomes: DataFrame, left_out: DataFrame, errors: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row: documents by outcome, skipped and broken pages, and edges bound in this batch."""
     counts = outcomes.agg(*(F.count_if(F.col("outcome") == o).alias(o) for o in (upsert.INSERTED, upsert.CHANGED, upsert.UNCHANGED, upsert.NOT_FOUND)))
     loose = before.filter("target_document_id is null").select("source_document_id", "reference_type", "raw_citation_text").distinct()
     still = after.filter("target_document_id is null").select("source_document_id", "reference_type", "raw_citation_text")
     healed = loose.join(still, ["source_document_id", "reference_type", "raw_citation_text"], "left_anti").agg(F.count("*").alias("healed"))
     skips = left_out.agg(F.count("*").alias("skipped"))
-    return counts.join(skips).join(healed)  # single rows
+    return counts.join(skips).join(errors.agg(F.count("*").alias("errors"))).join(healed)  # single rows
 
 
 def re_extract(tables: Tables, document_ids: DataFrame, now: datetime) -> DataFrame:

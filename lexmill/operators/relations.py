@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions.citations import citation_in_text, normalize_citation
+from lexmill.functions.dates import source_date
 from lexmill.functions.text import blank_to_null, trim_all
 
 EMPTY = "--"
@@ -64,6 +65,22 @@ def parse_attributes(pages: DataFrame, pairs: str = "attributes") -> DataFrame:
     return pages.withColumns(got)
 
 
+def page_problem(pairs: str = "attributes", cards: str = "relations") -> Column:
+    """What keeps a page from being taken: a missing required attribute, an unreadable issue date, an unknown heading; else null."""
+    labels = F.coalesce(F.array_join(F.transform(pairs, lambda p: p["label"]), ", "), F.lit(""))
+    got = {name: blank_to_null(attribute(F.col(pairs), ATTRIBUTES[name])) for name in (*REQUIRED, "issued_date_raw")}
+    found = [F.when(got[name].isNull(), F.concat(F.lit(f"no {name} among: "), labels)) for name in REQUIRED]
+    found.append(F.when(source_date(got["issued_date_raw"]).isNull(), F.concat(F.lit("no issue date: "), normalize_citation(got["citation"]))))
+    bad = unknown_headings(F.col(cards))
+    found.append(F.when(F.size(bad) > 0, F.concat(F.lit("unknown relation heading: "), F.array_join(bad, ", "))))
+    return F.coalesce(*found)
+
+
+def unknown_headings(cards: Column) -> Column:
+    names = [lab for passive, active, *_ in RELATIONS for lab in (passive, active)] + [IGNORED, CONSOLIDATED_INTO, CONSOLIDATES]
+    return F.filter(F.transform(cards, lambda c: strip_count(c["categoryLabel"])), lambda x: ~x.isin(names))
+
+
 def relation_rows(pages: DataFrame, key: str, cards: str = "relations") -> DataFrame:
     """(key, label, entry): each entry of each card; placeholders and blanks are left out."""
     rows = pages.select(key, F.explode(cards).alias("c")).select(key, strip_count(F.col("c.categoryLabel")).alias("label"), F.explode("c.entries").alias("entry"))
@@ -75,8 +92,7 @@ def parse_relations(pages: DataFrame, key: str, cards: str = "relations") -> Dat
     spark = pages.sparkSession
     table = [(lab, kind, change, source) for passive, active, kind, change in RELATIONS for lab, source in ((passive, False), (active, True))]
     known = spark.createDataFrame(table, "label string, reference_type string, change_type string, this_is_source boolean")
-    names = [lab for lab, *_ in table] + [IGNORED, CONSOLIDATED_INTO, CONSOLIDATES]
-    bad = F.filter(F.transform(cards, lambda c: strip_count(c["categoryLabel"])), lambda x: ~x.isin(names))
+    bad = unknown_headings(F.col(cards))
     sure = pages.withColumn(cards, F.when(F.size(bad) > 0, F.raise_error(F.concat(F.lit("unknown relation heading: "), F.array_join(bad, ", ")))).otherwise(F.col(cards)))
     rows = relation_rows(sure, key, cards).join(F.broadcast(known), "label")  # 24 rows
     return rows.select(key, "reference_type", "change_type", "this_is_source", F.col("entry").alias("raw_citation_text"), citation_in_text(F.col("entry")).alias("citation"))

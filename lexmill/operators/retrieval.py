@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import fold_diacritics
+from lexmill.scratch import written
 
 K1, B, RRF_K = 1.2, 0.75, 60
 FOLDED_BOOST = 0.5
@@ -21,11 +22,12 @@ def _times(words: str, term: str) -> Column:
 
 
 def bm25(docs: DataFrame, terms: list[str], id_col: str = "id", text_col: str = "text", k1: float = K1, b: float = B) -> DataFrame:
-    """(id, score) of rows with a query term. One pass counts the terms and sizes; only (id, term, tf) rows of the query
-    are shuffled, after a map-side combine, and corpus statistics are one row."""
+    """(id, score) of rows with a query term. One pass over the texts counts sizes and the query's terms and writes these
+    numbers; the corpus statistics, one row, and the scores are taken from them."""
     terms = sorted({t.lower() for t in terms})
     words = docs.select(F.col(id_col).alias("id"), tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("w"))
     tf = words.select("id", F.size("w").alias("dl"), *(_times("w", t).alias(f"t{i}") for i, t in enumerate(terms)))
+    tf = written(tf, "terms")
     stats = tf.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"t{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
     joined = tf.filter(" or ".join(f"t{i} > 0" for i in range(len(terms))) or "false").join(F.broadcast(stats))  # a single row
 

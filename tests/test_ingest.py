@@ -33,7 +33,8 @@ def synced(spark):
 
 
 def test_sync(spark, synced):
-    pages, t, outcomes = synced
+    pages, t, outcomes, errors = synced
+    assert errors.count() == 0
     assert [tuple(r) for r in outcomes.collect()] == [("51/2024/QH15", "inserted")]
     d = t.document.first()
     assert (d["citation_id"], d["status"], d["enacted_date"], d["effective_date"]) == ("51/2024/QH15", "con_hieu_luc", dt.date(2024, 2, 1), None)
@@ -45,24 +46,24 @@ def test_sync(spark, synced):
 
 
 def test_twice_changes_nothing_and_late_targets_are_bound(spark, synced):
-    pages, t, _ = synced
-    again, outcomes = ingest.sync(t, pages, NOW)
+    pages, t, _, _ = synced
+    again, outcomes, _ = ingest.sync(t, pages, NOW)
     assert [r["outcome"] for r in outcomes.collect()] == ["unchanged"]
     assert snapshot(again) == snapshot(t)
     late = frame(spark, page("78/2025/NĐ-CP", "NGHỊ ĐỊNH\nĐiều 1. X", [("Văn bản sửa đổi bổ sung", ["Luật số 51/2024/QH15"])]))
-    t2, out2 = ingest.sync(t, late, NOW)
+    t2, out2, bad = ingest.sync(t, late, NOW)
     ids = {r["citation_id"]: r["id"] for r in t2.document.collect()}
     bound = {(r["source_document_id"], r["reference_type"]) for r in t2.document_reference.filter("target_document_id is not null").collect()}
     assert bound == {(ids["51/2024/QH15"], "cites"), (ids["78/2025/NĐ-CP"], "amends")}
-    row = ingest.report(out2, ingest.skipped(late), t.document_reference, t2.document_reference).first()
-    assert (row["inserted"], row["healed"], row["skipped"]) == (1, 1, 0)
+    row = ingest.report(out2, ingest.skipped(late), bad, t.document_reference, t2.document_reference).first()
+    assert (row["inserted"], row["healed"], row["skipped"], row["errors"]) == (1, 1, 0, 0)
     assert ingest.re_extract(t2, t2.document.select("id"), NOW).count() == 0
 
 
 def test_update_only(spark, synced):
-    _, t, _ = synced
+    _, t, *_ = synced
     pages = frame(spark, page("51/2024/QH15", LAW + "\nĐiều 3. Ba"), page("2/2024/QH15"))
-    t2, outcomes = ingest.sync(t, pages, NOW, insert=False)
+    t2, outcomes, _ = ingest.sync(t, pages, NOW, insert=False)
     assert {tuple(r) for r in outcomes.collect()} == {("51/2024/QH15", "changed"), ("2/2024/QH15", "notFound")}
     assert t2.document.count() == 1 and t2.document_node.count() == 5
 
@@ -77,6 +78,27 @@ def test_bad_pages(spark):
     assert ingest.parsed_documents(frame(spark, page("1/2", status=None)), NOW).first()["status"] is None
 
 
+def test_broken_pages_dont_stop_a_batch(spark):
+    pages = frame(spark, page("1/2024/QH15", LAW), page(None, url="a"), page("2/2", issued="31/31/2024", url="b"), page("3/2", cards=[("Lạ (1)", ["x"])], url="c"), (None, "trung-uong", None, None, None, None))
+    t, outcomes, errors = ingest.sync(ingest.Tables.empty(spark), pages, NOW)
+    assert [r["outcome"] for r in outcomes.collect()] == ["inserted"] and t.document.count() == 1
+    assert {r["sourceUrl"]: r["message"].partition(":")[0] for r in errors.collect()} == {"a": "no citation among", "b": "no issue date", "c": "unknown relation heading", None: "no citation among"}
+
+
+def test_delete_by_filters(spark):
+    from lexmill.operators.search import Filters
+
+    docs = spark.createDataFrame([("a", "1", "Luật", "x"), ("b", "2", "Nghị định", "x")], "id string, citation_id string, document_type string, issuing_body_id string")
+    bodies = spark.createDataFrame([("x", "X")], "id string, name string")
+    nodes = spark.createDataFrame([("a",), ("b",)], "document_id string")
+    e = spark.createDataFrame([("1", "a", "b", "cites", None, "r", None, 1), ("2", "b", None, "cites", None, "r", None, 1)], EDGE)
+    d, n, left, counts = edges.delete_matching(docs, bodies, nodes, e, Filters(document_types=["Luật"]))
+    assert ([r["id"] for r in d.collect()], n.count(), [r["id"] for r in left.collect()], tuple(counts.first())) == (["b"], 1, ["2"], (1, 1, 0))
+    assert tuple(edges.delete_matching(docs, bodies, nodes, e, Filters(document_types=["Không"]))[3].first()) == (0, 0, 0)
+    with pytest.raises(ValueError, match="no filters"):
+        edges.delete_matching(docs, bodies, nodes, e, Filters())
+
+
 def test_relations(spark):
     cards = [("Văn bản liên quan cùng nội dung (3)", ["x"]), ("Văn bản hợp nhất", ["Luật số 3/2020/QH14", " "]), ("Văn bản được hợp nhất (1)", ["--"]), ("Văn bản thay thế", ["Luật số 4/2020/QH14"]), ("Căn cứ ban hành", ["Hiến pháp"])]
     p = frame(spark, page("1/2", cards=cards))

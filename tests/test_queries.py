@@ -55,7 +55,7 @@ def test_whole_queries_leave_out_no_document(spark, duck):
     known = "(select o_orderkey from orders)"
     conds = {"outgoing": f"l_orderkey in {known}", "incoming": f"l_partkey in {known}"}
     for direction, cond in conds.items():
-        got = entry.queries()[f"edge_{direction}_whole"](spark, str(DATA)).count()
+        got = entry.queries()[f"edge_{direction}"](spark, str(DATA)).count()
         assert got == duck.execute(f"select count(*) from lineitem where {cond}").fetchone()[0]
-    counts = entry.queries()["issuing_body_counts_whole"](spark, str(DATA)).agg({"document_count": "sum"}).first()[0]
+    counts = entry.queries()["issuing_body_counts"](spark, str(DATA)).agg({"document_count": "sum"}).first()[0]
     assert counts == duck.execute("select count(*) from customer where c_nationkey in (select n_nationkey from nation)").fetchone()[0]
