@@ -17,6 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexmill.llm.components import connected_components
 from lexmill.scratch import written
@@ -73,7 +74,7 @@ def grow(sample: np.ndarray, total: int, trees: int = TREES, leaf: int = LEAF, s
 
 
 def compare(rows: pd.DataFrame, link: float = LINK) -> pd.DataFrame:
-    """One block or pair of blocks of a leaf: (rep, links, root) of each row with a link that no earlier leaf holds."""
+    """One block or pair of blocks of a leaf: (node, links, root) of each row with a link that no earlier leaf holds."""
     x = np.stack(rows["vector"].to_numpy()).astype(np.float64)
     norm = np.sqrt((x * x).sum(axis=1))
     first, second = rows["block"].to_numpy() == rows["b1"].iloc[0], rows["block"].to_numpy() == rows["b2"].iloc[0]
@@ -92,7 +93,7 @@ def compare(rows: pd.DataFrame, link: float = LINK) -> pd.DataFrame:
     i, j = a[i], b[j]
     weight = rows["copies"].to_numpy()
     links = np.bincount(i, weights=weight[j], minlength=len(rows)) + np.bincount(j, weights=weight[i], minlength=len(rows))
-    ids = rows["rep"].to_numpy()
+    ids = rows["node"].to_numpy()
     root = ids.copy()
     while len(i):  # the least id over links, again and again until nothing changes
         low, before = np.minimum(root[i], root[j]), root.copy()
@@ -101,21 +102,23 @@ def compare(rows: pd.DataFrame, link: float = LINK) -> pd.DataFrame:
         if (root == before).all():
             break
     kept = links > 0
-    return pd.DataFrame({"rep": ids[kept], "links": links[kept].astype(np.int64), "root": root[kept]})
+    return pd.DataFrame({"node": ids[kept], "links": links[kept].astype(np.int64), "root": root[kept]})
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", link: float = LINK, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
     """(id, n_links, component_id, kept): one row per input row.
 
     Vectors without a label, null, empty, zero, or with null or non-finite components link with nothing; neither do
-    vectors of different lengths, nor rows with a null id. Rows that share an id are told apart."""
+    vectors of different lengths, nor rows with a null id. Classes of equal vectors are numbered, so rows that share an id are
+    told apart. Doubles stay doubles."""
     spark = vectors.sparkSession
-    src = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("vector"), F.col(label_col).alias("label"))
+    kind = "array<float>" if isinstance(vectors.schema[vector_col].dataType.elementType, T.FloatType) else "array<double>"
+    src = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind).alias("vector"), F.col(label_col).alias("label"))
     fine = F.col("id").isNotNull() & F.col("label").isNotNull() & (F.size("vector") > 0)
     fine &= F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("vector", lambda v: v != 0)
     src = src.withColumn("fine", F.coalesce(fine, F.lit(False)))
     classes = src.filter("fine").groupBy("label", "vector").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    classes = written(classes, "classes")
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     sizes = {r["d"]: r["n"] for r in classes.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n")).collect()}
     found = None
     for d, n in sorted(sizes.items()):
@@ -128,10 +131,12 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     if found is None:
         return src.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
     found = written(found, "links")
-    direct = found.groupBy("rep").agg(F.sum("links").alias("direct"))
-    roots = connected_components(found, "rep", "root").withColumnRenamed("node", "rep")
-    names = classes.join(direct, "rep", "left").join(roots, "rep", "left")
-    names = written(names.select(F.col("label").alias("l"), F.col("vector").alias("v"), (F.coalesce("direct", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("root", "rep").alias("component")), "classes")
+    direct = found.groupBy("node").agg(F.sum("links").alias("direct"))
+    named = classes.select("node", "rep").join(connected_components(found, "node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = named.groupBy("root").agg(F.min("rep").alias("component")).hint("rebalance")
+    named = named.select("node", "root").join(least, "root").select("node", "component")
+    names = classes.join(direct, "node", "left").join(named, "node")
+    names = written(names.select(F.col("label").alias("l"), F.col("vector").alias("v"), (F.coalesce("direct", F.lit(0)) + F.col("copies") - 1).alias("n"), "component"), "classes")
     good = src.filter("fine").join(names, (F.col("label") == F.col("l")) & (F.col("vector") == F.col("v"))).select("id", F.col("n").alias("n_links"), F.col("component").alias("component_id"))
     rest = src.filter("not fine").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return good.unionByName(rest).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)))
@@ -152,15 +157,15 @@ def _compared(classes: DataFrame, forest, link: float) -> DataFrame:
                         own[r].append(first + leaf)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([sorted(o) for o in own], pa.list_(pa.int32()))], names=[*batch.schema.names, "leaves"])
 
-    placed = classes.select("label", "vector", "rep", "copies")
+    placed = classes.select("label", "vector", "node", "copies")
     schema = placed.schema.simpleString()[len("struct<") : -1]
     placed = written(placed.mapInArrow(assign, f"{schema}, leaves array<int>"), "placed")
     each = placed.withColumn("leaf", F.explode("leaves"))
     counts = each.select("label", "leaf").groupBy("label", "leaf").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("label").alias("l"), F.col("leaf").alias("f"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")).hint("rebalance")
     dealt = each.join(counts, (F.col("label") == F.col("l")) & (F.col("leaf") == F.col("f"))).drop("l", "f")
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("b1", F.least("block", "other")).withColumn("b2", F.greatest("block", "other")).drop("other", "blocks")
-    return dealt.groupBy("label", "leaf", "b1", "b2").applyInPandas(lambda pdf: compare(pdf, link), "rep long, links long, root long")
+    return dealt.groupBy("label", "leaf", "b1", "b2").applyInPandas(lambda pdf: compare(pdf, link), "node long, links long, root long")
 
 
 def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

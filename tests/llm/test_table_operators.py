@@ -82,6 +82,29 @@ def test_vectors_match_brute_force(spark, monkeypatch):
     assert [tuple(r) for r in vectors.near_vectors(nulls).collect()] == [(None, 0, None, False)]
 
 
+def test_vectors_keep_doubles_and_rows_of_one_id_apart(spark):
+    near = [1.0, (1 / 0.98**2 - 1) ** 0.5 * (1 + 1e-9)]  # a cosine just below 0.98, at or above it in single precision
+    rows = [(1, [1.0, 0.0], 5), (2, near, 5), (3, [0.0, 1.0], 6), (3, [1.0, 0.0], 7), (4, [1.0, 0.001], 7), (9, [0.0, 1.001], 6)]
+    got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted(map(tuple, got)) == [(1, 0, 1, True), (2, 0, 2, True), (3, 1, 3, True), (3, 1, 3, True), (4, 1, 3, False), (9, 1, 3, False)]
+
+
+def test_planted_links_are_met_at_default_parameters(spark):
+    rng = np.random.default_rng(4)
+    rows, links = [], 0
+    for i in range(1500):
+        base = rng.standard_normal(64)
+        base /= np.linalg.norm(base)
+        side = rng.standard_normal(64)
+        side -= base * (side @ base)
+        side /= np.linalg.norm(side)
+        c = rng.uniform(0.9805, 0.99)
+        rows += [(2 * i, base.tolist(), 0), (2 * i + 1, (c * base + (1 - c * c) ** 0.5 * side).tolist(), 0)]
+    got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    links = got.filter("n_links > 0").count()
+    assert 0.9 * len(rows) <= links <= len(rows)
+
+
 VOCAB = ["".join(random.Random(i).choices("abcdefgh", k=random.Random(i).randrange(2, 8))) for i in range(400)]
 
 
