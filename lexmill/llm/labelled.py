@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexmill.llm.portions import portions
+
 #: labelled ids of each class that a fit may take, at most: those with the smallest hashes
 SAMPLE = 4000
 
@@ -46,7 +48,7 @@ def rated(docs: DataFrame, rate: Callable[[list[str | None]], np.ndarray], text_
     at = src.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in portions(batches, at):
             z = [rate(b.column(at).slice(i, batch).to_pylist()) for i in range(0, b.num_rows, batch)]
             scores = 1 / (1 + np.exp(-np.concatenate(z))) if z else np.empty(0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], names=[*b.schema.names, name])

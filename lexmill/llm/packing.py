@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexmill.llm.portions import portions
 from lexmill.llm.tokens import DEFAULT, encoder
 from lexmill.scratch import written
 
@@ -39,7 +40,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, last = encoder(vocabulary), separator.to_bytes(4, "little")
-        for batch in batches:
+        for batch in portions(batches, 1):
             cols: list[list] = [[] for _ in kinds]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = enc.ids(text.as_py() or "") + last

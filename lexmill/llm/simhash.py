@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from lexmill.llm.components import connected_components
 from lexmill.llm.filters import text_digest
+from lexmill.llm.portions import portions
 from lexmill.scratch import discard, written
 
 BITS = 64
@@ -240,7 +241,7 @@ def _prefixes(docs: DataFrame, id_col: str, text_col: str, words: int, similarit
         import xxhash
 
         known, counts = common.value
-        for batch in batches:
+        for batch in portions(batches, 2):
             digests, sizes, bits, prefixes = [], [], [], []
             for text in batch.column(2):
                 s = np.unique(shingle_hashes(text.as_py(), words))
@@ -288,7 +289,7 @@ def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
     """(id, s): the distinct shingle hashes of each row, sorted; several rows of one id stay apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, 1):
             sets = [np.unique(shingle_hashes(t.as_py(), words)).view("<i8") for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "s"])
 

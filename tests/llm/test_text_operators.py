@@ -3,9 +3,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lexmill.llm import chat, decontaminate, licenses, packing, recount, tokens
+from lexmill.llm.portions import portions
 
 MIT = "Released under the MIT License."
 
@@ -220,3 +222,14 @@ def test_items_of_all_sizes_are_met_at_the_limit():
                 near.add((d, d % n))
         found = {m[:2] for m in index.matches(texts)}
         assert len(found & near) >= 0.95 * len(near) > 100
+
+
+def test_portions_keep_rows_and_bound_bytes():
+    texts = ["", None, "ab", "c" * 30, "é" * 4, "", "d" * 9, "e", None]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array(texts, pa.string())], names=["i", "t"]), pa.RecordBatch.from_pydict({"i": [9], "t": ["f"]})]
+    got = list(portions(iter(batches), 1, limit=10))
+    assert [r for b in got for r in b.to_pylist()] == [r for b in batches for r in b.to_pylist()]
+    sizes = [[len((r["t"] or "").encode()) for r in b.to_pylist()] for b in got]
+    assert all(sum(s) <= 10 or len(s) == 1 for s in sizes) and max(map(sum, sizes)) == 30
+    nothing = pa.RecordBatch.from_arrays([pa.nulls(2)], names=["t"])
+    assert list(portions(iter([nothing]), 0)) == [nothing] and list(portions(iter([batches[1].slice(0, 0)]), 1)) == []
