@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.components import connected_components
@@ -31,7 +31,7 @@ _BLOCK = 1 << 16
 #: for the order of shingles: texts of the sample, texts of it that share a common shingle at least, common shingles kept
 SAMPLE, COMMON, LISTED = 20_000, 3, 200_000
 #: rounds in which a key's texts are held against some of them, before all that are still apart are, and how many
-TURNS, HUBS = 3, 4
+TURNS, HUBS = 2, 4
 #: digests of texts that may be broadcast; more are joined by a shuffle
 BROADCAST_DIGESTS = 200_000
 #: longs of parity bits per text
@@ -148,9 +148,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     by bounds that no link breaks (sizes, places in the order, parity bits) and then verified by exact intersection.
     The order puts shingles that are frequent in a sample last; it decides the work, not the result.
 
+    A class leaves a key where even the key's smallest set and longest rest are out of its reach.
+
     A hot key would meet itself in pairs. So its classes are first held against a few hubs alone, in several rounds: the
-    least of the key's classes in orders that all keys share, so a group of near copies meets few hubs. What the links
-    join needs no further test; all pairs of a key that are still apart are tried in the end.
+    least of the key's classes in orders that all keys share, so a group of near copies meets few hubs; half of these
+    orders go by place first, as texts with few shingles of their own before a shared one are in the middle of their
+    group. What the links join needs no further test; all pairs of a key that are still apart are tried in the end,
+    against the parity bits within the join.
     Null and empty texts are one class. Classes are numbered, so rows that share an id, or have none, stay apart."""
     prefixes = written(_prefixes(docs, id_col, text_col, words, similarity), "prefixes")
     who = F.struct(F.col("id").isNull().alias("none"), "id", "digest")
@@ -161,24 +165,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = written(reps, "reps")
     rows = written(prefixes.select("id", "digest", "d1", "d2"), "rows")
     discard(prefixes)
-    lists = reps.select(F.col("node").alias("id"), "size", F.posexplode("prefix").alias("place", "key"))
-    shared = lists.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("key").alias("k")).hint("rebalance")
-    lists = written(lists.join(shared, F.col("key") == F.col("k")).select("key", "id", "size", "place", F.col("id").alias("root")), "lists")
+    lists = reps.select(F.col("node").alias("id"), "size", F.posexplode("prefix").alias("place", "key"), F.col("node").alias("root"))
+    lists = written(_within_reach(lists, similarity), "lists")
     links = None
     for turn in range(TURNS):
-        own = [F.struct(F.xxhash64(F.lit(turn * HUBS + i), "id").alias("at"), "id", "size", "place", "root") for i in range(HUBS)]
+        orders = [(F.col("place") if i % 2 else F.lit(0), F.xxhash64(F.lit(turn * HUBS + i), "id")) for i in range(HUBS)]
+        own = [F.struct(first.alias("first"), then.alias("then"), "id", "size", "place", "root") for first, then in orders]
         hubs = lists.groupBy("key").agg(*(F.min(o).alias(f"f{i}") for i, o in enumerate(own)))
-        hubs = hubs.select(F.col("key").alias("k"), F.explode(F.array_distinct(F.array(*(f"f{i}" for i in range(HUBS))))).alias("f")).hint("rebalance")
+        hubs = hubs.select(F.col("key").alias("k"), F.explode(F.array_distinct(F.array(*(F.struct(*(f"f{i}.{c}" for c in ("id", "size", "place", "root"))) for i in range(HUBS))))).alias("f"))
+        hubs = hubs.hint("rebalance")
         met = lists.join(hubs, F.col("key") == F.col("k")).filter("root <> f.root")
         pairs = _possible(met.select("id", "size", "place", F.col("f.id").alias("id2"), F.col("f.size").alias("size2"), F.col("f.place").alias("place2")), similarity)
         links = _more_links(docs, text_col, words, similarity, reps, pairs, links)
-        after = written(_open(lists, links), "open")
+        after = written(_open(lists, links, similarity), "open")
         discard(lists)
         lists = after
         if lists.isEmpty():
             break
-    right = lists.select("key", *(F.col(c).alias(f"{c}2") for c in ("id", "size", "place", "root")))
-    pairs = _possible(lists.join(right, "key").filter("id < id2 and root <> root2"), similarity)
+    left = lists.join(reps.select(F.col("node").alias("id"), "bits"), "id")
+    right = left.select("key", *(F.col(c).alias(f"{c}2") for c in ("id", "size", "place", "root", "bits")))
+    met = left.join(right, "key").filter("id < id2 and root <> root2")
+    pairs = _possible(met.filter(_parity_allows("bits", "bits2", F.col("size") + F.col("size2"), similarity)), similarity)
     links = _more_links(docs, text_col, words, similarity, reps, pairs, links)
     discard(lists, reps)
     rooted = classes.join(links.withColumnRenamed("root", "top"), "node", "left").withColumn("top", F.coalesce("top", "node"))
@@ -189,28 +196,46 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(named, ["d1", "d2"]).select("id", "digest", F.col("first.id").alias("component_id"), kept.alias("kept"))
 
 
-def _open(lists: DataFrame, links: DataFrame) -> DataFrame:
+def _within_reach(lists: DataFrame, similarity: float) -> DataFrame:
+    """The rows that may pass ``_possible`` with another row of their key: its smallest size and longest rest bound all partners."""
+    rest = F.col("size") - F.col("place")
+    keys = lists.groupBy("key").agg(F.count("*").alias("n"), F.min("size").alias("low"), F.max(rest).alias("far")).filter("n > 1")
+    keys = keys.select(F.col("key").alias("k"), "low", "far").hint("rebalance")
+    near = F.least(rest, "far") >= _shared(F.col("size") + F.col("low"), similarity)
+    return lists.join(keys, F.col("key") == F.col("k")).filter(near).select("key", "id", "size", "place", "root")
+
+
+def _open(lists: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
     """The rows of keys whose classes aren't all joined yet, with the classes' roots."""
     rooted = lists.drop("root").join(links.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    apart = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select(F.col("key").alias("k")).hint("rebalance")
-    return rooted.join(apart, F.col("key") == F.col("k")).select("key", "id", "size", "place", "root")
+    apart = rooted.groupBy("key").agg(F.min("root").alias("lowest"), F.max("root").alias("highest")).filter("lowest <> highest")
+    apart = apart.select(F.col("key").alias("k")).hint("rebalance")
+    return _within_reach(rooted.join(apart, F.col("key") == F.col("k")).select("key", "id", "size", "place", "root"), similarity)
+
+
+def _shared(sizes: Column, similarity: float) -> Column:
+    """Shingles that a link with that sum of sizes shares at least."""
+    return F.lit(similarity / (1 + similarity) - 1e-9) * sizes
+
+
+def _parity_allows(x: str, y: str, sizes: Column, similarity: float) -> Column:
+    """Bits that differ in parity are shingles of one set alone, so more of them than a link can have rule a pair out."""
+    apart = sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(PARITY)), F.lit(0))
+    return apart <= F.lit((1 - similarity) / (1 + similarity) + 1e-9) * sizes
 
 
 def _possible(met: DataFrame, similarity: float) -> DataFrame:
     """(x, y) of the met pairs that sizes and places allow. A link's first shared key passes, whatever becomes of its others."""
-    need = F.lit(similarity / (1 + similarity) - 1e-9) * (F.col("size") + F.col("size2"))
+    need = _shared(F.col("size") + F.col("size2"), similarity)
     rest = F.least(F.col("size") - F.col("place"), F.col("size2") - F.col("place2"))
     return met.filter(rest >= need).select(F.least("id", "id2").alias("x"), F.greatest("id", "id2").alias("y")).filter("x < y").distinct()
 
 
 def _more_links(docs: DataFrame, text_col: str, words: int, similarity: float, reps: DataFrame, pairs: DataFrame, links: DataFrame | None) -> DataFrame:
-    """links (node, root), joined further by those of the pairs that are similar.
-
-    Bits that differ in parity are shingles of one set alone, so more of them than a link can have rule a pair out."""
+    """links (node, root), joined further by those of the pairs that are similar."""
     x, y = (reps.select(F.col("node").alias(c), F.col("size").alias(f"n{c}"), F.col("bits").alias(f"b{c}")) for c in "xy")
-    apart = sum((F.bit_count(F.col("bx")[i].bitwiseXOR(F.col("by")[i])) for i in range(PARITY)), F.lit(0))
-    may = F.lit((1 - similarity) / (1 + similarity) + 1e-9) * (F.col("nx") + F.col("ny"))
-    pairs = written(pairs.join(x, "x").join(y, "y").filter(apart <= may).select("x", "y"), "candidates")
+    may = _parity_allows("bx", "by", F.col("nx") + F.col("ny"), similarity)
+    pairs = written(pairs.join(x, "x").join(y, "y").filter(may).select("x", "y"), "candidates")
     close = _verified(docs, text_col, words, similarity, reps, pairs)
     if links is not None:
         close = links.select(F.col("node").alias("x"), F.col("root").alias("y")).unionByName(close)
