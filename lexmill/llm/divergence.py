@@ -28,7 +28,7 @@ from lexmill.scratch import discard, written
 
 MIN_DOCUMENTS, SMOOTH, SCALE, RANKS = 30, 5, 1_000_000_000, 50
 #: entries that a worker counts before it hands them on
-HELD = 200_000
+HELD = 500_000
 #: bytes of kept terms of all languages that may be broadcast; more are dealt out with the texts
 VOCABULARY = 2 << 20
 #: bytes of text that are counted with one automaton where terms are dealt out
@@ -91,8 +91,6 @@ def document_frequencies(texts: DataFrame) -> DataFrame:
 class _Postings:
     """Counts of terms by language and source, handed on as batches of bounded size."""
 
-    names = ["lang", "source", "term", "n"]
-
     def __init__(self) -> None:
         self.counts: dict[tuple[str, str], Counter] = {}
 
@@ -102,13 +100,16 @@ class _Postings:
     def full(self) -> bool:
         return sum(map(len, self.counts.values())) > HELD
 
-    def rows(self, terms: dict[str, list[str]]) -> pa.RecordBatch:
-        out = [(lang, source, terms[lang][i], n) for (lang, source), c in self.counts.items() for i, n in c.items()]
+    def rows(self, terms: dict[str, pa.Array]) -> Iterator[pa.RecordBatch]:
+        """A batch per language and source; terms: those of a language by their numbers."""
+        for (lang, source), c in self.counts.items():
+            numbers, n = (np.fromiter(x, dtype=np.int64, count=len(c)) for x in (c.keys(), c.values()))
+            named = [pa.repeat(pa.scalar(x, pa.string()), len(c)) for x in (lang, source)]
+            yield pa.RecordBatch.from_arrays([*named, terms[lang].take(pa.array(numbers)), pa.array(n)], names=["lang", "source", "term", "n"])
         self.counts = {}
-        kinds = [pa.string(), pa.string(), pa.string(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], names=self.names)
 
 
+_ARROW = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64())])
 _POSTINGS = "lang string, source string, term string, n long"
 
 
@@ -120,16 +121,16 @@ def _counted_by_all(texts: DataFrame, kept: DataFrame) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast(by_lang)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, found, held = shared.value, {}, _Postings()
+        terms, found, held = {lang: pa.array(own, pa.string()) for lang, own in shared.value.items()}, {}, _Postings()
         for batch in portions(batches, 2):
             for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 if lang not in found:
-                    found[lang] = automaton(terms.get(lang, ()))
+                    found[lang] = automaton(shared.value.get(lang, ()))
                 if found[lang] is not None:
                     held.add(lang, source, found[lang], text.as_py())
             if held.full():
-                yield held.rows(terms)
-        yield held.rows(terms)
+                yield from held.rows(terms)
+        yield from held.rows(terms)
 
     return texts.mapInArrow(run, _POSTINGS)
 
@@ -150,11 +151,11 @@ def _counted_by_bundle(texts: DataFrame, kept: DataFrame, bundle: int) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.string()))], names=["lang", "bundle", "term"])
 
     def count(own: pa.Table, there: pa.Table) -> pa.Table:
-        terms, held = there.column("term").to_pylist(), _Postings()
-        if own.num_rows and (found := automaton(terms)) is not None:
+        terms, held = there.column("term").combine_chunks(), _Postings()
+        if own.num_rows and (found := automaton(terms.to_pylist())) is not None:
             for lang, source, text in zip(own.column("lang").to_pylist(), own.column("source").to_pylist(), own.column("text")):
                 held.add(lang, source, found, text.as_py())
-        return pa.Table.from_batches([held.rows({lang: terms for lang, _ in held.counts})])
+        return pa.Table.from_batches(held.rows({lang: terms for lang, _ in held.counts}), _ARROW)
 
     of_bundle = dealt.select("lang", "bundle", "text").mapInArrow(words, "lang string, bundle long, term string").distinct()
     of_bundle = of_bundle.join(kept.select("lang", "term"), ["lang", "term"])
@@ -249,20 +250,20 @@ def divergence(docs: DataFrame, lang_col: str = "lang", source_col: str = "sourc
     counts = written(postings(texts, kept, vocabulary, bundle), "postings")
     sizes = kept.groupBy("lang").agg(F.count("*").alias("terms"))
     totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    groups = texts.select("lang", "source").distinct().join(sizes, "lang", "left").join(totals, ["lang", "source"], "left")
+    every = totals.groupBy("lang").agg(F.sum("total").alias("every"))
+    groups = texts.select("lang", "source").distinct().join(sizes, "lang", "left").join(every, "lang", "left").join(totals, ["lang", "source"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
-    groups = groups.select(F.monotonically_increasing_id().alias("node"), "lang", "source", zero("terms").alias("terms"), zero("total").alias("total"))
+    groups = groups.select(F.monotonically_increasing_id().alias("node"), "lang", "source", zero("terms").alias("terms"), zero("total").alias("total"), zero("every").alias("every"))
     groups = written(groups.withColumn("zero", share(F.lit(0).cast("long"), F.col("total"), F.col("terms"))), "groups")
     shares = counts.join(groups.hint("rebalance"), ["lang", "source"]).withColumn("p", share(F.col("n"), F.col("total"), F.col("terms")))
-    shares = written(shares.select("lang", "source", "term", "node", "terms", "n", "p", "zero"), "shares")
+    shares = written(shares.select("lang", "source", "term", "node", "terms", "every", "n", "p", "zero"), "shares")
     discard(counts)
     far = written(distances(groups, shares), "distances")
     both = far.select(F.col("a").alias("node"), F.col("b").alias("other"), "d").unionByName(far.select(F.col("b").alias("node"), F.col("a").alias("other"), "d"))
     names = groups.select(F.col("node").alias("other"), F.col("source").alias("item"))
     pairs = both.join(groups.select("node", "lang", "source"), "node").join(names, "other").select("lang", "source", F.lit("pair").alias("part"), "item", F.col("d").alias("value"))
     whole = shares.groupBy("lang", "term").agg(F.sum("n").alias("all"))
-    every = shares.groupBy("lang").agg(F.sum("n").alias("every"))
-    above = shares.join(whole, ["lang", "term"]).join(every, "lang").withColumn("value", F.col("p") - share(F.col("all"), F.col("every"), F.col("terms")))
+    above = shares.join(whole, ["lang", "term"]).withColumn("value", F.col("p") - share(F.col("all"), F.col("every"), F.col("terms")))
     terms = above.filter("value > 0").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), "value")
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     placed = lambda rows: rows.withColumn("rank", F.row_number().over(order))
