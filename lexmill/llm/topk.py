@@ -42,16 +42,23 @@ def lengths(x: np.ndarray) -> np.ndarray:
     return np.sqrt((_floats(x) ** 2).sum(axis=1))
 
 
-def products(a: np.ndarray, b: np.ndarray, rows: np.ndarray | None = None, columns: np.ndarray | None = None) -> np.ndarray:
-    """Inner products of int64 vectors, exactly: of all rows of a with all of b, or of a[rows] with b[columns] one by one.
-    A product that no long holds becomes the nearest long."""
-    if rows is not None:
-        a, b = a[rows], b[columns]
+def product_type(a: np.ndarray, b: np.ndarray) -> type:
+    """The fastest type in which inner products of these int64 vectors are exact."""
     bound = float(np.abs(_floats(a)).max(initial=0)) * float(np.abs(_floats(b)).max(initial=0)) * a.shape[1]
-    kind = np.float64 if bound < 2**52 else np.int64 if bound < 2**62 else object
-    a, b = a.astype(kind), b.astype(kind)
-    out = a @ b.T if rows is None else (a * b).sum(axis=1)
-    return np.clip(out, -(2**63), 2**63 - 1).astype(np.int64) if kind is object else out.astype(np.int64)
+    return np.float64 if bound < 2**52 else np.int64 if bound < 2**62 else object
+
+
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of all rows, as longs; a product that no long holds becomes the nearest one."""
+    out = a @ b.T
+    return np.clip(out, -(2**63), 2**63 - 1).astype(np.int64) if out.dtype == object else out.astype(np.int64)
+
+
+def products_at(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Those of rows i of a with rows j of b, in portions."""
+    parts = [(a[i[at : at + STEP]] * b[j[at : at + STEP]]).sum(axis=1) for at in range(0, len(i), STEP)]
+    out = np.concatenate(parts) if parts else np.empty(0)
+    return np.clip(out, -(2**63), 2**63 - 1).astype(np.int64) if out.dtype == object else out.astype(np.int64)
 
 
 class Rotation:
@@ -82,35 +89,46 @@ def best(q: np.ndarray, score: np.ndarray, ident: np.ndarray, row: np.ndarray, k
 
 def search(asked: np.ndarray, least: np.ndarray, x: np.ndarray, ident: np.ndarray, row: np.ndarray, k: int, rotation: Rotation) -> tuple[np.ndarray, ...]:
     """(query's place, score, id, row) of the k best candidates of each query, without those that can't be among its k
-    best as ``least``, a lower bound of its k-th score, says."""
-    far = lengths(x)
+    best as ``least``, a lower bound of its k-th score, says. STEP queries and STEP candidates are held together at once."""
+    far, kind = lengths(x), product_type(asked, x)
     order = np.argsort(-far, kind="stable")
-    x, ident, row, far, size, least = x[order], ident[order], row[order], far[order], lengths(asked), least.copy()
-    (ta, ra), (tx, rx) = rotation.parts(asked), rotation.parts(x)
+    x, ident, row, far = x[order], ident[order], row[order], far[order]
+    turned, after = rotation.parts(x)
+    x, out = x.astype(kind), []
+    for at in range(0, len(asked), STEP):
+        part = slice(at, at + STEP)
+        q, *rest = _searched(asked[part], least[part].copy(), kind, x, far, turned, after, ident, row, k, rotation)
+        out.append((q + at, *rest))
+    return tuple(np.concatenate(c) for c in zip(*out)) if out else tuple(np.empty(0, dtype=np.int64) for _ in range(4))
+
+
+def _searched(asked, least, kind, x, far, turned, after, ident, row, k, rotation) -> list[np.ndarray]:
+    size, (own, own_after), asked = lengths(asked), rotation.parts(asked), asked.astype(kind)
     found = [np.empty(0, dtype=np.int64) for _ in range(4)]
     for start in range(0, len(x), STEP):
-        block = np.arange(start, min(start + STEP, len(x)))
+        block = slice(start, start + STEP)
         alive = np.flatnonzero(size * far[start] * (1 + SLACK) >= least)
         if not len(alive):
             break
-        room = size[alive, None] * far[None, block] * SLACK
-        may = size[alive, None] * far[None, block] + room >= least[alive, None]
-        for cut, qa, qx in zip(rotation.cuts, ra, rx):
-            may &= ta[alive][:, :cut] @ tx[block][:, :cut].T + qa[alive, None] * qx[None, block] + room >= least[alive, None]
+        whole = size[alive, None] * far[None, block]
+        need = least[alive, None] - whole * SLACK
+        may = whole >= need
+        for cut, q_after, x_after in zip(rotation.cuts, own_after, after):
+            may &= own[alive, :cut] @ turned[block, :cut].T + q_after[alive, None] * x_after[None, block] >= need
         i, j = np.nonzero(may)
+        few = len(i) * asked.shape[1] < may.size
+        scores = products_at(asked[alive], x[block], i, j) if few else products(asked[alive], x[block])[i, j]
+        good = scores >= need[i, j]
+        i, j = i[good], j[good]
         if not len(i):
             continue
-        scores = products(asked, x, alive[i], block[j]) if len(i) * 4 < may.size else products(asked[alive], x[block])[i, j]
-        good = _floats(scores) >= least[alive[i]] - np.abs(least[alive[i]], where=np.isfinite(least[alive[i]]), out=np.zeros(len(i))) * 1e-12
-        new = alive[i][good], scores[good], ident[block[j]][good], row[block[j]][good]
-        found = [np.concatenate(c) for c in zip(found, new)]
+        found = [np.concatenate(c) for c in zip(found, (alive[i], scores[good], ident[block][j], row[block][j]))]
         keep = best(*found, k)
         found = [c[keep] for c in found]
         q, n = np.unique(found[0], return_counts=True)
-        last = np.cumsum(n) - 1
-        full = n == k
+        full, last = n == k, np.cumsum(n) - 1
         least[q[full]] = np.maximum(least[q[full]], _floats(found[1][last[full]]))
-    return tuple(found)
+    return found
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray, d: int) -> np.ndarray:
@@ -163,7 +181,8 @@ def _found(asked: DataFrame, candidates: DataFrame, d: int, k: int) -> DataFrame
             for at in range(0, batch.num_rows, STEP):
                 part = batch.slice(at, STEP)
                 x = _matrix(part.column(1), d)
-                scores = _floats(products(x, longest))
+                kind = product_type(x, longest)
+                scores = _floats(products(x.astype(kind), longest.astype(kind)))
                 least = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] >= k else np.full(len(x), -np.inf)
                 visits = (lengths(x)[:, None] * reach[None, :] >= least[:, None]).sum(axis=1)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(least), pa.array(np.maximum(visits, 1), pa.int32())], names=["q", "v", "least", "visits"])

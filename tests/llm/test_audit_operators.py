@@ -171,8 +171,10 @@ def test_products_are_exact():
     for top in (100, 2**27, 2**40):
         a, b = rng.integers(-top, top, (5, 8)), rng.integers(-top, top, (7, 8))
         want = [[max(-(2**63), min(2**63 - 1, sum(int(s) * int(t) for s, t in zip(x, y)))) for y in b] for x in a]
+        kind = topk.product_type(a, b)
+        a, b = a.astype(kind), b.astype(kind)
         assert topk.products(a, b).tolist() == want
-        assert topk.products(a, b, np.array([1, 4]), np.array([0, 6])).tolist() == [want[1][0], want[4][6]]
+        assert topk.products_at(a, b, np.array([1, 4]), np.array([0, 6])).tolist() == [want[1][0], want[4][6]]
 
 
 def test_search_leaves_out_nothing_that_counts():
