@@ -21,27 +21,24 @@ CONTEXT_RULES = [
     (r"đính\s+chính", "corrects"),
     (r"hướng\s+dẫn", "guides"),
 ]
-#: fixed values: what stands after number and year in running text, as (before, capitals from, to, after); whether the
-#: capitals hold the barred D in the parity form too
-ISSUERS = [
-    ("", 2, 5, r"(?:-\d+)?-CP", False),
-    ("TT-", 2, 5, "", False),
-    ("QH", 0, 0, r"\d+", False),
-    ("NQ-", 1, 3, r"\d+", True),
-    ("QĐ-", 2, 5, "", False),
-]
+#: fixed value: the parity form of citations in running text; it knows five issuer forms
+LEGACY_FORM = r"\d{1,3}/\d{4}/(?:[A-Z]{2,5}(?:-\d+)?-CP|TT-[A-Z]{2,5}|QH\d+|NQ-[A-ZĐ]{1,3}\d+|QĐ-[A-Z]{2,5})"
+#: fixed values: codes of document types, and of bodies whose laws are numbered by their term
+TYPE_CODES = ["CT", "HD", "KH", "L", "LCT", "ND", "NĐ", "NQ", "NQLT", "PL", "QD", "QĐ", "QC", "SL", "TB", "TT", "TTLB", "TTLT", "VBHN"]
+TERM_CODES = ["HĐNN", "NQ/QH", "QH", "UBTVQH"]
 #: what may not stand before and after a citation; the parity form knows ASCII words alone
-EDGES = {legacy: (f"(?<![0-9A-Za-z{d}_])", f"(?![0-9A-Za-z{d}_])") for legacy, d in ((False, "Đđ"), (True, ""))}
+EDGES = {False: (r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"), True: ("(?<![0-9A-Za-z_])", "(?![0-9A-Za-z_])")}
 
 
-def _body_citation(legacy: bool) -> str:
-    """Number, year and issuer, parted by slashes."""
-    capitals = lambda low, high, barred: f"[A-Z{'Đ' if barred or not legacy else ''}]{{{low},{high}}}" if high else ""
-    issuers = "|".join(f"{before}{capitals(low, high, barred)}{after}" for before, low, high, after, barred in ISSUERS)
-    return rf"{EDGES[legacy][0]}\d{{1,3}}/\d{{4}}/(?:{issuers}){EDGES[legacy][1]}"
+def _form() -> str:
+    """Number, year and code: a body with its term, or a document type with one or more issuers (joint circulars have several)."""
+    issuer = r"[-/](?:[A-ZĐƯ]{1,12}\d{0,2}|\d{1,2})"
+    return rf"\d{{1,3}}/\d{{4}}/(?:(?:{'|'.join(TERM_CODES)})\d{{1,2}}|(?:{'|'.join(TYPE_CODES)})(?:{issuer})+)"
 
 
-BODY_CITATION, LEGACY_BODY_CITATION = _body_citation(False), _body_citation(True)
+BODY_CITATION, LEGACY_BODY_CITATION = (form.join(EDGES[legacy]) for legacy, form in ((False, _form()), (True, LEGACY_FORM)))
+#: letters of the shortest citation, at most
+SHORTEST = len("1/2000/QH1")
 CHAPTER_START = rf"(?iuU)[\n\r]\s*{CHAPTER_WORD}\s*[\dIVXLC]+[.\s]"
 WINDOW = 80
 

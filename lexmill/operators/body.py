@@ -206,14 +206,22 @@ def with_paths(nodes: DataFrame, key: str = "document_id", legacy: bool = False)
 
 def references_sql(text: str, own: str, legacy: bool = False) -> str:
     """SQL for an array of (citation, context): the citations after the first chapter heading, each once, in order, with
-    the words around its first place; the document's own is left out."""
-    before, after = citations.EDGES[legacy]
+    the words around its first place; the document's own is left out.
+
+    The body is cut at its citations once. What stands around one is made of the cuts next to it, of each of which no more
+    than a window is kept, so the work grows with the text, not with text times citations."""
     form, w = citations.LEGACY_BODY_CITATION if legacy else citations.BODY_CITATION, citations.WINDOW
-    around = f"concat(right(p[0], {w}), c, substr(p[1], 1, {w}))"
-    one = f"transform(array(split(b, concat(r'{before}', c, r'{after}'), 2)), p -> struct(c as citation, regexp_replace(lower({around}), r'(?U)^\\s+|\\s+$', '') as context))[0]"
-    found = f"array_except(regexp_extract_all(b, r'{form}', 0), array({own}))"
+    near = w // citations.SHORTEST + 1
     body = f"transform(filter(array(split({text}, r'{citations.CHAPTER_START}', 2)), p -> size(p) > 1), p -> p[1])"
-    return f"flatten(transform({body}, b -> transform({found}, c -> {one})))"
+    cut = f"struct(regexp_extract_all(b, r'{form}', 0) as hits, split(b, r'{form}') as gaps)"
+    ends = f"struct(c.hits as hits, transform(c.gaps, g -> left(g, {w})) as heads, transform(c.gaps, g -> right(g, {w})) as tails, array_sort(transform(c.hits, (h, i) -> struct(h, i))) as named)"
+    firsts = f"array_sort(transform(filter(d.named, (x, k) -> not (x.h <=> {own}) and (k = 0 or d.named[k - 1].h <> x.h)), x -> x.i))"
+    before = f"array_join(flatten(transform(sequence(greatest(0, i - {near}), i), j -> array(if(j > 0, d.hits[j - 1], ''), d.tails[j]))), '')"
+    after = f"array_join(flatten(transform(sequence(i + 1, least(i + {near}, size(d.hits))), j -> array(d.heads[j], if(j < size(d.hits), d.hits[j], '')))), '')"
+    around = f"regexp_replace(lower(concat(right({before}, {w}), d.hits[i], left({after}, {w}))), r'(?U)^\\s+|\\s+$', '')"
+    found = f"transform({firsts}, i -> struct(d.hits[i] as citation, {around} as context))"
+    steps = f"flatten(transform(array({cut}), c -> flatten(transform(array({ends}), d -> {found}))))"
+    return f"flatten(transform({body}, b -> {steps}))"
 
 
 def text_references(docs: DataFrame, key: str = "document_id", text: str = "full_text", own: str = "citation_id", legacy: bool = False) -> DataFrame:
