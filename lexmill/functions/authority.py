@@ -111,10 +111,15 @@ def _map(pairs: dict[str, str]) -> Column:
     return F.create_map(*(F.lit(x) for kv in pairs.items() for x in kv))
 
 
+def unknown_status(label: Column) -> Column:
+    """Whether a label is there but has no code."""
+    return label.isNotNull() & F.try_element_at(_map(STATUS_CODES), F.lower(trim_all(label))).isNull()
+
+
 def status_code(label: Column) -> Column:
     """The code of a label; null stays null, an unknown label fails the query."""
     code = F.try_element_at(_map(STATUS_CODES), F.lower(trim_all(label)))
-    return F.when(label.isNull() | code.isNotNull(), code).otherwise(F.raise_error(F.concat(F.lit("unknown validity status: "), label)))
+    return F.when(~unknown_status(label), code).otherwise(F.raise_error(F.concat(F.lit("unknown validity status: "), label)))
 
 
 def status_label(code: Column) -> Column:

@@ -46,7 +46,8 @@ def parsed_documents(pages: DataFrame, now: datetime) -> DataFrame:
     the last address where several pages share it. A page without a readable issue date fails the query."""
     rows = relations.consolidation(relations.parse_attributes(pages))
     raw = lambda c: F.col(f"{c}_date_raw")
-    enacted = F.coalesce(dates.source_date(raw("issued")), F.raise_error(F.concat(F.lit("no issue date: "), F.col("citation"))).cast("date"))
+    refused = F.when(F.col("citation").isNotNull(), F.raise_error(F.concat(F.lit("no issue date: "), F.col("citation"))).cast("date"))
+    enacted = F.coalesce(dates.source_date(raw("issued")), refused)
     source = F.struct(F.col("fullText"), F.lit(now.isoformat()).alias("scrapedAt"), F.col("sourceUrl"), F.col("consolidates_raw_titles").alias("consolidatesRawTitles"), F.col("consolidated_into_raw_titles").alias("consolidatedIntoRawTitles"))
     version = hashing.content_version(F.col("fullText"), F.col("citation"), F.col("title"), F.col("validity_status_raw"), F.col("effective_date_raw"), F.col("expiry_date_raw"))
     none, at = F.lit(None), F.lit(now)
@@ -66,9 +67,13 @@ def skipped(pages: DataFrame) -> DataFrame:
 
 
 def parted(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pages that can be taken, errors (sourceUrl, message) of the others): one broken page doesn't stop a batch."""
+    """(pages that can be taken, errors (sourceUrl, message) of the others): one broken page doesn't stop a batch.
+
+    A broken page's pairs and cards become null before it is left out, so a parser that the optimizer moves ahead of the
+    filter finds nothing to refuse."""
     marked = pages.withColumn("__problem", relations.page_problem())
-    return marked.filter("__problem is null").drop("__problem"), marked.filter("__problem is not null").select("sourceUrl", F.col("__problem").alias("message"))
+    good = marked.withColumns({c: F.when(F.col("__problem").isNull(), F.col(c)) for c in ("attributes", "relations")})
+    return good.filter("__problem is null").drop("__problem"), marked.filter("__problem is not null").select("sourceUrl", F.col("__problem").alias("message"))
 
 
 def sync(tables: Tables, pages: DataFrame, now: datetime, insert: bool = True, legacy: bool = False) -> tuple[Tables, DataFrame, DataFrame]:

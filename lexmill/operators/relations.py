@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.functions.authority import unknown_status
 from lexmill.functions.citations import citation_in_text, normalize_citation
 from lexmill.functions.dates import source_date
 from lexmill.functions.text import blank_to_null, trim_all
@@ -56,21 +57,26 @@ def attribute(pairs: Column, label: str) -> Column:
 
 
 def parse_attributes(pages: DataFrame, pairs: str = "attributes") -> DataFrame:
-    """pages with a column per attribute; a page without a required one fails the query. The citation is normalised."""
+    """pages with a column per attribute; a page without a required one fails the query. The citation is normalised.
+    A page whose pairs are null has null in all of them."""
     got = {name: attribute(F.col(pairs), label) for name, label in ATTRIBUTES.items()}
     labels = F.array_join(F.transform(pairs, lambda p: p["label"]), ", ")
     for name in REQUIRED:
-        got[name] = F.coalesce(blank_to_null(got[name]), F.raise_error(F.concat(F.lit(f"no {name} among: "), labels)).cast("string"))
+        refused = F.raise_error(F.concat(F.lit(f"no {name} among: "), labels)).cast("string")
+        got[name] = F.coalesce(blank_to_null(got[name]), F.when(F.col(pairs).isNotNull(), refused))
     got["citation"] = normalize_citation(got["citation"])
     return pages.withColumns(got)
 
 
 def page_problem(pairs: str = "attributes", cards: str = "relations") -> Column:
-    """What keeps a page from being taken: a missing required attribute, an unreadable issue date, an unknown heading; else null."""
+    """What keeps a page from being taken: a missing required attribute, an unreadable issue date, an unknown status or heading; else null.
+    What the parsers refuse is refused here, so pages without a problem never fail a query."""
     labels = F.coalesce(F.array_join(F.transform(pairs, lambda p: p["label"]), ", "), F.lit(""))
     got = {name: blank_to_null(attribute(F.col(pairs), ATTRIBUTES[name])) for name in (*REQUIRED, "issued_date_raw")}
+    status = attribute(F.col(pairs), ATTRIBUTES["validity_status_raw"])
     found = [F.when(got[name].isNull(), F.concat(F.lit(f"no {name} among: "), labels)) for name in REQUIRED]
     found.append(F.when(source_date(got["issued_date_raw"]).isNull(), F.concat(F.lit("no issue date: "), normalize_citation(got["citation"]))))
+    found.append(F.when(unknown_status(status), F.concat(F.lit("unknown validity status: "), status)))
     bad = unknown_headings(F.col(cards))
     found.append(F.when(F.size(bad) > 0, F.concat(F.lit("unknown relation heading: "), F.array_join(bad, ", "))))
     return F.coalesce(*found)

@@ -11,7 +11,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.functions import authority, citations, dates, hashing, text
+from lexmill.functions import authority, dates, hashing, text
 from lexmill.operators import corpus, edges, graph, outcomes, retrieval, search, tree, upsert
 from lexmill.sources import pages as page_source
 from lexmill.streaming import feed
@@ -316,16 +316,6 @@ def line_explode(spark, sf_dir):
     return d.filter(F.col("line").ilike("licensed%")).select("doc_id", "line_no", "line")
 
 
-@query("""select doc_id, (instr(text, 'License') - 1)::int as at, lower(substr(text, greatest(1, instr(text, 'License') - 80), instr(text, 'License') + 7 + 80 - greatest(1, instr(text, 'License') - 80))) as context,
-  'cites' as reference_type from documents where instr(text, 'License') > 0""")
-def context_window(spark, sf_dir):
-    at = F.instr("text", "License")
-    low = F.greatest(F.lit(1), at - citations.WINDOW)
-    window = F.lower(F.substring(F.col("text"), low, at + 7 + citations.WINDOW - low))
-    d = table(spark, sf_dir, "documents").filter(at > 0)
-    return d.select("doc_id", (at - 1).alias("at"), window.alias("context"), citations.classify_reference(window).alias("reference_type"))
-
-
 _RULES = [("promo", "repeals"), ("economy", "amends"), ("standard", "guides")]
 
 

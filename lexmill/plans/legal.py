@@ -1,217 +1,17 @@
-"""Named queries of the legal core. Texts and pages that the supplied tables don't hold are written here, in both engines:
-the operator reads the text, the SQL states the rows that the text's own structure demands."""
+"""More named queries: deletes by filters, amendments, lookups, chunk changes and tiers."""
 
 from __future__ import annotations
 
-from datetime import date, datetime
+from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill import schemas
-from lexmill.functions import authority, citations
-from lexmill.operators import body, chunks, corpus, edges, graph, ingest, relations, search, tree
+from lexmill.functions import authority
+from lexmill.operators import corpus, edges, graph, search
 from lexmill.plans.catalog import _EDGE_SQL, _bodies, _documents, _edges, query, table
 from lexmill.streaming import feed
 
 
-def _stated(columns: str, rows: list[tuple]) -> str:
-    """SQL for the given rows; columns: name and type each."""
-
-    def literal(x) -> str:
-        if x is None:
-            return "null"
-        return "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x).lower()
-
-    named = [c.split() for c in columns.split(", ")]
-    values = ", ".join(f"({', '.join(map(literal, r))})" for r in rows)
-    return f"select {', '.join(f'{n}::{t} as {n}' for n, t in named)} from (values {values}) v({', '.join(n for n, _ in named)})"
-
-
-FILLER = " ".join(["lời văn không nói gì thêm"] * 8)
-LAW = """LUẬT
-Căn cứ Hiến pháp;
-Căn cứ Luật số 9/2019/QH14;
-Chương I. NHỮNG QUY ĐỊNH CHUNG
-Điều 1. Phạm vi
-1. Theo Nghị định 78/2025/NĐ-CP.
-a) Điểm một;
-đ) Điểm hai.
-2. Khoản hai
-tiếp theo
-Điều 2
-Đối tượng
-Chữ
-Mục 1. Riêng
-Điều 3a. Ba
-Nơi nhận:
-- Lưu
-Phụ lục I
-Mẫu số 01
-bảng"""
-DECREE = f"""NGHỊ ĐỊNH
-Căn cứ Luật số 76/2015/QH13;
-Chương I. A
-Điều 1. Sửa đổi Nghị định 15/2020/NĐ-CP
-{FILLER}
-Điều 2. Bãi bỏ Thông tư 03/2009/TT-BKHĐT
-{FILLER}
-Điều 3. Theo 78/2025/NĐ-CP và 15/2020/NĐ-CP
-KT. BỘ TRƯỞNG
-QCVN 01:2026/BXD
-nội dung quy chuẩn"""
-TEXTS = [("law", LAW, "51/2024/QH15"), ("decree", DECREE, "1/2026/NĐ-CP"), ("bare", "không có cấu trúc", None), ("none", None, None)]
-
-
-def _texts(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TEXTS, "document_id string, full_text string, citation_id string")
-
-
-def _tree(spark: SparkSession) -> DataFrame:
-    return body.with_paths(body.clause_nodes(_texts(spark)))
-
-
-_TREE_ROWS = [
-    ("law", 0, "chuong", "1", "Chương I", "NHỮNG QUY ĐỊNH CHUNG", None, None, "chuong1"),
-    ("law", 1, "dieu", "1", "Điều 1", "Phạm vi", None, None, "chuong1.dieu1"),
-    ("law", 2, "khoan", "1", "Khoản 1", None, "Theo Nghị định 78/2025/NĐ-CP.", None, "chuong1.dieu1.khoan1"),
-    ("law", 3, "diem", "a", "Điểm a", None, "Điểm một;", None, "chuong1.dieu1.khoan1.diema"),
-    ("law", 4, "diem", "đ", "Điểm đ", None, "Điểm hai.", None, "chuong1.dieu1.khoan1.diemdd"),
-    ("law", 5, "khoan", "2", "Khoản 2", None, "Khoản hai\ntiếp theo", None, "chuong1.dieu1.khoan2"),
-    ("law", 6, "dieu", "2", "Điều 2", "Đối tượng", "Chữ", None, "chuong1.dieu2"),
-    ("law", 7, "muc", "1", "Mục 1", "Riêng", None, None, "chuong1.muc1"),
-    ("law", 8, "dieu", "3a", "Điều 3a", "Ba", None, None, "chuong1.muc1.dieu3a"),
-    ("law", 9, "phu_luc", "1", "Phụ lục I", "Mẫu số 01", "bảng", "template", "phu_luc1"),
-    ("decree", 0, "chuong", "1", "Chương I", "A", None, None, "chuong1"),
-    ("decree", 1, "dieu", "1", "Điều 1", "Sửa đổi Nghị định 15/2020/NĐ-CP", FILLER, None, "chuong1.dieu1"),
-    ("decree", 2, "dieu", "2", "Điều 2", "Bãi bỏ Thông tư 03/2009/TT-BKHĐT", FILLER, None, "chuong1.dieu2"),
-    ("decree", 3, "dieu", "3", "Điều 3", "Theo 78/2025/NĐ-CP và 15/2020/NĐ-CP", None, None, "chuong1.dieu3"),
-    ("decree", 4, "phu_luc", "1", "Phụ lục 1", None, "QCVN 01:2026/BXD\nnội dung quy chuẩn", "normative", "phu_luc1"),
-]
-
-
-@query(_stated("document_id varchar, seq int, node_type varchar, ordinal varchar, label varchar, heading varchar, text_content varchar, content_class varchar, path varchar", _TREE_ROWS))
-def clause_tree(spark, sf_dir):
-    return _tree(spark).select("document_id", "seq", "node_type", "ordinal", "label", "heading", "text_content", "content_class", "path")
-
-
-@query(_stated("document_id varchar, path varchar, parent_label varchar, same boolean", [(d, p, next((r[4] for r in _TREE_ROWS if r[0] == d and r[-1] == p.rpartition(".")[0]), None), True) for d, *_, p in _TREE_ROWS]))
-def tree_parents(spark, sf_dir):
-    """Parents found by path, beside those that the parser put out."""
-    n = _tree(spark)
-    found = tree.parents(n).select("document_id", "path", F.col("parent_id").alias("found"))
-    up = n.select(F.col("id").alias("parent_id"), F.col("label").alias("parent_label"))
-    rows = n.select("document_id", "path", "parent_id").join(found, ["document_id", "path"]).join(up, "parent_id", "left")
-    return rows.select("document_id", "path", "parent_label", F.col("parent_id").eqNullSafe(F.col("found")).alias("same"))
-
-
-@query(_stated("path varchar, full_text varchar", [("chuong1.dieu1.khoan2", "Khoản 2\nKhoản hai\ntiếp theo")]))
-def node_filter(spark, sf_dir):
-    return tree.retrieve_nodes(_tree(spark), "law", node_type="khoan", ordinal="2").select("path", "full_text")
-
-
-_HEAD = "Chương I NHỮNG QUY ĐỊNH CHUNG"
-_FIRST = "Khoản 1\nTheo Nghị định 78/2025/NĐ-CP.\nĐiểm a\nĐiểm một;\nĐiểm đ\nĐiểm hai."
-
-
-@query(_stated("id varchar, text varchar", [
-    ("law:chuong1.dieu1.khoan1", f"{_HEAD}\nĐiều 1 Phạm vi\n{_FIRST}"), ("law:chuong1.dieu1.khoan2", f"{_HEAD}\nĐiều 1 Phạm vi\nKhoản 2\nKhoản hai\ntiếp theo"),
-    ("law:chuong1.dieu2", f"{_HEAD}\nĐiều 2 Đối tượng\nChữ"), ("law:chuong1.muc1.dieu3a", f"{_HEAD}\nMục 1 Riêng\nĐiều 3a Ba"),
-]))
-def clause_chunks(spark, sf_dir):
-    return chunks.chunks(_tree(spark).filter("document_id = 'law'")).select("id", "text")
-
-
-@query(_stated("id varchar, heading varchar, clauses int, body varchar", [
-    ("law:chuong1.dieu1", "Phạm vi", 2, f"Điều 1 Phạm vi\n{_FIRST}\nKhoản 2\nKhoản hai\ntiếp theo"), ("law:chuong1.dieu2", "Đối tượng", 0, "Điều 2 Đối tượng\nChữ"),
-    ("law:chuong1.muc1.dieu3a", "Ba", 0, "Điều 3a Ba"),
-]))
-def search_documents(spark, sf_dir):
-    rows = chunks.search_documents(_tree(spark).filter("document_id = 'law'"))
-    return rows.select("id", "heading", F.size("khoan").alias("clauses"), "body")
-
-
-@query(_stated("path varchar", [("chuong1.dieu1",), ("chuong1.dieu1.khoan1",), ("chuong1.dieu2",), ("chuong1.muc1.dieu3a",)]))
-def materialised_nodes(spark, sf_dir):
-    n = _tree(spark).filter("document_id = 'law'")
-    ends = n.filter("path in ('chuong1.dieu1.khoan1', 'phu_luc1', 'chuong1')").select(F.col("id").alias("source_node_id"), F.lit(None).cast("string").alias("target_node_id"))
-    return chunks.materialised(n, ends).select("path")
-
-
-@query(_stated("document_id varchar, reference_type varchar, citation varchar", [
-    ("law", "cites", "78/2025/NĐ-CP"), ("decree", "amends", "15/2020/NĐ-CP"), ("decree", "repeals", "03/2009/TT-BKHĐT"), ("decree", "cites", "78/2025/NĐ-CP"),
-]))
-def body_refs(spark, sf_dir):
-    return body.text_references(_texts(spark)).filter("reference_type <> 'has_basis'").select("document_id", "reference_type", "citation")
-
-
-@query(_stated("document_id varchar, citation varchar, raw_citation_text varchar", [("law", "9/2019/QH14", "Căn cứ Luật số 9/2019/QH14;"), ("decree", "76/2015/QH13", "Căn cứ Luật số 76/2015/QH13;")]))
-def preamble_refs(spark, sf_dir):
-    return body.text_references(_texts(spark)).filter("reference_type = 'has_basis'").select("document_id", "citation", "raw_citation_text")
-
-
-_RAW = [
-    ("Luật số 51/2024/QH15", "51/2024/QH15", "51/2024/QH15"), ("Số: 78/2025/NĐ-CP", None, "78/2025/NĐ-CP"), ("Nghị quyết số hiệu: 1/NQ", None, "1/NQ"),
-    ("Không số", None, "Không số"), ("  Thông tư liên tịch số 3/2010/TTLT ", "3/2010/TTLT", "3/2010/TTLT"), ("số AB và số 7/CP", "7/CP", "AB và số 7/CP"),
-]
-
-
-@query(_stated("raw varchar, in_title varchar, plain varchar", _RAW))
-def citation_forms(spark, sf_dir):
-    rows = spark.createDataFrame([(r[0],) for r in _RAW], "raw string")
-    return rows.select("raw", citations.citation_from_title(F.col("raw")).alias("in_title"), citations.normalize_citation(F.col("raw")).alias("plain"))
-
-
-_ISSUED = [
-    ("Hiến pháp", "Quốc hội", 1, 2), ("Luật", "Quốc hội", 2, 2), ("Nghị quyết", "Quốc hội", 2, 2), ("Nghị quyết", "Ủy ban thường vụ Quốc hội", 3, 3), ("Pháp lệnh", "Ủy ban thường vụ Quốc hội", 3, 3),
-    ("Lệnh", "Chủ tịch nước", 4, 4), ("Quyết định", "Chủ tịch nước", 4, 4), ("Nghị định", "Chính phủ", 5, 5), ("Quyết định", "Thủ tướng Chính phủ", 6, 6), ("Thông tư", "Bộ Y tế", 8, 8),
-    ("Thông tư liên tịch", "Bộ Y tế", 9, 8), ("Nghị quyết", "Hội đồng nhân dân tỉnh Lào Cai", 10, 8), ("Quyết định", "Ủy ban nhân dân tỉnh Lào Cai", 11, 8), ("Công văn", "Bộ Y tế", None, 8),
-]
-
-
-@query(_stated("document_type varchar, issuing_body varchar, tier int, authority_rank int", _ISSUED))
-def tiers_and_ranks(spark, sf_dir):
-    rows = spark.createDataFrame([r[:2] for r in _ISSUED], "document_type string, issuing_body string")
-    return rows.withColumns({"tier": authority.classify_tier(F.col("document_type"), F.col("issuing_body"))["tier"], "authority_rank": authority.authority_rank(F.col("issuing_body"))})
-
-
-def _page(url: str, cards=(), **labels) -> tuple:
-    own = {"Số hiệu": "Luật số 51/2024/QH15", "Loại văn bản": "Luật", "Cơ quan ban hành": "Quốc hội", "Ngày ban hành": "1/2/2024", "Tình trạng hiệu lực": "Còn hiệu lực"} | labels
-    return url, "trung-uong", "T", LAW, [(k, v) for k, v in own.items() if v is not None], [(k, list(v)) for k, v in cards]
-
-
-_CARDS = [("Văn bản được sửa đổi bổ sung (2)", ["Nghị định số 78/2025/NĐ-CP", "--"]), ("Văn bản thay thế", ["Luật số 4/2020/QH14"]), ("Văn bản liên quan cùng nội dung (1)", ["x"]), ("Văn bản hợp nhất", ["Luật số 3/2020/QH14"])]
-PAGES = [
-    _page("good", _CARDS), _page("no citation", **{"Số hiệu": None}), _page("no date", **{"Số hiệu": "2/2024/QH15", "Ngày ban hành": "--"}),
-    _page("no heading", [("Lạ (1)", ["x"])], **{"Số hiệu": "3/2024/QH15"}), _page("second", **{"Số hiệu": "4/2024/QH15", "Tình trạng hiệu lực": None}),
-]
-
-
-def _pages(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PAGES, schemas.RAW_PAGE)
-
-
-@query(_stated("citation varchar, document_type varchar, issuing_body varchar, issued_date_raw varchar, validity_status_raw varchar", [("51/2024/QH15", "Luật", "Quốc hội", "1/2/2024", "Còn hiệu lực"), ("4/2024/QH15", "Luật", "Quốc hội", "1/2/2024", None)]))
-def page_attributes(spark, sf_dir):
-    rows = relations.parse_attributes(_pages(spark).filter("sourceUrl in ('good', 'second')"))
-    return rows.select("citation", "document_type", "issuing_body", "issued_date_raw", "validity_status_raw")
-
-
-@query(_stated("reference_type varchar, change_type varchar, this_is_source boolean, citation varchar", [("amends", None, False, "78/2025/NĐ-CP"), ("amends", "replace", True, "4/2020/QH14")]))
-def page_relations(spark, sf_dir):
-    return relations.parse_relations(spark.createDataFrame(PAGES[:1], schemas.RAW_PAGE), "sourceUrl").select("reference_type", "change_type", "this_is_source", "citation")
-
-
-@query(_stated("source varchar, message varchar", [
-    ("no citation", "no citation among: Loại văn bản, Cơ quan ban hành, Ngày ban hành, Tình trạng hiệu lực"), ("no date", "no issue date: 2/2024/QH15"), ("no heading", "unknown relation heading: Lạ"),
-    ("synced 4/2024/QH15", "inserted"), ("synced 51/2024/QH15", "inserted"),
-]))
-def batch_errors(spark, sf_dir):
-    """A batch with broken pages: the good ones are synced, the others reported one by one."""
-    _, outcomes, errors = ingest.sync(ingest.Tables.empty(spark), _pages(spark), datetime(2026, 1, 2))
-    return errors.select(F.col("sourceUrl").alias("source"), "message").unionByName(outcomes.select(F.concat(F.lit("synced "), "citation_id").alias("source"), F.col("outcome").alias("message")))
-
-
 _DELETED = search.Filters(document_types=["1-URGENT"], issuing_bodies=["BUILDING"], issued_from="01/01/1995", issued_to="31/12/1996")
 
 
