@@ -98,9 +98,9 @@ def issuing_body_counts(spark, sf_dir):
     return search.issuing_bodies(bodies, docs).select("name", "authority_rank", "document_count")
 
 
-def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lineitem as edges from orders to orders (the part's number taken as an order's)."""
-    li = table(spark, sf_dir, "lineitem")
+def _edges(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
+    """Lineitem, or a stream of its rows, as edges from orders to orders (the part's number taken as an order's)."""
+    li = table(spark, sf_dir, "lineitem") if lines is None else lines
     kind = authority.first_rule([(F.col("l_returnflag") == "R", "repeals"), (F.col("l_returnflag") == "A", "amends")], "cites")
     return li.select(  # a line's numbers don't identify it; its amount and day tell equal ones apart
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_extendedprice").cast("decimal(18,2)"), F.col("l_shipdate").cast("date")).alias("id"),
