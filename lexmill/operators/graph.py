@@ -20,6 +20,22 @@ def paths(edges: DataFrame, starts: DataFrame, hops: int = 3, source: str = "sou
     return seen.filter("hops > 0")
 
 
+def path_lists(edges: DataFrame, starts: DataFrame | None = None, hops: int = 3, source: str = "source", target: str = "target") -> DataFrame:
+    """(start, path): every path of 1 to ``hops`` different edges as the array of its nodes, start included, that meets no node twice.
+
+    starts has a column start; None means every source. Each step is an equi-join of the paths' ends with the distinct
+    edges. There can be as many paths as the out-degree to the power of ``hops``: that is the result, and a bound belongs
+    to the edges or to ``hops``."""
+    step = edges.select(F.col(source).alias("end"), F.col(target).alias("next")).filter("end is not null and next is not null and end <> next").distinct()
+    front = step.select(F.col("end").alias("start")).distinct() if starts is None else starts.select("start").distinct()
+    front, found = front.select("start", F.array("start").alias("path"), F.col("start").alias("end")), None
+    for _ in range(hops):
+        front = front.join(step, "end").filter(~F.array_contains("path", F.col("next")))
+        front = front.select("start", F.array_append("path", F.col("next")).alias("path"), F.col("next").alias("end"))
+        found = front if found is None else found.unionByName(front)
+    return found.select("start", "path")
+
+
 def rank_conflicts(edges: DataFrame, ranks: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
     """Edges whose source has less authority (a larger rank) than their target. ranks: (id, rank)."""
     a, b = ranks.select(F.col("id").alias(source), F.col("rank").alias("source_rank")), ranks.select(F.col("id").alias(target), F.col("rank").alias("target_rank"))

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from datetime import date
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import authority
-from lexmill.operators import corpus, edges, graph, search
+from lexmill.operators import corpus, edges, graph, search, versions
+from lexmill.sources import pages as page_source
+from lexmill.sources import paging
 from lexmill.plans.catalog import _EDGE_SQL, _bodies, _documents, _edges, query, table
 from lexmill.streaming import feed
 
@@ -66,3 +69,58 @@ def tier_overview(spark, sf_dir):
     names = spark.createDataFrame([(int(t), n) for t, n in authority.TIER_FOLDERS.items()], "tier int, folder string")
     c = table(spark, sf_dir, "customer").withColumn("tier", (F.col("c_custkey") % 20).cast("int")).filter("tier <> 7").join(F.broadcast(names), "tier")  # one row a tier
     return corpus.tier_overview(c.select(F.concat_ws("/", "folder", "c_name").alias("path"), (F.col("c_custkey") * 10).alias("bytes")))
+
+
+_CHANGE_SQL = f"""{_EDGE_SQL}, c as (select l_partkey as d, case when l_returnflag = 'R' and l_quantity >= 48 then 'chuong1' else 'chuong1.dieu' || l_linenumber end as path, case l_returnflag when 'R' then 'repeal' when 'A' then 'replace' else 'insert' end as action,
+  case when l_returnflag <> 'R' then 'Lần ' || l_orderkey end as text, l_orderkey || '-' || l_suppkey || '-' || l_extendedprice::decimal(18,2) as source, l_shipdate::date as day from lineitem),
+p as (select distinct d, path from c), all_events as (select *, case when path = 'chuong1' then 1 else 2 end as depth, true as own from c
+  union all select p.d, p.path, action, null, source, day, 1, false from p join c on c.d = p.d and c.path = 'chuong1' and p.path <> 'chuong1'),
+r as (select *, lead(day) over w as until, lead(source) over w as by_whom from all_events window w as (partition by d, path order by day, source, depth, action, text nulls first)),
+v as (select d, path, (row_number() over (partition by d, path order by day))::int as version, text, day as valid_from, until as valid_to, source, by_whom as superseded_by from r where own and action <> 'repeal' and (until is null or until > day))"""
+
+
+def _versions(spark, sf_dir):
+    """Lines as changes of the articles of their part; large returns repeal the whole chapter."""
+    chapter = (F.col("l_returnflag") == "R") & (F.col("l_quantity") >= 48)
+    li = table(spark, sf_dir, "lineitem").select(
+        F.col("l_partkey").alias("document_id"), F.when(chapter, "chuong1").otherwise(F.concat(F.lit("chuong1.dieu"), F.col("l_linenumber").cast("string"))).alias("path"),
+        authority.first_rule([(F.col("l_returnflag") == "R", versions.REPEAL), (F.col("l_returnflag") == "A", versions.REPLACE)], versions.INSERT).alias("action"),
+        F.when(F.col("l_returnflag") != "R", F.concat(F.lit("Lần "), F.col("l_orderkey").cast("string"))).alias("text"),
+        F.concat_ws("-", "l_orderkey", "l_suppkey", F.col("l_extendedprice").cast("decimal(18,2)")).alias("source"), F.col("l_shipdate").cast("date").alias("effective"),
+    )
+    return versions.intervals(li)
+
+
+@query(f"{_CHANGE_SQL} select d as document_id, path, version, text, valid_from::varchar as valid_from, valid_to::varchar as valid_to, source, superseded_by from v")
+def provision_versions(spark, sf_dir):
+    return _versions(spark, sf_dir).withColumns({c: F.col(c).cast("string") for c in ("valid_from", "valid_to")})
+
+
+@query(f"""{_CHANGE_SQL} select d as document_id, o_orderdate::date::varchar as day, count(*)::bigint as provisions, string_agg(text, chr(10) order by path) as full_text
+from v join orders on o_orderkey = d and valid_from <= o_orderdate::date and (valid_to is null or valid_to > o_orderdate::date) group by all""")
+def text_as_of(spark, sf_dir):
+    """Every order asks for the text of the document of its number as it stood on its own day."""
+    asked = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("document_id"), F.col("o_orderdate").cast("date").alias("day"))
+    return versions.texts_as_of(_versions(spark, sf_dir), asked).withColumn("day", F.col("day").cast("string"))
+
+
+@query("""with recursive e as (select distinct l_orderkey as s, l_partkey as t from lineitem where l_returnflag = 'R' and l_orderkey <> l_partkey), p as (select s as start, [s, t] as path, t as last from e
+union all select start, list_append(path, e.t), e.t from p join e on e.s = p.last where len(path) <= 3 and not list_contains(path, e.t))
+select start, array_to_string(path, '>') as path from p""")
+def guidance_paths(spark, sf_dir):
+    """All chains of up to three returned lines, from every order."""
+    li = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'")
+    return graph.path_lists(li, hops=3, source="l_orderkey", target="l_partkey").withColumn("path", F.array_join(F.col("path").cast("array<string>"), ">"))
+
+
+@query("""with p as (select regexp_extract(url, '^https?://([^/?#:]+)', 1) as listing, row_number() over (partition by regexp_extract(url, '^https?://([^/?#:]+)', 1) order by page_id) as page, regexp_extract_all(html, 'href="([^"]*)"', 1) as rows from pages),
+f as (select listing, len(rows) as size from p where page = 1),
+w as (select p.*, coalesce(sum(len(rows)) over (partition by listing order by page rows between unbounded preceding and 1 preceding), 0) as taken, lag(len(rows)) over (partition by listing order by page) as before, f.size from p join f using (listing) where page <= 50),
+s as (select listing, min(page) as stop from w where page > 1 and (before = 0 or taken >= 25 or page > ceil(25 / greatest(size, 1)) + 1) group by 1),
+k as (select w.listing, taken, unnest(rows) as link, generate_subscripts(rows, 1) - 1 as place from w left join s using (listing) where stop is null or page < stop)
+select listing, (taken + place)::bigint as position, link as "row" from k where taken + place < 25 and listing <> ''""")
+def paged_listing(spark, sf_dir):
+    """A host's pages as the pages of a listing whose rows are their links; 25 rows of each are wanted."""
+    p = table(spark, sf_dir, "pages").withColumn("listing", F.try_parse_url("url", F.lit("HOST")))
+    page = F.row_number().over(Window.partitionBy("listing").orderBy("page_id")).alias("page")
+    return paging.listed(p.select("listing", page, F.lit(1000).cast("long").alias("total"), page_source.link_list(F.col("html")).alias("rows")), 25)

@@ -53,7 +53,8 @@ def write_log(rows: DataFrame, path: str) -> None:
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.DOWNLOAD_LOG).option("escape", '"').csv(path)
+    """The log's rows. Quoted fields may hold line breaks, so a file is read as a whole; each write appends its own files."""
+    return spark.read.schema(schemas.DOWNLOAD_LOG).option("escape", '"').option("multiLine", True).csv(path)
 
 
 def file_listing(spark: SparkSession, root: str) -> DataFrame:

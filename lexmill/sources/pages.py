@@ -40,9 +40,14 @@ def allowed(url: Column, suffixes: list[str] | None = None, hosts: list[str] | N
     return F.coalesce(cond, F.lit(False))
 
 
+def link_list(html: Column) -> Column:
+    """The values of all href attributes, in order."""
+    return F.regexp_extract_all(html, F.lit('href="([^"]*)"'), 1)
+
+
 def links(pages: DataFrame, html: str = "html") -> DataFrame:
     """A row per href attribute."""
-    return pages.withColumn("link", F.explode(F.regexp_extract_all(html, F.lit('href="([^"]*)"'), 1)))
+    return pages.withColumn("link", F.explode(link_list(F.col(html))))
 
 
 def _rows(df: DataFrame, schema: schemas.Schema, make: Callable[[str, str], dict | None]) -> DataFrame:
