@@ -22,12 +22,22 @@ def edge_key() -> Column:
     return stable_id(bound, F.col("source_document_id"), F.col("reference_type"), F.col("change_type"), last)
 
 
-def dedup_edges(edges: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """One edge per key: the least by ``order`` (created_at, then id), null first."""
+def dedup_edges(edges: DataFrame, order: list[str] | None = None, stored: bool = False) -> DataFrame:
+    """One edge per key: the least by ``order`` (created_at, then id), null first.
+
+    Of ``stored`` edges, which are cheap to read again, keys are counted as 64-bit hashes first, so nothing but a number
+    per row is shuffled; whole rows are compared, by the parts of their keys, only where a hash comes twice."""
     cols, order = edges.columns, [c for c in order or ["created_at", "id"] if c in edges.columns]
-    keyed = edges.withColumn("__key", edge_key())
+    bound = F.col("target_document_id").isNotNull()
+    last = F.when(bound, F.col("target_document_id")).otherwise(F.col("raw_citation_text"))
+    parts = F.struct(bound.alias("bound"), "source_document_id", "reference_type", "change_type", last.alias("last"))
     first = F.min_by(F.struct(*cols), F.struct(*(F.col(c) for c in [*order, "raw_citation_text"])))
-    return keyed.groupBy("__key").agg(first.alias("e")).select("e.*")
+    if not stored:
+        return edges.groupBy(parts.alias("__key")).agg(first.alias("e")).select("e.*")
+    marked = edges.withColumn("__hash", F.xxhash64(parts))
+    again = marked.groupBy("__hash").agg(F.count("*").alias("__n")).filter("__n > 1").select("__hash")
+    several = marked.join(again, "__hash", "left_semi").groupBy(parts.alias("__key")).agg(first.alias("e")).select("e.*")
+    return marked.join(again, "__hash", "left_anti").select(cols).unionByName(several)
 
 
 def insert_edges(edges: DataFrame, new: DataFrame) -> DataFrame:
@@ -57,9 +67,15 @@ def dangling(edges: DataFrame, source: str | None = None, reference_type: str |
 
 
 def dangling_list(edges: DataFrame, document: DataFrame, **filters) -> DataFrame:
-    """Dangling edges with their source's citation and title, newest first."""
+    """Dangling edges with their source's citation and title, in no order."""
     side = document.select(F.col("id").alias("source_document_id"), F.col("citation_id").alias("source_citation"), F.col("title").alias("source_title"))
-    return dangling(edges, **filters).join(side, "source_document_id", "left").orderBy(F.desc("created_at"), "id")
+    return dangling(edges, **filters).join(side, "source_document_id", "left")
+
+
+def page_of(edges: DataFrame, page: int, size: int, newest_first: bool = False) -> DataFrame:
+    """A page (from 1) of edges by created_at and id: a top-k, so only as many rows as lie before its end are kept."""
+    order = [F.desc("created_at") if newest_first else F.col("created_at"), F.col("id")]
+    return edges.orderBy(*order).limit(page * size).offset((page - 1) * size)
 
 
 def heal(edges: DataFrame, document: DataFrame, citations: list[str] | None = None) -> DataFrame:
@@ -91,7 +107,8 @@ def heal_report(edges: DataFrame, document: DataFrame, citations: DataFrame) ->
 
 
 def references(edges: DataFrame, document: DataFrame, document_ids: DataFrame | None = None, direction: str = OUTGOING, reference_type: str | None = None) -> DataFrame:
-    """Edges with both sides' citation and title, oldest first; of the given documents (column id) or of all."""
+    """Edges with both sides' citation and title, of the given documents (column id) or of all. They come in no order: a
+    caller that shows a page sorts it by created_at and id, with a limit, instead of the whole table."""
     rows = edges if reference_type is None else edges.filter(F.col("reference_type") == reference_type)
     if document_ids is not None:
         ends = {OUTGOING: ["source_document_id"], INCOMING: ["target_document_id"], ALL: ["source_document_id", "target_document_id"]}[direction]
@@ -101,7 +118,7 @@ def references(edges: DataFrame, document: DataFrame, document_ids: DataFrame |
     for side in ("source", "target"):
         names = document.select(F.col("id").alias(f"{side}_document_id"), F.col("citation_id").alias(f"{side}_citation"), F.col("title").alias(f"{side}_title"))
         rows = rows.join(names, f"{side}_document_id", "left")
-    return rows.orderBy("created_at", "id")
+    return rows
 
 
 def delete_documents(document: DataFrame, nodes: DataFrame, edges: DataFrame, ids: DataFrame | None, allow_all: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:

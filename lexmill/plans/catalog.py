@@ -143,6 +143,14 @@ def edge_all(spark, sf_dir):
     return _all_references(spark, sf_dir, edges.ALL)
 
 
+@query(f"""{_EDGE_SQL} select id, 'O-' || a.o_orderkey as source_citation, 'O-' || b.o_orderkey as target_citation from e left join orders a on a.o_orderkey::varchar = s left join orders b on b.o_orderkey::varchar = t
+where reference_type = 'amends' order by created_at desc, id limit 20 offset 40""")
+def edge_page(spark, sf_dir):
+    """The third page of all amending edges, newest first."""
+    rows = edges.references(_edges(spark, sf_dir), _documents(spark, sf_dir), reference_type="amends")
+    return edges.page_of(rows, 3, 20, newest_first=True).select("id", "source_citation", "target_citation")
+
+
 def _labelled_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as edges: the label is the target, bound where there is one."""
     d, lab = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select(F.col("doc_id").alias("l"), "quality")
@@ -222,7 +230,7 @@ def get_or_create_dim(spark, sf_dir):
 select reference_type, change_type, count(*)::bigint as n, count(target)::bigint as bound from (select distinct s, reference_type, change_type, target, case when target is null then t end as raw from n) group by all""")
 def dedup_edges_nullsafe(spark, sf_dir):
     e = _edges(spark, sf_dir).withColumn("target_document_id", F.when(F.col("target_document_id").cast("long") % 2 != 0, F.col("target_document_id")))
-    return edges.dedup_edges(e).groupBy("reference_type", "change_type").agg(F.count("*").alias("n"), F.count("target_document_id").alias("bound"))
+    return edges.dedup_edges(e, stored=True).groupBy("reference_type", "change_type").agg(F.count("*").alias("n"), F.count("target_document_id").alias("bound"))
 
 
 @query(f"""{_EDGE_SQL}, ids as (select unnest(range(0, 40))::varchar as id union all select 'none'),

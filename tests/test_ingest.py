@@ -148,3 +148,10 @@ def test_manifest_upsert_and_collisions(spark):
     assert upsert.move_entry(m, "s", "f", "t").filter("subdir = 't'").count() == 2
     d = spark.createDataFrame([("Không số", "1"), ("Không số", "2"), ("1/2", "3")], "citation_id string, content_version string")
     assert [r["citation_id"] for r in upsert.collisions(d).collect()] == ["Không số"]
+
+
+def test_stored_edges_are_told_apart_by_their_whole_keys(spark):
+    rows = [(str(i), "a" if i % 3 else None, None if i % 2 else "t", "cites", None, f"r{i % 4}", None) for i in range(40)]
+    e = spark.createDataFrame(rows, "id string, source_document_id string, target_document_id string, reference_type string, change_type string, raw_citation_text string, created_at date")
+    ids = [sorted(r["id"] for r in edges.dedup_edges(e, stored=s).collect()) for s in (False, True)]
+    assert ids[0] == ids[1] and len(ids[0]) == len({(s, t, None if t else raw) for _, s, t, _, _, raw, _ in rows})
