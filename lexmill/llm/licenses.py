@@ -4,8 +4,9 @@ Every run of K words of a text is joined, by hash and then word for word, to the
 templates. A match of text word i with template word j votes for the offset diagonal i - j. Votes are summed by
 diagonal, diagonals at most MERGE apart are merged (words inserted or left out move the offset), and a merged span is
 verified: the share of the template's words that it covers, its length against the template's, and whether all of the
-template's numbers are covered, since versions differ in nothing else. Of verified spans that overlap, the one that
-covers its template best and stretches it least stays. A template marked as a phrase counts only where a single
+template's numbers and deciding words are covered, since licenses of one family differ in nothing else. Of verified
+spans that overlap, the one that covers its template best and stretches it least stays, so a text with a word more than
+a template goes to the template that has the word. A template marked as a phrase counts only where a single
 diagonal holds all its words: there they stand consecutively.
 
 A text is split once: a mark after its last word meets a template of its own and brings the text's size along.
@@ -56,7 +57,14 @@ NOTICES = [
     ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
     ("cc-by-nc-sa", "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license"),
     ("cc-by-nc-nd", "this work is licensed under a creative commons attribution noncommercial noderivatives 4 0 international license"),
+    ("agpl-3", "this work is licensed under the gnu affero general public license version 3"),
+    ("lgpl-3", "this work is licensed under the gnu lesser general public license version 3"),
+    ("lgpl-2.1", "this work is licensed under the gnu lesser general public license version 2 1"),
+    ("lgpl-2", "this work is licensed under the gnu library general public license version 2"),
+    ("lgpl-2", "it under the terms of the gnu library general public license as published by the free software foundation either version 2 of the license"),
 ]
+#: fixed values: words that tell licenses apart or carry a grant; where a template has one, a span must cover it
+DECIDING = {"affero", "lesser", "library", "sharealike", "noncommercial", "noderivatives", "granted", "permitted", "released"}
 
 
 def templates(phrases=PHRASES, notices=NOTICES) -> list[tuple[int, str, bool, list[str]]]:
@@ -67,6 +75,11 @@ def templates(phrases=PHRASES, notices=NOTICES) -> list[tuple[int, str, bool, li
     return [(n, *row) for n, row in enumerate(rows)]
 
 
+def needed(words: list[str], phrase: bool) -> list[int]:
+    """Places of a notice's numbers and deciding words; a phrase counts as a whole anyway."""
+    return [] if phrase else [j for j, w in enumerate(words) if w.isdigit() or w in DECIDING]
+
+
 def words_of(text) -> F.Column:
     """The words of a text column, with A-Z in lower case; null counts as empty."""
     return F.filter(F.split(F.translate(F.coalesce(text.cast("string"), F.lit("")), UPPER, LOWER), NO_WORD), lambda w: w != "")
@@ -84,8 +97,8 @@ def _runs(words) -> F.Column:
 
 
 def _template_runs(spark: SparkSession, rows: list) -> DataFrame:
-    """(tid, label, phrase, size, need, j, t1..tK, h); need: places of the template's numbers. The mark's row has one empty word."""
-    made = [(n, label, phrase, words, len(words), [j for j, w in enumerate(words) if w.isdigit() and not phrase]) for n, label, phrase, words in rows]
+    """(tid, label, phrase, size, need, j, t1..tK, h); need: places that a span must cover. The mark's row has one empty word."""
+    made = [(n, label, phrase, words, len(words), needed(words, phrase)) for n, label, phrase, words in rows]
     made.append((SIZE, "", False, [""], 1, []))
     t = spark.createDataFrame(made, "tid int, label string, phrase boolean, words array<string>, size int, need array<int>")
     t = t.select("tid", "label", "phrase", "size", "need", _runs(F.col("words"))).filter(f"p <= size - {K} or tid = {SIZE}")
@@ -156,8 +169,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle() -> str:
-    need = lambda words, phrase: [j for j, w in enumerate(words) if w.isdigit() and not phrase]
-    values = ", ".join(f"({n}, '{label}', {str(phrase).lower()}, string_split('{' '.join(words)}', ' '), {need(words, phrase)}::bigint[])" for n, label, phrase, words in templates())
+    values = ", ".join(f"({n}, '{label}', {str(phrase).lower()}, string_split('{' '.join(words)}', ' '), {needed(words, phrase)}::bigint[])" for n, label, phrase, words in templates())
     eq = " and ".join(f"d.words[d.i + {n}] = t.words[t.j + {n}]" for n in range(2, K + 1))
     return f"""
 with t as (select tid, label, phrase, words, need, len(words) as size, unnest(range(0, len(words) - {K - 1})) as j from (values {values}) v(tid, label, phrase, words, need)),

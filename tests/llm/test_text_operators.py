@@ -233,3 +233,20 @@ def test_portions_keep_rows_and_bound_bytes():
     assert all(sum(s) <= 10 or len(s) == 1 for s in sizes) and max(map(sum, sizes)) == 30
     nothing = pa.RecordBatch.from_arrays([pa.nulls(2)], names=["t"])
     assert list(portions(iter([nothing]), 0)) == [nothing] and list(portions(iter([batches[1].slice(0, 0)]), 1)) == []
+
+
+def test_licenses_of_one_family_are_told_apart(spark):
+    """Labels written by hand, without the operator's rules."""
+    from lexmill.llm import licenses
+
+    short = "x this work is licensed under the gnu {}general public license version {} y"
+    long = "you can redistribute it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version {} of the License, or later"
+    cases = [(short.format(a, v), label) for a, v, label in (("", "3", "gpl-3"), ("", "2", "gpl-2"), ("affero ", "3", "agpl-3"), ("lesser ", "3", "lgpl-3"), ("lesser ", "2.1", "lgpl-2.1"), ("library ", "2", "lgpl-2"))]
+    cases += [(long.format(a, v), label) for a, v, label in (("", "3", "gpl-3"), ("", "2", "gpl-2"), ("Affero ", "3", "agpl-3"), ("Lesser ", "3", "lgpl-3"), ("Lesser ", "2.1", "lgpl-2.1"), ("Library ", "2", "lgpl-2"))]
+    creative = "This work is licensed under a Creative Commons Attribution{} 4.0 International License"
+    cases += [(creative.format(w), label) for w, label in (("", "cc-by"), ("-ShareAlike", "cc-by-sa"), ("-NoDerivatives", "cc-by-nd"), ("-NonCommercial", "cc-by-nc"), ("-NonCommercial-ShareAlike", "cc-by-nc-sa"), ("-NonCommercial-NoDerivatives", "cc-by-nc-nd"))]
+    grant = "permission to use, copy, modify and/or distribute this software for any purpose with or without fee is hereby {}"
+    cases += [(grant.format("granted"), "isc"), (grant.format("denied"), ""), ("permission to use copy modify and distribute this software for any purpose without fee is hereby denied", "")]
+    cases += [("Redistribution and use in source and binary forms, with or without modification, are forbidden", ""), (f"{cases[2][0]} . . {'word ' * 30} {cases[0][0]}", "agpl-3,gpl-3")]
+    rows = licenses.scan_licenses(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")).collect()
+    assert {cases[r["id"]][0]: r["labels"] for r in rows} == dict(cases)
