@@ -14,6 +14,9 @@ A text is split once: a mark after its last word meets a template of its own and
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +25,8 @@ from lexmill.scratch import written
 K, MERGE, COVER, STRETCH = 3, 4, 0.7, 1.5
 #: template runs that may be broadcast; more are joined by a shuffle
 BROADCAST_RUNS = 200_000
+#: different words of templates, by place in a run, up to which texts are looked through for them first
+LISTED_WORDS = 2000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: number of the template that a text's end meets
@@ -107,13 +112,26 @@ def _template_runs(spark: SparkSession, rows: list) -> DataFrame:
     return F.broadcast(t) if sum(len(w) for *_, w in rows) <= BROADCAST_RUNS else t
 
 
+def _met(rows: list) -> F.Column:
+    """Array of (i, w1..wK): the places in ``words`` from which each word stands at its place in a run of some template, and the end's mark.
+
+    No other place can vote, so no other becomes a row. With very many different words all places are taken."""
+    at = [{words[j + n] for *_, words in rows for j in range(len(words) - K + 1)} for n in range(K)]
+    places, size = F.sequence(F.lit(0), F.size("words") - 1), F.size("words")
+    if max(map(len, at)) <= LISTED_WORDS:
+        may = lambda i: reduce(and_, (F.get("words", i + n).isin(sorted(own)) for n, own in enumerate(at)))
+        places = F.filter(places, lambda i: (i == size - 1) | may(i))
+    return F.transform(places, lambda i: F.struct(i.alias("i"), *(F.get("words", i + n).alias(f"w{n + 1}") for n in range(K))))
+
+
 def _lines(docs: DataFrame, id_col: str, text_col: str, phrases, notices) -> DataFrame:
     """(id, digest, tid, label, phrase, size, need, diagonal, js, n): the votes by diagonal; for the mark, diagonal is the text's number of words and n the number of rows."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    src = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("digest"), _runs(F.concat(words_of(text), F.array(F.lit("")))))
-    src = src.select("id", "digest", F.col("p").alias("i"), *(F.col("r")[f"w{n}"].alias(f"w{n}") for n in range(1, K + 1)))
+    rows = templates(phrases, notices)
+    src = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("digest"), F.concat(words_of(text), F.array(F.lit(""))).alias("words"))
+    src = src.select("id", "digest", F.explode(_met(rows)).alias("r")).select("id", "digest", "r.*")
     src = src.withColumn("h", F.xxhash64(*(f"w{n}" for n in range(1, K + 1))))
-    runs = _template_runs(docs.sparkSession, templates(phrases, notices))
+    runs = _template_runs(docs.sparkSession, rows)
     same = [src["h"] == runs["h"], *(F.col(f"w{n}").eqNullSafe(F.col(f"t{n}")) for n in range(1, K + 1))]
     votes = src.join(runs, same).select("id", "digest", "tid", "label", "phrase", "size", "need", (F.col("i") - F.col("j")).alias("diagonal"), "j")
     return votes.groupBy("id", "digest", "tid", "label", "phrase", "size", "need", "diagonal").agg(F.collect_set("j").alias("js"), F.count("*").alias("n"))

@@ -250,3 +250,14 @@ def test_licenses_of_one_family_are_told_apart(spark):
     cases += [("Redistribution and use in source and binary forms, with or without modification, are forbidden", ""), (f"{cases[2][0]} . . {'word ' * 30} {cases[0][0]}", "agpl-3,gpl-3")]
     rows = licenses.scan_licenses(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")).collect()
     assert {cases[r["id"]][0]: r["labels"] for r in rows} == dict(cases)
+
+
+def test_licenses_with_all_places_taken(spark, monkeypatch):
+    """Looking for templates' words first changes the work, not the result."""
+    from lexmill.llm import licenses
+
+    texts = ["", None, "under the mit", "x under the MIT license y", "released under the mit license, license version 2", "cc by nc cc by nc", "apache license version 2.0 " * 3, " ".join(licenses.NOTICES[1][1].split()[3:])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    first = sorted(map(tuple, licenses.scan_licenses(df).collect()))
+    monkeypatch.setattr(licenses, "LISTED_WORDS", 0)
+    assert first == sorted(map(tuple, licenses.scan_licenses(df).collect())) and first[3][5] == "mit" and first[5][2] == 2
