@@ -32,28 +32,29 @@ BUCKET = 256
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, separator: int = SEPARATOR, vocabulary: str = DEFAULT, with_ids: bool = True) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32[, ids]): each document's ids and the separator, cut from the end into
-    pieces of ``capacity``, so that only the first may be shorter. Null counts as empty: the separator alone."""
-    fields = [T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()), *(T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32"))]
+    """(doc_id, piece, start, length, ids_crc32, row[, ids]): each document's ids and the separator, cut from the end into
+    pieces of ``capacity``, so that only the first may be shorter. Null counts as empty: the separator alone. row is a
+    number of the input's row, which keeps rows with one id, or without one, apart."""
+    fields = [T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()), *(T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32", "row"))]
     schema = T.StructType(fields + [T.StructField("ids", T.BinaryType())] * with_ids)
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.binary()] * with_ids
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()] + [pa.binary()] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, last = encoder(vocabulary), separator.to_bytes(4, "little")
         for batch in portions(batches, 1):
             cols: list[list] = [[] for _ in kinds]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for doc, text, row in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 ids = enc.ids(text.as_py() or "") + last
                 n = len(ids) // 4
                 ends = range((n - 1) % capacity + 1, n + 1, capacity)
                 for k, end in enumerate(ends):
                     start = max(0, end - capacity)
                     part = ids[4 * start : 4 * end]
-                    for col, x in zip(cols, (doc, k, start, end - start, zlib.crc32(part), part)):
+                    for col, x in zip(cols, (doc, k, start, end - start, zlib.crc32(part), row, part)):
                         col.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=schema.names)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), F.monotonically_increasing_id()).mapInArrow(run, schema)
 
 
 def _fill(sizes: list[int], left: list[int], room: int) -> list[int]:
@@ -167,18 +168,19 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = 512,
 def pack(cut: DataFrame, capacity: int = CAPACITY, groups: int = 512) -> DataFrame:
     """The pieces with sequence_id and offset; sequences have no gaps before their pieces' end.
 
-    cut is read more than once and should be a written table. Ranks within a length are counted in buckets of bounded
+    cut is read more than once and has to be a written table: its row numbers deal pieces out to buckets, so neither null
+    nor repeated ids fill one. Ranks within a length are counted in buckets of bounded
     size: a window ranks within a bucket, and a running sum over the buckets' counts gives each bucket's first rank."""
     spark = cut.sparkSession
     counted = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     buckets = {n: -(-k // max(BUCKET, int(k**0.5))) for n, k in counted.items()}
     of = F.broadcast(spark.createDataFrame([(n, b) for n, b in buckets.items()], "length long, buckets long"))
-    dealt = cut.join(of, "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), "buckets")).drop("buckets")
+    dealt = cut.join(of, "length").withColumn("bucket", F.pmod(F.xxhash64("row", "piece"), "buckets")).drop("buckets")
     sums = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    ranked = dealt.withColumn("at", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1)
-    ranked = ranked.join(sums, ["length", "bucket"]).withColumn("rank", F.col("first") + F.col("at")).drop("bucket", "first", "at")
+    ranked = dealt.withColumn("at", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("row", "piece")) - 1)
+    ranked = ranked.join(sums, ["length", "bucket"]).withColumn("rank", F.col("first") + F.col("at")).drop("bucket", "first", "at", "row")
     made = plan(counted, capacity, groups)
     places = spark.createDataFrame(made, "size long, low long, high long, base long, offset long")
     places = F.broadcast(places) if len(made) <= PLAN_ROWS else places

@@ -1,7 +1,9 @@
 """Embedding near-duplicates by a forest of random-projection trees.
 
 A tree splits recursively: vectors are projected on a random direction and parted at the median, and those within SPILL
-of it go to both sides. Trees are fitted on a bounded sample, and every vector is indexed. Within a leaf all vectors
+of it go to both sides. The trees' upper levels are fitted on a bounded sample, and every vector is indexed; leaves that
+still hold too many vectors are split on, in rounds, by the medians that Spark takes of all their vectors, so leaves
+don't grow with the data. Within a leaf all vectors
 of one label are compared by cosine in double precision; a leaf with more vectors than a block holds is compared block
 by block, so no task's input grows and nothing is left out. A pair that several leaves hold counts in the first alone.
 Only counts and a spanning forest of the links leave a block, never the pairs. Equal vectors are one class with a
@@ -26,6 +28,12 @@ from lexmill.scratch import written
 SAMPLE = 20_000
 TREES, LEAF, SPILL, BLOCK, SEED, LINK = 6, 1024, 0.02, 512, 11, 0.98
 TRIES, DEEPEST = 4, 24
+#: a leaf beyond so many times the wanted size is split on; rounds of that, two splits each, at most
+OVERSIZE, ROUNDS = 8, 14
+#: a split counts if neither side holds more than this share of a leaf
+SHARE = 0.65
+#: leaves whose medians may be broadcast
+BROADCAST_LEAVES = 200_000
 
 
 class Tree:
@@ -105,7 +113,7 @@ def compare(rows: pd.DataFrame, link: float = LINK) -> pd.DataFrame:
     return pd.DataFrame({"node": ids[kept], "links": links[kept].astype(np.int64), "root": root[kept]})
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", link: float = LINK, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", link: float = LINK, trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE) -> DataFrame:
     """(id, n_links, component_id, kept): one row per input row.
 
     Vectors without a label, null, empty, zero, or with null or non-finite components link with nothing; neither do
@@ -123,10 +131,10 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     found = None
     for d, n in sorted(sizes.items()):
         of = classes.filter(F.size("vector") == d)
-        sample = of.orderBy(F.xxhash64("rep", "label"), "rep").limit(SAMPLE).select("vector").toArrow().column(0).combine_chunks()
-        x = np.asarray(sample.flatten(), dtype=np.float64).reshape(-1, d)
+        some = of.orderBy(F.xxhash64("rep", "label"), "rep").limit(sample).select("vector").toArrow().column(0).combine_chunks()
+        x = np.asarray(some.flatten(), dtype=np.float64).reshape(-1, d)
         forest = spark.sparkContext.broadcast(grow(x / np.linalg.norm(x, axis=1, keepdims=True), n, trees, leaf))
-        part = _compared(of, forest, link)
+        part = _compared(of, forest, link, OVERSIZE * leaf)
         found = part if found is None else found.unionByName(part)
     if found is None:
         return src.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
@@ -142,24 +150,88 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     return good.unionByName(rest).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)))
 
 
-def _compared(classes: DataFrame, forest, link: float) -> DataFrame:
+def _units(column: pa.ListArray, rows: int) -> np.ndarray:
+    x = np.asarray(column.flatten(), dtype=np.float64).reshape(rows, -1) if rows else np.empty((0, 1))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _projected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with a vector and a leaf, and the vector's places on two directions that follow from the leaf's number."""
+    for batch in batches:
+        x = _units(batch.column(batch.schema.get_field_index("vector")), batch.num_rows)
+        leaves = batch.column(batch.schema.get_field_index("leaf")).to_numpy()
+        order = np.argsort(leaves, kind="stable")
+        out = np.empty((2, batch.num_rows))
+        for rows in np.split(order, np.flatnonzero(np.diff(leaves[order])) + 1) if len(order) else ():
+            d = np.random.default_rng([SEED, int(leaves[rows[0]])]).standard_normal((2, x.shape[1]))
+            out[:, rows] = (d / np.linalg.norm(d, axis=1, keepdims=True)) @ x[rows].T
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out[0]), pa.array(out[1])], names=[*batch.schema.names, "p1", "p2"])
+
+
+def split_on(placed: DataFrame, most: int, rounds: int = ROUNDS) -> DataFrame:
+    """placed, with the leaves that hold more than ``most`` vectors of a label split into leaves that don't.
+
+    A leaf's number has its path below the first levels in its last 32 bits, a 1 before it. Each round takes two random
+    directions per leaf; Spark counts their quantiles over all the leaf's vectors, and vectors within SPILL of a median
+    go to both sides. A direction that parts a leaf badly isn't used; the next round tries others. When TRIES rounds have
+    parted nothing, what is left stays as it is: those vectors are so close together that they have to be compared.
+    Memberships are rows, so no group is ever in one task."""
+    key = ["label", "leaf"]
+
+    def over(rows: DataFrame) -> tuple[DataFrame, bool]:
+        big = written(rows.groupBy(*key).agg(F.count("*").alias("n")).filter(F.col("n") > most).select(F.col("label").alias("l"), F.col("leaf").alias("f")), "over")
+        n = big.count()
+        return (F.broadcast(big) if n <= BROADCAST_LEAVES else big), bool(n)
+
+    same = (F.col("label") == F.col("l")) & (F.col("leaf") == F.col("f"))
+    rows = placed.select("label", "node", "vector", F.explode("leaves").alias("leaf"))
+    big, any_left = over(rows)
+    if not any_left:
+        return placed
+    ended, idle = rows.join(big, same, "left_anti").select("node", "leaf"), 0
+    for _ in range(rounds):
+        todo = rows.join(big, same, "left_semi")
+        schema = todo.schema.simpleString()[len("struct<") : -1]
+        todo = written(todo.mapInArrow(_projected, f"{schema}, p1 double, p2 double"), "projected")
+        marks = F.lit([1 - SHARE, 0.5, SHARE])
+        cuts = todo.groupBy(*key).agg(F.percentile_approx("p1", marks, 2000).alias("q1"), F.percentile_approx("p2", marks, 2000).alias("q2"))
+        fair = lambda q: F.when((F.col(q)[2] - F.col(q)[1] > SPILL) & (F.col(q)[1] - F.col(q)[0] > SPILL), F.col(q)[1])
+        cuts = written(cuts.select(F.col("label").alias("l"), F.col("leaf").alias("f"), fair("q1").alias("c1"), fair("q2").alias("c2")), "cuts")
+        n, parted = cuts.agg(F.count("*"), F.count(F.coalesce("c1", "c2"))).first()
+        cuts, idle = F.broadcast(cuts) if n <= BROADCAST_LEAVES else cuts, 0 if parted else idle + 1
+        side = lambda p, c: F.array_compact(F.array(F.when(F.col(c).isNull() | (F.col(p) <= F.col(c) + SPILL), 0), F.when(F.col(p) > F.col(c) - SPILL, 1)))
+        path = F.col("leaf").bitwiseAND(F.lit(0xFFFFFFFF))
+        below = F.col("leaf") - path + path * 4
+        children = F.flatten(F.transform(side("p1", "c1"), lambda a: F.transform(side("p2", "c2"), lambda b: below + a * 2 + b)))
+        met = todo.join(cuts, same).drop("l", "f")
+        rows = written(met.select("label", "node", "vector", F.explode(children).alias("leaf")), "split")
+        big, any_left = over(rows)
+        ended = ended.unionByName(rows.join(big, same, "left_anti").select("node", "leaf"))
+        if not any_left or idle == TRIES:
+            break
+    ended = ended.unionByName(rows.join(big, same, "left_semi").select("node", "leaf"))
+    leaves = ended.groupBy("node").agg(F.sort_array(F.collect_list("leaf")).alias("leaves"))  # a row's own leaves
+    return written(placed.drop("leaves").join(leaves, "node").select(placed.columns), "placed")
+
+
+def _compared(classes: DataFrame, forest, link: float, most: int) -> DataFrame:
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grown = forest.value
         firsts = np.cumsum([0, *(t.leaves for t in grown)])
         for batch in batches:
             vectors = batch.column(batch.schema.get_field_index("vector"))
-            x = np.asarray(vectors.flatten(), dtype=np.float64).reshape(batch.num_rows, -1) if batch.num_rows else np.empty((0, 1))
-            x = x / np.linalg.norm(x, axis=1, keepdims=True)
+            x = _units(vectors, batch.num_rows)
             own: list[list[int]] = [[] for _ in range(batch.num_rows)]
             for first, tree in zip(firsts.tolist(), grown):
                 for leaf, rows in tree.place(x) if batch.num_rows else ():
                     for r in rows.tolist():
-                        own[r].append(first + leaf)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([sorted(o) for o in own], pa.list_(pa.int32()))], names=[*batch.schema.names, "leaves"])
+                        own[r].append((first + leaf) << 32 | 1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([sorted(o) for o in own], pa.list_(pa.int64()))], names=[*batch.schema.names, "leaves"])
 
     placed = classes.select("label", "vector", "node", "copies")
     schema = placed.schema.simpleString()[len("struct<") : -1]
-    placed = written(placed.mapInArrow(assign, f"{schema}, leaves array<int>"), "placed")
+    placed = written(placed.mapInArrow(assign, f"{schema}, leaves array<bigint>"), "placed")
+    placed = split_on(placed, most)
     each = placed.withColumn("leaf", F.explode("leaves"))
     counts = each.select("label", "leaf").groupBy("label", "leaf").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("label").alias("l"), F.col("leaf").alias("f"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")).hint("rebalance")
     dealt = each.join(counts, (F.col("label") == F.col("l")) & (F.col("leaf") == F.col("f"))).drop("l", "f")

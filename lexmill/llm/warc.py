@@ -22,6 +22,8 @@ from lexmill.scratch import fresh_path, written
 
 #: a file is closed after the record that takes it to this size
 ROLL_BYTES, READ_BLOCK = 64 << 20, 1 << 16
+#: bytes of archives that a reading task takes, on average
+READ_BYTES = 128 << 20
 #: revisits whose table may be broadcast
 BROADCAST_REVISITS = 200_000
 DATE = "2000-01-01T00:00:00Z"
@@ -33,20 +35,22 @@ def digest(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
-    """One record, compressed. A revisit's block is the response's HTTP head alone, which tells the payload's length."""
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, mark: str | int | None = None, target_mark: int | None = None) -> bytes:
+    """One record, compressed. A revisit's block is the response's HTTP head alone, which tells the payload's length.
+
+    Marks follow ids that several records have, so that a record's name is its own."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = head if revisit else head + payload
-    name = lambda i: f"<{ID}{'null' if i is None else i}>"
+    name = lambda i, own: f"<{ID}{'null' if i is None else i}{'' if own is None else f':{own}'}>"
     fields = [
         ("WARC-Type", "revisit" if revisit else "response"),
-        ("WARC-Record-ID", name(page_id)),
+        ("WARC-Record-ID", name(page_id, mark)),
         ("WARC-Date", DATE),
         *([("WARC-Target-URI", quote(url, safe=":/?#[]@!$&'()*+,;=%~-._"))] if url else []),
         ("Content-Type", "application/http; msgtype=response"),
         ("WARC-Block-Digest", f"sha1:{digest(block)}"),
         ("WARC-Payload-Digest", f"sha1:{digest(payload)}"),
-        *([("WARC-Refers-To", name(refers_to)), ("WARC-Profile", PROFILE)] if revisit else []),
+        *([("WARC-Refers-To", name(refers_to, target_mark)), ("WARC-Profile", PROFILE)] if revisit else []),
         ("Content-Length", str(len(block))),
     ]
     raw = b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields).encode() + b"\r\n" + block + b"\r\n\r\n"
@@ -99,7 +103,7 @@ def records(blocks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def page_of(uri: str | None) -> int | None:
-    name = (uri or "").strip("<>").removeprefix(ID)
+    name = (uri or "").strip("<>").removeprefix(ID).partition(":")[0]
     return None if name in ("", "null") else int(name)
 
 
@@ -120,18 +124,30 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     """(path, n_records, n_bytes): the archives' files. One record per row; null html is an empty payload.
 
     Of rows with equal payloads of at least min_bytes bytes, those with the smallest id are the response, and others
-    revisit it; rows with null ids are always responses.
+    revisit it; rows with null ids are always responses. Rows that share an id get names of their own, and a revisit names
+    one of the responses; such rows alone are written down beforehand, to be numbered.
     Each attempt of a task writes files of its own, and only those of the attempt that ended well are listed. Pages
     keep their partitions if the revisits are few enough to be broadcast; else they are joined by a shuffle."""
     spark = pages.sparkSession
     src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
-    sums = src.select("page_id", F.sha1(F.col("html").cast("binary")).alias("sum"), F.octet_length("html").alias("size")).filter(F.col("size") >= min_bytes)
+    sums = src.select("page_id", F.sha1(F.col("html").cast("binary")).alias("sum"), F.octet_length("html").alias("size"))
     sums = written(sums, "digests")
+    several = written(sums.filter("page_id is not null").groupBy("page_id").agg(F.count("*").alias("n")).filter("n > 1").select("page_id"), "several")
+    sums = sums.filter(F.col("size") >= min_bytes)
     firsts = sums.groupBy("sum", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").hint("rebalance")
     again = written(sums.join(firsts, ["sum", "size"]).filter("page_id <> first").select("page_id", F.col("sum").alias("own"), "first").distinct(), "revisits")
     few = again.count() <= BROADCAST_REVISITS
+    none = F.lit(None).cast("long")
+    if repeated := several.count():
+        ids = F.broadcast(several) if repeated <= BROADCAST_REVISITS else several
+        copies = written(src.join(ids, "page_id", "left_semi").withColumn("mark", F.monotonically_increasing_id()), "copies")
+        heads = copies.groupBy(F.col("page_id").alias("first"), F.sha1(F.col("html").cast("binary")).alias("own")).agg(F.min("mark").alias("target_mark"))
+        again = again.join(heads, ["first", "own"], "left")
+        src = src.join(ids, "page_id", "left_anti").withColumn("mark", none).unionByName(copies)
+    else:
+        src, again = src.withColumn("mark", none), again.withColumn("target_mark", none)
     keyed = src.withColumn("own", F.sha1(F.col("html").cast("binary")))
-    marked = keyed.join(F.broadcast(again) if few else again, ["page_id", "own"], "left").select("page_id", "url", "html", "first")
+    marked = keyed.join(F.broadcast(again) if few else again, ["page_id", "own"], "left").select("page_id", "url", "html", "first", "mark", "target_mark")
     folder = fresh_path(spark, "warc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,13 +156,14 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
         store, top = fs.FileSystem.from_uri(folder)
         store.create_dir(top, recursive=True)
         files: list[tuple[str, int, int]] = []
-        out, path, n, size = None, "", 0, 0
+        out, path, name, n, size = None, "", "", 0, 0
         for batch in batches:
-            for page_id, url, html, first in zip(*(c.to_pylist() for c in batch.columns)):
+            for page_id, url, html, first, mark, target in zip(*(c.to_pylist() for c in batch.columns)):
                 if out is None:
-                    path, n, size = f"{top}/part-{uuid.uuid4().hex}.warc.gz", 0, 0
+                    name, n, size = uuid.uuid4().hex, 0, 0
+                    path = f"{top}/part-{name}.warc.gz"
                     out = store.open_output_stream(path, compression=None)
-                data = record(page_id, url, html.encode("utf-8", "surrogatepass"), first, first is not None)
+                data = record(page_id, url, html.encode("utf-8", "surrogatepass"), first, first is not None, f"{name}-{n}" if page_id is None else mark, target)
                 out.write(data)
                 n, size = n + 1, size + len(data)
                 if size >= ROLL_BYTES:
@@ -164,7 +181,8 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
 def read_archives(files: DataFrame, with_payload: bool = True) -> DataFrame:
     """One row per record of the files in ``path``: page_id, payload_bytes, payload_digest, record_type, refers_to, url[, payload].
 
-    Files are dealt out one by one; a broken file fails the job."""
+    Files are dealt out evenly to tasks of READ_BYTES on average, or one by one where ``n_bytes`` doesn't tell their sizes; a
+    broken file fails the job."""
     kinds = {"page_id": "long", "payload_bytes": "long", "payload_digest": "string", "record_type": "string", "refers_to": "long", "url": "string"} | ({"payload": "binary"} if with_payload else {})
     arrow = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
 
@@ -185,7 +203,10 @@ def read_archives(files: DataFrame, with_payload: bool = True) -> DataFrame:
                             rows, held = [], 0
                     yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], arrow[t]) for k, t in kinds.items()], names=list(kinds))
 
-    spread = files.select("path").repartition(max(1, files.count()))
+    sizes = F.sum("n_bytes") if "n_bytes" in files.columns else F.lit(None)
+    n, total = files.agg(F.count("*"), sizes).first()
+    few = n if total is None else max(-(-total // READ_BYTES), files.sparkSession.sparkContext.defaultParallelism)
+    spread = files.select("path").repartition(max(1, min(n, few)))
     return spread.mapInArrow(run, ", ".join(f"{k} {t}" for k, t in kinds.items()))
 
 

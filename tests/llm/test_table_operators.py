@@ -32,6 +32,11 @@ def test_archives(spark):
         assert r["payload_bytes"] == len(raw) and r["payload_digest"] == base64.b32encode(hashlib.sha1(raw).digest()).decode()
         assert r["record_type"] == ("response" if first[h] == r["page_id"] else "revisit") and r["refers_to"] == (None if first[h] == r["page_id"] else first[h])
         assert r["payload"] == (raw if r["record_type"] == "response" else None)
+    names = [f for path in (r["path"].removeprefix("file://") for r in files.collect()) for f, _ in warc.records(iter([open(path, "rb").read()]))]
+    ids = {f["warc-record-id"]: f["warc-type"] for f in names}
+    assert len(ids) == len(rows) and all(ids[f["warc-refers-to"]] == "response" for f in names if f["warc-type"] == "revisit")
+    tasks = warc.read_archives(files.select("path")).rdd.getNumPartitions(), warc.read_archives(files).rdd.getNumPartitions()
+    assert tasks[0] == files.count() >= tasks[1]
     small = warc.read_archives(warc.write_archives(df, min_bytes=100)).filter("record_type = 'revisit'").count()
     assert small == 0 and warc.write_archives(df.filter(F.lit(False))).count() == 0
 
@@ -82,6 +87,29 @@ def test_vectors_match_brute_force(spark, monkeypatch):
     assert [tuple(r) for r in vectors.near_vectors(nulls).collect()] == [(None, 0, None, False)]
 
 
+def test_oversize_leaves_are_split_on(spark):
+    rng = np.random.default_rng(7)
+    rows = []
+    for c in range(300):
+        base = rng.standard_normal(32)
+        rows += [(len(rows) + k, [float(x) for x in base + rng.standard_normal(32) * 0.06], c % 2) for k in range(3)]
+    close = rng.standard_normal(32)
+    rows += [(len(rows) + k, [float(x) for x in close + rng.standard_normal(32) * 0.03], 0) for k in range(60)]  # no direction parts these
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)
+    links = brute_links([(i, v, lab) for i, v, lab in rows])
+    got = {r["id"]: r for r in vectors.near_vectors(df, trees=3, leaf=8, sample=40).collect()}
+    found, there = sum(r["n_links"] for r in got.values()), sum(map(len, links.values()))
+    assert len(got) == len(rows) and 0.95 * there <= found and all(got[i]["n_links"] <= len(s) for i, s in links.items())
+    units = [[float(y) for y in np.array(v) / np.linalg.norm(v)] for _, v, _ in rows]
+    placed = spark.createDataFrame([(lab, u, i, 1, [5 << 32 | 1, 9 << 32 | 1]) for (i, _, lab), u in zip(rows, units)], "label int, vector array<double>, node long, copies long, leaves array<long>")
+    split = vectors.split_on(placed, 64)
+    sizes = [r["n"] for r in split.select("label", F.explode("leaves").alias("leaf")).groupBy("label", "leaf").agg(F.count("*").alias("n")).collect()]
+    assert split.count() == len(rows) and max(sizes) <= 64 + 60  # the close ones and what lies around them
+    assert vectors.split_on(placed, 5000) is placed
+    stays = vectors.split_on(placed.filter("node >= 900"), 16)  # too close to be parted
+    assert {len(r["leaves"]) for r in stays.collect()} == {2}
+
+
 def test_vectors_keep_doubles_and_rows_of_one_id_apart(spark):
     near = [1.0, (1 / 0.98**2 - 1) ** 0.5 * (1 + 1e-9)]  # a cosine just below 0.98, at or above it in single precision
     rows = [(1, [1.0, 0.0], 5), (2, near, 5), (3, [0.0, 1.0], 6), (3, [1.0, 0.0], 7), (4, [1.0, 0.001], 7), (9, [0.0, 1.001], 6)]
@@ -156,6 +184,8 @@ def test_samples_and_rates(spark):
     texts, ys, stands = labelled_sample(docs, labels, "y", ~held_out("doc_id", 5, 0), 4)
     held = {i for i in range(20) if zlib.crc32(str(i).encode()) % 5 == 0}
     assert ys.count(0) == ys.count(1) == 4 and not {t for t in texts} & {f"t{i}" for i in held} and stands[0] == sum(i % 2 == 0 and i not in held for i in range(20)) / 4
+    some, marks, _ = labelled_sample(docs, labels, "y", ~held_out("doc_id", 5, 0), 4, most_bytes=sum(len(t.encode()) for t in texts) - 1)
+    assert 0 < len(some) < len(texts) and len(marks) == len(some) and set(some) <= set(texts)
     assert labelled_sample(docs, labels.filter(F.lit(False)), "y", F.lit(True)) == ([], [], (1.0, 1.0))
     rows = rated(docs, lambda t: np.array([0.0 if x else 30.0 for x in t])).collect()
     assert len(rows) == 31 and rows[0]["score"] > 0.99 and rows[1]["score"] == 0.5 and [r["doc_id"] for r in rows] == [*range(30), None]

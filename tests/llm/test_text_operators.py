@@ -146,6 +146,17 @@ def test_packing(spark):
     assert packing.pack_documents(df.filter(F.lit(False))).count() == 0
 
 
+def test_rows_that_share_an_id_are_packed_apart(spark):
+    docs = spark.createDataFrame([(None if i % 2 else 7, "alpha be gamma" if i % 3 else "x", i) for i in range(900)], "doc_id long, text string, row int").repartition(5)
+    got = packing.pack_documents(docs, capacity=16).collect()
+    n = {t: len(tokens.encoder().ids(t)) // 4 + 1 for t in ("alpha be gamma", "x")}
+    places = sorted((r["sequence_id"], r["offset"], r["length"]) for r in got)
+    assert len(got) == 900 and sum(r["length"] for r in got) == 300 * n["x"] + 600 * n["alpha be gamma"]
+    assert all(b[1] == (a[1] + a[2] if a[0] == b[0] else 0) for a, b in zip(places, places[1:])) and places[0][1] == 0
+    cut = packing.pieces(docs, capacity=16).withColumn("bucket", F.pmod(F.xxhash64("row", "piece"), F.lit(8)))
+    assert cut.groupBy("bucket").count().agg(F.max("count")).first()[0] < 900 / 4
+
+
 def test_plan_covers_every_rank():
     rng = random.Random(7)
     for _ in range(20):
