@@ -1,11 +1,13 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on toxic and one on ordinary text: each holds the word beginnings and words
-that its class's documents have far oftener than the other's. A text is cut into windows of a few words, and every
-window is compressed with either dictionary; the difference of the two lengths says how many bytes the toxic
-dictionary saves. Literals aren't entropy-coded and every window starts with a key that both dictionaries end with, so
-a window's length has no cost of its own for a first match. The differences' sums, maxima and counts are calibrated on
-labelled documents that the dictionaries didn't see, so that the score is a probability and its threshold 0.5.
+Two zstandard dictionaries are trained, one on toxic and one on ordinary text. What a class is trained on are those of its
+documents' words, or their beginnings, that its documents have far oftener than the other's: on whole texts the trainer
+fills both dictionaries with what the classes share. Strings that the trainer leaves out stand before its result, so none
+is lost. A text is cut into windows of a few words, and every window is compressed with either dictionary; the difference
+of the two lengths says how many bytes the toxic dictionary saves. The dictionaries are loaded as content: literals aren't
+entropy-coded, and every window starts with a key that both dictionaries end with, so a window's length has no cost of its
+own for a first match. The differences' sums, maxima and counts are calibrated on labelled documents that the dictionaries
+didn't see, so that the score is a probability and its threshold 0.5.
 """
 
 from __future__ import annotations
@@ -22,7 +24,9 @@ from pyspark.sql import functions as F
 from lexmill.llm import logistic
 from lexmill.llm.labelled import held_out, labelled_sample, rated
 
-WINDOW, LENGTHS, LONGEST, LEAST_DOCS, LEAST_RATIO, DICTIONARY = 4, (5, 6, 7, 8, 10, 12), 18, 5, 4.0, 4096
+WINDOW, LENGTHS, LEAST_DOCS, LEAST_RATIO = 4, (5, 6, 7, 8, 10, 12), 5, 4.0
+#: bytes that the trainer may fill, its segments and the runs that it counts
+TRAINED, SEGMENT, RUN = 16384, 64, 8
 #: the key before each window; both dictionaries end with it
 KEY = b" q0w9e8r7t6y5u4i3o2p1 "
 NOISE = 2
@@ -34,14 +38,10 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def _beginnings(words: list[bytes]) -> set[bytes]:
-    out = set()
-    for w in set(words):
-        w = b" " + w + b" "
-        out.update(w[:n] for n in LENGTHS if len(w) >= n)
-        if len(w) <= LONGEST:
-            out.add(w)
-    return out
+def _strings(word: bytes) -> list[bytes]:
+    """The beginnings of a word and the whole, with the blanks around it, from short to long."""
+    w = b" " + word + b" "
+    return [w[:n] for n in LENGTHS if len(w) > n] + [w]
 
 
 def _apart(docs: list[list[bytes]]) -> list[list[bytes]]:
@@ -57,30 +57,45 @@ def _apart(docs: list[list[bytes]]) -> list[list[bytes]]:
     return out
 
 
-def _distinctive(own: list[list[bytes]], other: list[list[bytes]]) -> bytes:
-    """A raw dictionary: the strings whose share of documents is higher LEAST_RATIO times and by some standard errors (more of them where more documents try more strings), the surest last."""
-    a, b = Counter(), Counter()
-    for words in own:
-        a.update(_beginnings(words))
-    for words in other:
-        b.update(_beginnings(words))
-    n, m, scored = len(own), len(other), []
-    least = 3.25 + 0.5 * math.log10(n)
+def _contrast(own: list[list[bytes]], other: list[list[bytes]]) -> set[bytes]:
+    """The strings whose share of documents is higher LEAST_RATIO times and by some standard errors (more of them where more documents try more strings)."""
+    counts = []
+    for docs in (own, other):
+        counts.append(Counter())
+        for words in docs:
+            counts[-1].update({s for w in set(words) for s in _strings(w)})
+    (a, b), n, m = counts, len(own), len(other)
+    least, out = 3.25 + 0.5 * math.log10(max(1, n)), set()
     for s, k in a.items():
         if k >= LEAST_DOCS:
             p, q = (k + 0.5) / (n + 1), (b[s] + 0.5) / (m + 1)
-            z = (p - q) / math.sqrt(p * (1 - p) / n + q * (1 - q) / m)
-            if p >= LEAST_RATIO * q and z >= least:
-                scored.append((-z, s))
-    out: list[bytes] = []
-    size = 0
-    for _, s in sorted(scored):
-        if size + len(s) > DICTIONARY:
-            break
-        if not any(s in x for x in out):
-            out.append(s)
-            size += len(s)
-    return b"|".join(reversed(out))
+            if p >= LEAST_RATIO * q and (p - q) / math.sqrt(p * (1 - p) / n + q * (1 - q) / m) >= least:
+                out.add(s)
+    return out
+
+
+def _dictionary(own: list[list[bytes]], other: list[list[bytes]]) -> bytes:
+    """A trained dictionary of what sets own apart from other; its samples are, for each word there that has such a string, the longest.
+
+    Strings that the trainer leaves out go before its result, whatever their number. It refuses a few samples; then they are all there is."""
+    import zstandard as zs
+
+    apart, longest, samples = _contrast(own, other), {}, []
+    for words in own:
+        for w in words:
+            if w not in longest:
+                longest[w] = next((s for s in reversed(_strings(w)) if s in apart), None)
+            if longest[w]:
+                samples.append(longest[w])
+    try:
+        trained = zs.train_dictionary(TRAINED, samples, k=SEGMENT, d=RUN).as_bytes()
+    except zs.ZstdError:
+        trained = b""
+    rest: list[bytes] = []
+    for s in sorted(set(samples), key=lambda s: (-len(s), s)):
+        if s not in trained and not any(s in r for r in rest):
+            rest.append(s)
+    return b"|".join([*sorted(rest), trained])
 
 
 @dataclass
@@ -94,7 +109,8 @@ class Model:
 
         def of(content: bytes):
             plain = {"write_content_size": False, "write_checksum": False, "write_dict_id": False}
-            params = zs.ZstdCompressionParameters(window_log=16, hash_log=15, chain_log=15, search_log=6, min_match=6, target_length=1, strategy=zs.STRATEGY_FAST, **plain)
+            log = max(16, (len(content) + (1 << 12)).bit_length())  # all of the dictionary is within reach
+            params = zs.ZstdCompressionParameters(window_log=log, hash_log=log - 1, chain_log=15, search_log=6, min_match=6, target_length=1, strategy=zs.STRATEGY_FAST, **plain)
             return zs.ZstdCompressor(compression_params=params, dict_data=zs.ZstdCompressionDict(content + KEY, dict_type=zs.DICT_TYPE_RAWCONTENT)).compress
 
         return of(self.ordinary), of(self.toxic)
@@ -128,7 +144,7 @@ def train(texts: list[str | None], toxic: list[int], stands_for: tuple[float, fl
     bad, good = _apart(pick(1)), _apart(pick(0))
     if not bad or not good or len(set(y[part])) < 2:
         return None
-    model = Model(_distinctive(bad, good), _distinctive(good, bad))
+    model = Model(_dictionary(bad, good), _dictionary(good, bad))
     pair = model.compressors()
     x = np.array([model.features(t, pair) for t, out in zip(texts, part) if out])
     model.weights = logistic.fit(x, y[part], np.where(y[part] == 1, stands_for[1], stands_for[0]))

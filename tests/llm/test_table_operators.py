@@ -164,6 +164,32 @@ def test_classifiers_on_held_out_documents():
         assert mod.train([], []) is None and mod.train(["a", "b", "c"], [1, 1, 1]) is None
 
 
+def test_trained_dictionaries_hold_what_sets_a_class_apart():
+    rows = labelled_docs(500, 3)
+    own, other = ([toxicity.tokens(r[1]) for r in rows if r[3] == y] for y in (1, 0))
+    stems = {b" " + w[:n] for words in own for w in words for n in range(4, 12)} | {b" " + w + b" " for words in own for w in words}
+    naive = set()
+    for s in stems:
+        has = [sum(any((b" " + w + b" ").startswith(s) for w in words) for words in docs) for docs in (own, other)]
+        if has[0] >= 60 and has[1] == 0 and (len(s) in toxicity.LENGTHS or s.endswith(b" ")):
+            naive.add(s)
+    assert {b" grumbledork ", b" snotwobble ", b" wretchling "} <= naive <= toxicity._contrast(own, other)
+
+    toxic, ordinary = toxicity._dictionary(own, other), toxicity._dictionary(other, own)
+    assert b"\x37\xa4\x30\xec" in toxic  # the mark of a trained dictionary
+    assert all(s in toxic for s in toxicity._contrast(own, other) if s.endswith(b" "))
+    plain, bad = toxicity.Model(toxic, ordinary).compressors()
+    for w in (b"grumbledork", b"snotwobble", b"wretchling"):
+        assert len(bad(toxicity.KEY + w + b" ")) < len(plain(toxicity.KEY + w + b" "))
+
+    assert b" awful " in toxicity._dictionary([[b"awful", b"plain"]] * 9, [[b"plain"]] * 400) and toxicity._dictionary([], []) == b""
+
+    words = [b"%04dz" % (i * 7 % 10000) for i in range(3000)]  # more than the trainer may fill
+    many = [[words[(i * 40 + j * 77) % 3000] for j in range(40)] for i in range(3000)]
+    held = toxicity._dictionary(many, [[b"plain"]] * 3000)
+    assert len(held) > 3 * toxicity.TRAINED / 2 and all(b" " + w in held for w in words)
+
+
 def test_marginals_match_enumeration():
     import itertools
 
