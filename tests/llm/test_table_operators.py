@@ -187,7 +187,7 @@ def test_trained_dictionaries_hold_what_sets_a_class_apart():
     words = [b"%04dz" % (i * 7 % 10000) for i in range(3000)]  # more than the trainer may fill
     many = [[words[(i * 40 + j * 77) % 3000] for j in range(40)] for i in range(3000)]
     held = toxicity._dictionary(many, [[b"plain"]] * 3000)
-    assert len(held) > 3 * toxicity.TRAINED / 2 and all(b" " + w in held for w in words)
+    assert len(held) > toxicity.TRAINED and all(b" " + w in held for w in words)
 
 
 def test_marginals_match_enumeration():
