@@ -31,9 +31,11 @@ EDGES = {False: (r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"), True: ("(?<![0-9A
 
 
 def _form() -> str:
-    """Number, year and code: a body with its term, or a document type with one or more issuers (joint circulars have several)."""
+    """Number, year and code: a body with its term, or a document type with one or more issuers (joint circulars have several).
+    A number of more than three digits counts where the number word introduces it."""
     issuer = r"[-/](?:[A-ZĐƯ]{1,12}\d{0,2}|\d{1,2})"
-    return rf"\d{{1,3}}/\d{{4}}/(?:(?:{'|'.join(TERM_CODES)})\d{{1,2}}|(?:{'|'.join(TYPE_CODES)})(?:{issuer})+)"
+    number = rf"(?:\d{{1,3}}|(?<=(?iuU:\b{NUMBER_WORD})\s{{1,4}})\d{{4,}})"
+    return rf"{number}/\d{{4}}/(?:(?:{'|'.join(TERM_CODES)})\d{{1,2}}|(?:{'|'.join(TYPE_CODES)})(?:{issuer})+)"
 
 
 BODY_CITATION, LEGACY_BODY_CITATION = (form.join(EDGES[legacy]) for legacy, form in ((False, _form()), (True, LEGACY_FORM)))

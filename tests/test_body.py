@@ -107,3 +107,10 @@ def test_table_functions(spark):
     df.createOrReplaceTempView("laws")
     rows = spark.sql("select k, n.node_type, n.ordinal from laws, lateral parse_document_body(t) n order by n.seq").collect()
     assert [tuple(r) for r in rows] == [("x", "dieu", "1"), ("x", "khoan", "1")]
+
+
+def test_long_numbers_after_the_number_word(spark):
+    """Numbers of more than three digits were found nowhere."""
+    t = "Luật\nChương I. A\nTheo Luật số 1000/2020/QH15, SỐ  900001/2020/QH15, dân số 12/2020/QH14 và mã 2000/2020/QH15; số 1104/2016/QH13."
+    docs = spark.createDataFrame([(1, t, "1104/2016/QH13")], "document_id int, full_text string, citation_id string")
+    assert [r["citation"] for r in body.text_references(docs).collect()] == ["1000/2020/QH15", "900001/2020/QH15", "12/2020/QH14"]
