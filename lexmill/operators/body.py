@@ -10,11 +10,12 @@ Texts are read where they lie, on Arrow batches, and nothing is shuffled. Citati
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator
-from functools import cache, partial
+from collections.abc import Callable, Iterator
+from functools import cache, lru_cache
+from itertools import chain
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +28,7 @@ from lexmill.functions.text import roman_value
 
 #: fixed values: the levels of nesting, outermost first
 LEVELS = ("phan", "chuong", "muc", "tieu_muc", "dieu", "khoan", "diem")
+_LEVEL = {kind: i for i, kind in enumerate(LEVELS)}
 ARTICLE, CLAUSE, POINT = (LEVELS.index(k) for k in ("dieu", "khoan", "diem"))
 #: fixed values: kind of a heading, its word, and the form of its number
 HEADINGS = [
@@ -42,6 +44,8 @@ CLOSING = ("Nơi nhận", "TM. ", "KT. ", "Q. ", "THAY MẶT")
 STATE_HEADER = "CỘNG HÒA XÃ HỘI CHỦ NGHĨA VIỆT NAM"
 FORM_WORDS = ("Biểu số", "Biểu mẫu", "Mẫu số", "QCVN", "TCVN")
 TEMPLATE_WORDS = "mẫu số"
+_HEADS = {kind for kind, *_ in HEADINGS}
+_BEGINS = _HEADS | {"closing", "khoan", "diem"}
 
 
 class Line(NamedTuple):
@@ -78,24 +82,36 @@ def _forms(legacy: bool) -> list[tuple[str, re.Pattern]]:
 
 
 _REOPENS = re.compile(rf"(?:{_spaced(STATE_HEADER)}|(?:{'|'.join(map(_spaced, FORM_WORDS))})\s*[\dA-ZĐ][\dA-ZĐ.:/-]*)\s*", re.IGNORECASE)
+#: what the forms' lines begin with
+_FIRSTS = {kind: re.compile(re.escape(word[0]), re.IGNORECASE) for kind, word, _ in HEADINGS} | {"closing": re.compile("|".join(w[0] for w in CLOSING), re.IGNORECASE), "khoan": re.compile(r"\d"), "diem": re.compile("[a-zđ]", re.IGNORECASE)}
+
+
+@lru_cache(1 << 16)
+def _forms_at(first: str, legacy: bool) -> list[tuple[str, Callable]]:
+    """The forms that a line with that first character can have."""
+    return [(kind, form.fullmatch) for kind, form in _forms(legacy) if _FIRSTS[kind].match(first)]
+
+
+@lru_cache(1 << 15)
+def _line(line: str, legacy: bool) -> Line:
+    """A line that isn't blank, with its kind. Lines that texts share are classified once."""
+    for kind, fits in _forms_at(line[0], legacy):
+        if m := fits(line):
+            word, number, rest = m.group("word", "number", "rest")
+            return Line(kind, word, number, rest.strip(), line)
+    return Line("text", "", "", "", line)
 
 
 def classify(text: str | None, legacy: bool = False) -> list[Line]:
     """The lines of a text that aren't blank, each with its kind; ``text`` where no form fits."""
-    out = []
-    for raw in re.split(r"\r?\n", text or ""):
-        if line := raw.strip():
-            hit = next(((kind, m) for kind, form in _forms(legacy) if (m := form.fullmatch(line))), None)
-            out.append(Line(hit[0], hit[1]["word"], hit[1]["number"], hit[1]["rest"].strip(), line) if hit else Line("text", "", "", "", line))
-    return out
+    return [_line(line, legacy) for raw in (text or "").split("\n") if (line := raw.strip())]
 
 
 def _titles(lines: list[Line], legacy: bool) -> dict[int, str]:
     """Titles that stand on the line after their heading, by the number of that line. Headings end the search, in the
     default form also clauses, points and the closing block; so do lines in parentheses."""
-    heads = {kind for kind, *_ in HEADINGS}
-    begins = heads if legacy else heads | {"closing", "khoan", "diem"}
-    return {i + 1: after.text for i, (line, after) in enumerate(zip(lines, lines[1:])) if line.kind in heads and not line.rest and after.kind not in begins and not after.text.startswith("(")}
+    begins = _HEADS if legacy else _BEGINS
+    return {i + 1: after.text for i, (line, after) in enumerate(zip(lines, lines[1:])) if not line.rest and line.kind in _HEADS and after.kind not in begins and not after.text.startswith("(")}
 
 
 def _regions(lines: list[Line], titles: dict[int, str]) -> tuple[int, list[int]]:
@@ -107,53 +123,47 @@ def _regions(lines: list[Line], titles: dict[int, str]) -> tuple[int, list[int]]
     return end, [i for i in range(first, len(lines)) if i == first or lines[i].kind == "phu_luc"]
 
 
-def _node(kind: str, ordinal: str, label: str, heading: str | None, parts: list[str], content_class: str | None = None) -> dict:
-    return {"node_type": kind, "ordinal": ordinal, "label": label, "heading": heading or None, "parts": parts, "content_class": content_class}
-
-
-def _main(lines: list[Line], end: int, titles: dict[int, str]) -> list[dict]:
-    """Nodes of the main part with their parents' numbers. The spine holds the last node of each level that is still open."""
+def _main(lines: list[Line], end: int, titles: dict[int, str]) -> list[tuple]:
+    """Nodes of the main part, with their parents' numbers: kind, ordinal, label, heading, lines, content class, parent.
+    The spine holds the last node of each level that is still open."""
     spine: list[int | None] = [None] * len(LEVELS)
-    deepest, out = -1, []
-    for i in range(end):
-        line = lines[i]
+    deepest, out, parts = -1, [], None
+    for i, (kind, word, number, rest, text) in enumerate(lines[:end]):
         if i in titles:
             continue
-        least = {"khoan": ARTICLE, "diem": CLAUSE}.get(line.kind, -1)
-        if line.kind not in LEVELS or deepest < least:
-            if out:
-                out[-1]["parts"].append(line.text)
+        level = _LEVEL.get(kind, -1)
+        if level < 0 or (level > ARTICLE and deepest < level - 1):
+            if parts is not None:
+                parts.append(text)
             continue
-        level = LEVELS.index(line.kind)
-        if level < ARTICLE:
-            node = _node(line.kind, roman_value(line.number), f"{line.word} {line.number}", line.rest or titles.get(i + 1), [])
-        elif level == ARTICLE:
-            node = _node(line.kind, line.number, f"Điều {line.number}", line.rest or titles.get(i + 1), [])
+        above = next((p for p in spine[level - 1 :: -1] if p is not None), None) if level else None
+        if level > ARTICLE:
+            ordinal, label, heading, parts = number, f"{'Khoản' if level == CLAUSE else 'Điểm'} {number}", None, [rest] if rest else []
         else:
-            node = _node(line.kind, line.number, f"{'Khoản' if level == CLAUSE else 'Điểm'} {line.number}", None, [line.rest] if line.rest else [])
-        node["parent_seq"] = max((p for p in spine[:level] if p is not None), default=None)
+            ordinal, label = (number, f"Điều {number}") if level == ARTICLE else (roman_value(number), f"{word} {number}")
+            heading, parts = rest or titles.get(i + 1) or None, []
         spine[level:] = [len(out)] + [None] * (len(LEVELS) - level - 1)
         deepest = level
-        out.append(node)
+        out.append((kind, ordinal, label, heading, parts, None, above))
     return out
 
 
-def _annexes(lines: list[Line], firsts: list[int], titles: dict[int, str]) -> Iterator[dict]:
+def _annexes(lines: list[Line], firsts: list[int], titles: dict[int, str]) -> Iterator[tuple]:
     for n, (first, stop) in enumerate(zip(firsts, [*firsts[1:], len(lines)]), 1):
         line = lines[first]
         if line.kind == "phu_luc":
-            heading = line.rest or titles.get(first + 1)
+            heading = line.rest or titles.get(first + 1) or None
             parts = [lines[i].text for i in range(first + 1, stop) if line.rest or i != first + 1 or i not in titles]
             named = f"{line.word} {line.number}" if line.number else line.word
             kind = "template" if heading and re.search(_spaced(TEMPLATE_WORDS), heading, re.IGNORECASE) else "normative"
-            yield _node("phu_luc", roman_value(line.number) if line.number else str(n), named, heading, parts, kind)
+            yield "phu_luc", roman_value(line.number) if line.number else str(n), named, heading, parts, kind, None
         else:
-            yield _node("phu_luc", str(n), f"Phụ lục {n}", None, [x.text for x in lines[first:stop]], "normative")
+            yield "phu_luc", str(n), f"Phụ lục {n}", None, [x.text for x in lines[first:stop]], "normative", None
 
 
-def _segment(node: dict, legacy: bool) -> str:
-    ordinal = node["ordinal"] if legacy else re.sub("[đĐ]", "dd", node["ordinal"])
-    return node["node_type"] + re.sub("[^A-Za-z0-9_]", "", ordinal)
+@lru_cache(1 << 12)
+def _segment(kind: str, ordinal: str, legacy: bool) -> str:
+    return kind + re.sub("[^A-Za-z0-9_]", "", ordinal if legacy else re.sub("[đĐ]", "dd", ordinal))
 
 
 def parse_body(text: str | None, legacy: bool = False) -> list[dict]:
@@ -161,40 +171,58 @@ def parse_body(text: str | None, legacy: bool = False) -> list[dict]:
     content_class, path, parent_path. Later siblings of one name get a suffix in their paths, but not in the parity form.
 
     Lines before the first heading are left out, and so is the closing block up to an annex."""
+    columns: list[list] = [[] for _ in TREE.names]
+    _put(text, legacy, columns)
+    return [dict(zip(TREE.names, row)) for row in zip(*columns)]
+
+
+def _put(text: str | None, legacy: bool, columns: list[list]) -> int:
+    """Appends the nodes' values to the columns of TREE; returns how many nodes there are."""
     lines = classify(text, legacy)
     titles = _titles(lines, legacy)
     end, firsts = _regions(lines, titles)
-    nodes = [*_main(lines, end, titles), *_annexes(lines, firsts, titles)]
-    seen: Counter = Counter()
-    for seq, node in enumerate(nodes):
-        up = node.setdefault("parent_seq", None)
-        name = _segment(node, legacy)
-        seen[up, name] += 1
-        if seen[up, name] > 1 and not legacy:
-            name = f"{name}_{seen[up, name]}"
-        above = nodes[up]["path"] if up is not None else None
-        node |= {"seq": seq, "text_content": "\n".join(node.pop("parts")) or None, "path": f"{above}.{name}" if above else name, "parent_path": above}
-    return [{name: node[name] for name in TREE.names} for node in nodes]
+    nodes = _main(lines, end, titles)
+    nodes += _annexes(lines, firsts, titles)
+    seen: dict = {}
+    paths: list[str] = []
+    seqs, ups, kinds, ordinals, labels, headings, contents, classes, full, heads = columns
+    for seq, (kind, ordinal, label, heading, parts, content_class, up) in enumerate(nodes):
+        name = _segment(kind, ordinal, legacy)
+        n = seen[up, name] = seen.get((up, name), 0) + 1
+        if n > 1 and not legacy:
+            name = f"{name}_{n}"
+        above = None if up is None else paths[up]
+        path = f"{above}.{name}" if above else name
+        paths.append(path)
+        seqs.append(seq)
+        ups.append(up)
+        kinds.append(kind)
+        ordinals.append(ordinal)
+        labels.append(label)
+        headings.append(heading)
+        contents.append("\n".join(parts) or None)
+        classes.append(content_class)
+        full.append(path)
+        heads.append(above)
+    return len(nodes)
 
 
 TREE = T.StructType([T.StructField(n, T.IntegerType() if n in ("seq", "parent_seq") else T.StringType()) for n in ("seq", "parent_seq", "node_type", "ordinal", "label", "heading", "text_content", "content_class", "path", "parent_path")])
 
 
-def _exploded(docs: DataFrame, make, fields: T.StructType, key: str, *inputs: str) -> DataFrame:
-    """The key and a row per dictionary that make gives for a row's inputs. Texts don't leave the worker."""
-    schema = T.StructType([docs.schema[key], *fields.fields])
+def clause_nodes(docs: DataFrame, key: str = "document_id", text: str = "full_text", legacy: bool = False) -> DataFrame:
+    """The key and the nodes of each text. Texts don't leave the worker."""
+    schema = T.StructType([docs.schema[key], *TREE.fields])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, *args = (c.to_pylist() for c in batch.columns)
-            yield pa.RecordBatch.from_pylist([{key: k} | r for k, *xs in zip(keys, *args) for r in make(*xs)], schema=arrow)
+            columns: list[list] = [[] for _ in TREE.names]
+            sizes = [_put(t, legacy, columns) for t in batch.column(1).to_pylist()]
+            keys = batch.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes), pa.int64()))
+            yield pa.RecordBatch.from_arrays([keys.cast(arrow.field(0).type), *(pa.array(c, f.type) for c, f in zip(columns, list(arrow)[1:]))], schema=arrow)
 
-    return docs.select(key, *inputs).mapInArrow(run, schema)
-
-
-def clause_nodes(docs: DataFrame, key: str = "document_id", text: str = "full_text", legacy: bool = False) -> DataFrame:
-    return _exploded(docs, partial(parse_body, legacy=legacy), TREE, key, text)
+    return docs.select(key, text).mapInArrow(run, schema)
 
 
 def with_paths(nodes: DataFrame, key: str = "document_id", legacy: bool = False) -> DataFrame:
