@@ -6,16 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import blank_to_null, node_header
-from lexmill.operators.tree import ancestors
+from lexmill.operators.tree import lineage
 
 CONTAINERS = ("phan", "chuong", "muc", "tieu_muc")
 
 
 def materialised(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Articles always; clauses, points and normative annexes where an edge ends at them; containers and templates never."""
-    ends = edges.select(F.explode(F.array("source_node_id", "target_node_id")).alias("id")).filter("id is not null").distinct()
-    asked = nodes.filter(F.col("node_type").isin("khoan", "diem", "phu_luc") & ~F.coalesce(F.col("content_class") == "template", F.lit(False))).join(ends, "id", "left_semi")
-    return nodes.filter("node_type = 'dieu'").unionByName(asked)
+    ends = edges.select(F.explode(F.array("source_node_id", "target_node_id")).alias("id")).filter("id is not null").select(_packed(F.col("id")).alias("end")).distinct()
+    asked = nodes.filter(F.col("node_type").isin("khoan", "diem", "phu_luc") & ~F.coalesce(F.col("content_class") == "template", F.lit(False)))
+    return nodes.filter("node_type = 'dieu'").unionByName(asked.join(ends, _packed(asked["id"]) == F.col("end"), "left_semi"))
+
+
+def _packed(name: Column) -> Column:
+    """An id as bytes, two hexadecimal digits in one; others as they are. A first byte tells them apart."""
+    return F.when(name.rlike("^([0-9a-f]{2})+$"), F.concat(F.lit(b"\x01"), F.unhex(name))).otherwise(F.concat(F.lit(b"\x00"), name.cast("binary")))
 
 
 def _own(heading: bool = True) -> Column:
@@ -26,26 +31,28 @@ def _own(heading: bool = True) -> Column:
 def chunks(nodes: DataFrame) -> DataFrame:
     """(id, document_id, path, text, content_hash): a chunk for each clause with its points, each article without
     clauses and each normative annex, after the headings of what it stands in. Containers and templates have none."""
-    parent = F.regexp_extract("path", r"^(.*)\.[^.]*$", 1)
-    points = nodes.filter("node_type = 'diem'").groupBy("document_id", parent.alias("path")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", _own().alias("t")))), lambda p: p["t"]), "\n").alias("points"))
-    with_clauses = nodes.filter("node_type = 'khoan'").select("document_id", parent.alias("path")).distinct()
-    clauses = nodes.filter("node_type = 'khoan'")
-    articles = nodes.filter("node_type = 'dieu'").join(with_clauses, ["document_id", "path"], "left_anti")
-    annexes = nodes.filter("node_type = 'phu_luc' and coalesce(content_class, 'normative') = 'normative'")
-    cols = ["document_id", "path", "seq", "label", "heading", "text_content"]
-    base = clauses.select(cols).unionByName(articles.select(cols)).unionByName(annexes.select(cols))
-    heads = nodes.select("document_id", F.col("path").alias("__up"), F.col("seq").alias("__s"), node_header(F.col("label"), F.col("heading")).alias("__h"))
-    above = base.select("document_id", "path", F.explode(ancestors(F.col("path"))).alias("__up")).join(heads, ["document_id", "__up"])
-    above = above.groupBy("document_id", "path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__s", "__h"))), lambda p: p["__h"]), "\n").alias("above"))
-    rows = base.join(points, ["document_id", "path"], "left").join(above, ["document_id", "path"], "left")
-    text = F.concat_ws("\n", blank_to_null(F.col("above")), blank_to_null(_own()), blank_to_null(F.col("points")))
-    return rows.select(F.concat_ws(":", "document_id", "path").alias("id"), "document_id", "path", "seq", text.alias("text")).withColumn("content_hash", F.sha2("text", 256))
+    kind, own = F.col("node_type"), F.col("path")
+    parent = F.regexp_extract(own, r"^(.*)\.[^.]*$", 1)
+    lined = nodes.select("document_id", "path", "seq", "node_type", "content_class", _own().alias("own"), lineage(h=node_header(F.col("label"), F.col("heading"))).alias("line"))
+    above = F.array_join(F.transform(F.filter("line", lambda a: a["path"] != own), lambda a: a["h"]), "\n")
+    base = kind.isin("khoan", "dieu") | ((kind == "phu_luc") & (F.coalesce("content_class", F.lit("normative")) == "normative"))
+    top = F.when(base, F.struct(own.alias("at"), "seq", above.alias("above"), "own", (kind == "dieu").alias("article"), F.lit(None).cast("string").alias("point"), F.lit(False).alias("clause")))
+    none = F.lit(None).cast("string")
+    below = F.when(kind.isin("khoan", "diem"), F.struct(parent.alias("at"), "seq", none.alias("above"), none.alias("own"), F.lit(None).cast("boolean").alias("article"), F.when(kind == "diem", F.col("own")).alias("point"), (kind == "khoan").alias("clause")))
+    parts = lined.select("document_id", F.explode(F.filter(F.array(top, below), lambda p: p.isNotNull())).alias("p")).select("document_id", "p.*")
+    # a base row and what stands right below it meet by the path
+    points = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("point").isNotNull(), F.struct("seq", F.col("point").alias("t"))))), lambda p: p["t"]), "\n")
+    agg = parts.groupBy("document_id", F.col("at").alias("path")).agg(F.collect_list(F.when(F.col("article").isNotNull(), F.struct("seq", "above", "own", "article"))).alias("bases"), points.alias("points"), F.max("clause").alias("clauses"))
+    rows = agg.withColumn("b", F.explode("bases")).filter(~(F.col("b.article") & F.col("clauses")))
+    text = F.concat_ws("\n", blank_to_null(F.col("b.above")), blank_to_null(F.col("b.own")), blank_to_null(F.col("points")))
+    return rows.select(F.concat_ws(":", "document_id", "path").alias("id"), "document_id", "path", "b.seq", text.alias("text")).withColumn("content_hash", F.sha2("text", 256))
 
 
 def search_documents(nodes: DataFrame) -> DataFrame:
     """One row per article or normative annex: its heading, its clauses as an array in order, and all its text."""
-    tops = nodes.filter("node_type = 'dieu' or (node_type = 'phu_luc' and coalesce(content_class, 'normative') = 'normative')").select("document_id", F.col("path").alias("__top"), F.col("label").alias("top_label"), F.col("heading").alias("top_heading"))
-    each = nodes.withColumn("__top", F.explode(ancestors(F.col("path"), itself=True))).join(tops, ["document_id", "__top"])
+    top = (F.col("node_type") == "dieu") | ((F.col("node_type") == "phu_luc") & (F.coalesce("content_class", F.lit("normative")) == "normative"))
+    lined = nodes.withColumn("__line", lineage(top=F.coalesce(top, F.lit(False)), label=F.col("label"), heading=F.col("heading")))
+    each = lined.withColumn("t", F.explode(F.filter("__line", lambda a: a["top"]))).withColumns({"__top": F.col("t.path"), "top_label": F.col("t.label"), "top_heading": F.col("t.heading")})
     clause = F.when(F.col("node_type") == "khoan", F.struct("seq", "ordinal", "text_content"))
     agg = each.groupBy("document_id", "__top", "top_label", "top_heading").agg(F.array_sort(F.collect_list(clause)).alias("khoan"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", _own().alias("t")))), lambda p: p["t"]), "\n").alias("body"))
     return agg.select(F.concat_ws(":", "document_id", "__top").alias("id"), "document_id", F.col("top_label").alias("label"), F.col("top_heading").alias("heading"), "khoan", "body")

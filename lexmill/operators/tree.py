@@ -20,16 +20,35 @@ def ancestors(path: Column, itself: bool = False) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda k: F.array_join(F.slice(parts, 1, k), "."))).otherwise(F.array().cast("array<string>"))
 
 
+#: labels of a path, at most: seven of a text's main part
+LEVELS = 8
+
+
+def lineage(doc: str = "document_id", order: str = "seq", levels: int = LEVELS, **values: Column) -> Column:
+    """Array of structs (path and the values) of a node's ancestors and itself, outermost first, as a window over its document.
+
+    Nodes stand in document order, so of each level the last one up to a node is its ancestor if it is on the node's
+    path. A document is sorted once; nothing is joined. A path of more than ``levels`` labels fails the query."""
+    w = Window.partitionBy(doc).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    path = F.col("path")
+    depth = F.size(path_array(path))
+    one = F.struct(path.alias("path"), *(v.alias(k) for k, v in values.items()))
+    last = F.array(*(F.last(F.when(depth == n, one), True).over(w) for n in range(1, levels + 1)))
+    own = F.filter(last, lambda a: (a["path"] == path) | path.startswith(F.concat(a["path"], F.lit("."))))
+    return F.when(depth <= levels, own).otherwise(F.raise_error(F.concat(F.lit(f"more than {levels} labels: "), path)))
+
+
 def full_texts(nodes: DataFrame, doc: str = "document_id", order: str = "seq") -> DataFrame:
     """Each node with the text of its whole subtree: headers and own texts, in order, one per line.
 
-    A node's text goes to each of its ancestors, of which there are at most eight levels; no self-join is made. order
-    is ``seq`` for document order or ``path`` for label order."""
+    A node's text goes to each of its ancestors, of which there are at most eight levels, and meets them in one grouping:
+    no join is made. order is ``seq`` for document order or ``path`` for label order."""
     own = F.concat_ws("\n", blank_to_null(node_header(F.col("label"), F.col("heading"))), blank_to_null(F.col("text_content")))
     by = path_array(F.col("path")) if order == "path" else F.col(order)
-    parts = nodes.select(doc, F.explode(ancestors(F.col("path"), itself=True)).alias("path"), F.struct(by.alias("by"), own.alias("text")).alias("part"))
-    texts = parts.groupBy(doc, "path").agg(F.array_join(F.transform(F.array_sort(F.collect_list("part")), lambda p: p["text"]), "\n").alias("full_text"))
-    return nodes.join(texts, [doc, "path"], "left")
+    each = nodes.withColumn("__at", F.explode(ancestors(F.col("path"), itself=True)))
+    parts = each.select(F.col(doc).alias("__doc"), "__at", F.struct(by.alias("by"), own.alias("text")).alias("part"), F.when(F.col("__at") == F.col("path"), F.struct(*nodes.columns)).alias("node"))
+    texts = parts.groupBy("__doc", "__at").agg(F.array_join(F.transform(F.array_sort(F.collect_list("part")), lambda p: p["text"]), "\n").alias("full_text"), F.collect_list("node").alias("nodes"))
+    return texts.select(F.explode("nodes").alias("node"), "full_text").select("node.*", "full_text").select(doc, "path", *(c for c in nodes.columns if c not in (doc, "path")), "full_text")
 
 
 def subtree(nodes: DataFrame, path: str, doc: str = "document_id", document_id: str | None = None) -> DataFrame:
@@ -47,8 +66,12 @@ def matched_tops(nodes: DataFrame, match: Column, doc: str = "document_id") -> D
     return hits.join(covered, [doc, "path"], "left_anti")
 
 
-def pruned(nodes: DataFrame, match: Column, doc: str = "document_id") -> DataFrame:
-    """All nodes of the matched subtrees; ancestors and siblings that don't match are left out."""
+def pruned(nodes: DataFrame, match: Column, doc: str = "document_id", order: str | None = None) -> DataFrame:
+    """All nodes of the matched subtrees; ancestors and siblings that don't match are left out. With a document order
+    nothing is joined."""
+    if order is not None:
+        marked = nodes.withColumn("__line", lineage(doc, order, hit=F.coalesce(match, F.lit(False))))
+        return marked.filter(F.exists("__line", lambda a: a["hit"])).drop("__line")
     tops = matched_tops(nodes, match, doc).select(F.col(doc), F.col("path").alias("__top"))
     each = nodes.withColumn("__top", F.explode(ancestors(F.col("path"), itself=True)))
     return each.join(tops, [doc, "__top"]).drop("__top")
@@ -76,11 +99,12 @@ def retrieve_nodes(nodes: DataFrame, document_id: str, node_id: str | None = Non
     return full_texts(own).orderBy("seq")
 
 
-def parents(nodes: DataFrame, doc: str = "document_id") -> DataFrame:
-    """Each node with its parent's id, from the stack order: the last node before it whose path is its path's head."""
-    up = F.element_at(ancestors(F.col("path")), -1)
-    heads = nodes.select(F.col(doc), F.col("path").alias("__up"), F.col("id").alias("parent_id"))
-    return nodes.drop("parent_id").withColumn("__up", F.when(F.size(path_array(F.col("path"))) > 1, up)).join(heads, [doc, "__up"], "left").drop("__up")
+def parents(nodes: DataFrame, doc: str = "document_id", order: str = "seq", **carried: Column) -> DataFrame:
+    """Each node with its parent's id, from the stack order: the last node before it whose path is its path's head. What is
+    carried are the parent's values of these Columns."""
+    lined = nodes.withColumn("__line", lineage(doc, order, parent_id=F.col("id"), **carried))
+    found = lined.withColumn("__up", F.when(F.size(path_array(F.col("path"))) > 1, F.try_element_at(F.filter("__line", lambda a: F.size(path_array(a["path"])) == F.size(path_array(F.col("path"))) - 1), F.lit(1))))
+    return found.drop("parent_id", "__line").withColumns({k: F.col(f"__up.{k}") for k in ("parent_id", *carried)}).drop("__up")
 
 
 def unique_paths(nodes: DataFrame, doc: str = "document_id") -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lexmill.functions import authority, citations
 from lexmill.operators import body, chunks, ingest, relations, tree
 from lexmill.plans.catalog import query, table
+from lexmill.scratch import written
 
 
 def _text(*parts) -> Column:
@@ -38,7 +39,8 @@ def _statutes(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = _text("LUẬT\nCăn cứ Hiến pháp;\nCăn cứ Luật số ", F.col("o_custkey") % 900 + 1, "/2019/QH14;\nChương I. ", F.col("o_orderpriority"))
     annex = F.when(F.col("o_orderstatus") == "P", "Phụ lục II\n(Kèm theo)\nnội dung").otherwise(_text("Phụ lục I\nMẫu số ", F.col("o_orderkey") % 90, "\nbảng"))
     whole = F.concat_ws("\n", head, "articles", F.lit("Nơi nhận:\n- Lưu"), annex)
-    return o.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(F.col("o_orderkey").alias("document_id"), whole.alias("full_text"), _text(F.col("o_orderkey"), "/2024/QH15").alias("citation_id"))
+    # merged, whatever the sizes: texts are never broadcast, and are read by as many tasks as the shuffle has
+    return o.join(lines.hint("merge"), F.col("o_orderkey") == F.col("l_orderkey"), "left").select(F.col("o_orderkey").alias("document_id"), whole.alias("full_text"), _text(F.col("o_orderkey"), "/2024/QH15").alias("citation_id"))
 
 
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,11 +69,8 @@ def clause_tree(spark, sf_dir):
 @query(f"{_NODE_SQL} select n.document_id, n.path, u.label as parent_label, true as same from nodes n left join nodes u on u.document_id = n.document_id and u.path = regexp_extract(n.path, '^(.*)[.][^.]*$', 1)")
 def tree_parents(spark, sf_dir):
     """Parents found by path, beside those that the parser put out."""
-    n = _nodes(spark, sf_dir)
-    found = tree.parents(n).select("document_id", "path", F.col("parent_id").alias("found"))
-    up = n.select(F.col("id").alias("parent_id"), F.col("label").alias("parent_label"))
-    rows = n.select("document_id", "path", "parent_id").join(found, ["document_id", "path"]).join(up, "parent_id", "left")
-    return rows.select("document_id", "path", "parent_label", F.col("parent_id").eqNullSafe(F.col("found")).alias("same"))
+    n = body.with_paths(body.clause_nodes(_statutes(spark, sf_dir)).repartition("document_id")).withColumn("put_out", F.col("parent_id"))  # ids are made after the shuffle
+    return tree.parents(n, parent_label=F.col("label")).select("document_id", "path", "parent_label", F.col("put_out").eqNullSafe(F.col("parent_id")).alias("same"))
 
 
 @query(f"""{_NODE_SQL} select document_id, path, label || chr(10) || text_content || coalesce(chr(10) || points, '') as full_text from nodes left join (
@@ -79,7 +78,8 @@ select k as document_id, up || '.khoan1' as path, 'Điểm a' || chr(10) || 'Bê
 where node_type = 'khoan' and ordinal = '1' union all select document_id, path, label || chr(10) || text_content from nodes where node_type = 'diem'""")
 def node_filter(spark, sf_dir):
     """The first clauses of all articles with what stands below them."""
-    return tree.full_texts(tree.pruned(_nodes(spark, sf_dir), tree.node_filter("khoan", "1"))).select("document_id", "path", "full_text")
+    n = _nodes(spark, sf_dir).select("document_id", "seq", "path", "node_type", "ordinal", "label", "heading", "text_content")
+    return tree.full_texts(tree.pruned(n, tree.node_filter("khoan", "1"), order="seq")).select("document_id", "path", "full_text")
 
 
 _POINTS_SQL = "case when l_linestatus = 'F' then chr(10) || 'Điểm a' || chr(10) || 'Bên ' || l_suppkey || ';' || chr(10) || 'Điểm đ' || chr(10) || 'Ngày ' || l_shipdate::date || '.' else '' end"
@@ -108,7 +108,7 @@ def search_documents(spark, sf_dir):
 @query(f"""{_NODE_SQL} select document_id, path from nodes where node_type = 'dieu' or (document_id % 2 = 0 and (path like '%.khoan1' or path = 'phu_luc2'))""")
 def materialised_nodes(spark, sf_dir):
     """Edges end at every chapter, first clause and annex of every other statute; containers and templates stay out."""
-    n = _nodes(spark, sf_dir)
+    n = body.with_paths(written(body.clause_nodes(_statutes(spark, sf_dir)), "nodes"))  # texts are read once
     ends = n.filter("document_id % 2 = 0 and (path like '%.khoan1' or node_type in ('phu_luc', 'chuong'))").select(F.col("id").alias("source_node_id"), F.lit(None).cast("string").alias("target_node_id"))
     return chunks.materialised(n, ends).select("document_id", "path")
 
