@@ -71,7 +71,8 @@ def parted(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A broken page's pairs and cards become null before it is left out, so a parser that the optimizer moves ahead of the
     filter finds nothing to refuse."""
-    marked = pages.withColumn("__problem", relations.page_problem())
+    plain = relations.once(pages, "__pairs", relations.trimmed(F.col("attributes")))
+    marked = relations.once(plain, "__problem", relations.page_problem(plain="__pairs")).drop("__pairs")
     good = marked.withColumns({c: F.when(F.col("__problem").isNull(), F.col(c)) for c in ("attributes", "relations")})
     return good.filter("__problem is null").drop("__problem"), marked.filter("__problem is not null").select("sourceUrl", F.col("__problem").alias("message"))
 

@@ -50,30 +50,41 @@ def strip_count(label: Column) -> Column:
     return trim_all(F.regexp_replace(label, r"(?U)\s*\(\d+\)\s*$", ""))
 
 
+def trimmed(pairs: Column) -> Column:
+    """The pairs with trimmed labels and values, for ``attribute``."""
+    return F.transform(pairs, lambda p: F.struct(trim_all(p["label"]).alias("label"), trim_all(p["value"]).alias("value")))
+
+
 def attribute(pairs: Column, label: str) -> Column:
-    """The last value with that label, trimmed; null without one."""
-    hits = F.filter(pairs, lambda p: trim_all(p["label"]) == label)
-    return F.when(F.size(hits) > 0, trim_all(F.element_at(hits, -1)["value"]))
+    """The last value with that label; null without one. The pairs are trimmed."""
+    return F.try_element_at(F.filter(pairs, lambda p: p["label"] == label), F.lit(-1))["value"]
+
+
+def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """rows with a column that is computed once, however often it is read: no filter on it goes below, where it would be computed again."""
+    return rows.withColumn(name, F.explode(F.array(value)))
 
 
 def parse_attributes(pages: DataFrame, pairs: str = "attributes") -> DataFrame:
     """pages with a column per attribute; a page without a required one fails the query. The citation is normalised.
     A page whose pairs are null has null in all of them."""
-    got = {name: attribute(F.col(pairs), label) for name, label in ATTRIBUTES.items()}
+    pages = once(pages, "__pairs", trimmed(F.col(pairs)))
+    got = {name: attribute(F.col("__pairs"), label) for name, label in ATTRIBUTES.items()}
     labels = F.array_join(F.transform(pairs, lambda p: p["label"]), ", ")
     for name in REQUIRED:
         refused = F.raise_error(F.concat(F.lit(f"no {name} among: "), labels)).cast("string")
         got[name] = F.coalesce(blank_to_null(got[name]), F.when(F.col(pairs).isNotNull(), refused))
     got["citation"] = normalize_citation(got["citation"])
-    return pages.withColumns(got)
+    return pages.withColumns(got).drop("__pairs")
 
 
-def page_problem(pairs: str = "attributes", cards: str = "relations") -> Column:
+def page_problem(pairs: str = "attributes", cards: str = "relations", plain: str | None = None) -> Column:
     """What keeps a page from being taken: a missing required attribute, an unreadable issue date, an unknown status or heading; else null.
-    What the parsers refuse is refused here, so pages without a problem never fail a query."""
+    What the parsers refuse is refused here, so pages without a problem never fail a query. plain: a column of the trimmed pairs."""
+    own = trimmed(F.col(pairs)) if plain is None else F.col(plain)
     labels = F.coalesce(F.array_join(F.transform(pairs, lambda p: p["label"]), ", "), F.lit(""))
-    got = {name: blank_to_null(attribute(F.col(pairs), ATTRIBUTES[name])) for name in (*REQUIRED, "issued_date_raw")}
-    status = attribute(F.col(pairs), ATTRIBUTES["validity_status_raw"])
+    got = {name: blank_to_null(attribute(own, ATTRIBUTES[name])) for name in (*REQUIRED, "issued_date_raw")}
+    status = attribute(own, ATTRIBUTES["validity_status_raw"])
     found = [F.when(got[name].isNull(), F.concat(F.lit(f"no {name} among: "), labels)) for name in REQUIRED]
     found.append(F.when(source_date(got["issued_date_raw"]).isNull(), F.concat(F.lit("no issue date: "), normalize_citation(got["citation"]))))
     found.append(F.when(unknown_status(status), F.concat(F.lit("unknown validity status: "), status)))

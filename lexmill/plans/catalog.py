@@ -36,6 +36,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of a table whose file is small, for all cores: what is made of a row costs far more than to move it."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as documents of the engine's schema, as far as searches need it."""
     o = table(spark, sf_dir, "orders")

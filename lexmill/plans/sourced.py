@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import dates, files
 from lexmill.operators import corpus, edges, ingest, tree, upsert
-from lexmill.plans.catalog import _EDGE_SQL, _PLACES_SQL, _documents, _edges, _places, query, table
+from lexmill.plans.catalog import _EDGE_SQL, _PLACES_SQL, _documents, _edges, _places, query, spread, table
 from lexmill.plans.statutes import _pages, _text
 from lexmill.scratch import fresh_path
 from lexmill.sources import feeds
@@ -18,7 +18,7 @@ from lexmill.sources import pages as page_source
 'Số hiệu=' || c_custkey || '/2020;Cơ quan=' || c_mktsegment as attributes, 'Văn bản bãi bỏ (1)=' || c_name || ',Luật ' || c_custkey as relations from customer""")
 def document_pages(spark, sf_dir):
     """The parser on a fetched page of each customer."""
-    k, c = F.col("c_custkey"), table(spark, sf_dir, "customer")
+    k, c = F.col("c_custkey"), spread(table(spark, sf_dir, "customer"), "c_custkey")
     scope = F.when(k % 3 == 0, "trung-uong").when(k % 3 == 1, "dia-phuong").otherwise("khac")
     item = lambda label, value: _text('<div class="ant-descriptions-item-container"><span class="ant-descriptions-item-label">', label, ' </span><span class="x ant-descriptions-item-content"> ', value, "</span></div>")
     html = F.concat(
@@ -57,7 +57,7 @@ def detail_pages(spark, sf_dir):
         F.lit('<div class="Content"><table>'), F.when(k % 7 != 0, pair("Số ký hiệu", _text(k, "/CP"))).otherwise(""), F.when(k % 2 == 0, pair("Trích yếu", _text("Về ", F.col("o_orderpriority")))).otherwise(""),
         pair("Ngày ban hành", F.date_format("o_orderdate", "d-M-yyyy")), pair("Loại văn bản", F.col("o_orderstatus")), _text('</table><a class="view-file" href="f', k, '">v</a><a class="view-file" href="g">v</a><a class="view-file" href="f', k, '">v</a></div>'),
     )
-    rows = page_source.parse_detail_pages(table(spark, sf_dir, "orders").select(_text("https://l.org/", k).alias("url"), html.alias("html")))
+    rows = page_source.parse_detail_pages(spread(table(spark, sf_dir, "orders"), "o_orderkey").select(_text("https://l.org/", k).alias("url"), html.alias("html")))
     return rows.select(F.col("sourceUrl").alias("url"), "citation", "title", F.col("date").alias("day"), F.col("docType").alias("kind"), F.array_join("fileUrls", ",").alias("files"))
 
 
