@@ -252,14 +252,22 @@ def references_sql(text: str, own: str, legacy: bool = False) -> str:
     return f"flatten(transform({body}, b -> {steps}))"
 
 
-def text_references(docs: DataFrame, key: str = "document_id", text: str = "full_text", own: str = "citation_id", legacy: bool = False) -> DataFrame:
-    """(key, reference_type, change_type, citation, raw_citation_text) from the preamble's basis lines and the body."""
+def basis_references(docs: DataFrame, key: str = "document_id", text: str = "full_text") -> DataFrame:
+    """(key, reference_type, change_type, citation, raw_citation_text) from the preamble's basis lines."""
     lines = docs.select(key, F.explode(F.split(citations.preamble(F.col(text)), "\n")).alias("line")).withColumn("line", F.regexp_replace("line", r"(?U)^\s+|\s+$", ""))
     basis = lines.filter(F.lower("line").startswith(citations.BASIS_WORDS)).withColumn("citation", citations.citation_in_text(F.col("line"))).filter("citation is not null")
-    head = basis.select(key, F.lit("has_basis").alias("reference_type"), F.lit(None).cast("string").alias("change_type"), "citation", F.col("line").alias("raw_citation_text"))
+    return basis.select(key, F.lit("has_basis").alias("reference_type"), F.lit(None).cast("string").alias("change_type"), "citation", F.col("line").alias("raw_citation_text"))
+
+
+def body_references(docs: DataFrame, key: str = "document_id", text: str = "full_text", own: str = "citation_id", legacy: bool = False) -> DataFrame:
+    """The same columns from the body; no reference of it is a basis."""
     found = docs.select(key, F.explode(F.expr(references_sql(f"`{text}`", f"`{own}`", legacy))).alias("r"))
-    rest = found.select(key, citations.classify_reference(F.col("r.context")).alias("reference_type"), F.lit(None).cast("string").alias("change_type"), "r.citation", F.col("r.context").alias("raw_citation_text"))
-    return head.unionByName(rest)
+    return found.select(key, citations.classify_reference(F.col("r.context")).alias("reference_type"), F.lit(None).cast("string").alias("change_type"), "r.citation", F.col("r.context").alias("raw_citation_text"))
+
+
+def text_references(docs: DataFrame, key: str = "document_id", text: str = "full_text", own: str = "citation_id", legacy: bool = False) -> DataFrame:
+    """(key, reference_type, change_type, citation, raw_citation_text) from the preamble's basis lines and the body."""
+    return basis_references(docs, key, text).unionByName(body_references(docs, key, text, own, legacy))
 
 
 def register(spark: SparkSession) -> None:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import authority, citations
 from lexmill.operators import body, chunks, ingest, relations, tree
-from lexmill.plans.catalog import query, table
+from lexmill.plans.catalog import query, spread, table
 from lexmill.scratch import written
 
 
@@ -157,24 +157,24 @@ cited as (select *, case when context like '%sửa đổi%' then 'amends' when c
 
 
 def _references(spark, sf_dir):
-    return body.text_references(_cited(spark, sf_dir), "doc_id", "full_text", "own")
+    return body.body_references(_cited(spark, sf_dir), "doc_id", "full_text", "own")
 
 
 @query(f"{_CITED_SQL} select doc_id, reference_type, citation from cited")
 def body_refs(spark, sf_dir):
-    return _references(spark, sf_dir).filter("reference_type <> 'has_basis'").select("doc_id", "reference_type", "citation")
+    return _references(spark, sf_dir).select("doc_id", "reference_type", "citation")
 
 
 @query(f"{_CITED_SQL} select doc_id, citation, context, reference_type from cited")
 def context_window(spark, sf_dir):
     """What stands within 80 characters of each citation's first place."""
-    return _references(spark, sf_dir).filter("reference_type <> 'has_basis'").select("doc_id", "citation", F.col("raw_citation_text").alias("context"), "reference_type")
+    return _references(spark, sf_dir).select("doc_id", "citation", F.col("raw_citation_text").alias("context"), "reference_type")
 
 
 @query("""select doc_id, (doc_id % 900 + 1) || '/2019/QH14' as citation, 'Căn cứ Luật số ' || (doc_id % 900 + 1) || '/2019/QH14;' as raw_citation_text from documents
 union all select doc_id, (doc_id % 900 + 1) || '/2015/TTLT/BTC-BTP', 'Căn cứ Thông tư liên tịch ' || (doc_id % 900 + 1) || '/2015/TTLT/BTC-BTP;' from documents""")
 def preamble_refs(spark, sf_dir):
-    return _references(spark, sf_dir).filter("reference_type = 'has_basis'").select("doc_id", "citation", "raw_citation_text")
+    return body.basis_references(_cited(spark, sf_dir), "doc_id").select("doc_id", "citation", "raw_citation_text")
 
 
 #: what stands around an order's number in a title: before, after, whether the number word introduces it, and what is left of it in plain form
@@ -228,7 +228,7 @@ _HEADINGS = [lab for passive, active, *_ in relations.RELATIONS for lab in (pass
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page per customer; every eleventh is a local one."""
-    c = table(spark, sf_dir, "customer").withColumn("k", F.col("c_custkey"))
+    c = spread(table(spark, sf_dir, "customer"), "c_custkey").withColumn("k", F.col("c_custkey"))
     bad = lambda what: F.col("k") % 9 == next(i for i, w in _BAD.items() if w == what)
     pair = lambda label, value: F.struct(F.lit(label).alias("label"), value.alias("value"))
     pairs = F.array(

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from lexmill.operators import body, chunks, tree
+from lexmill.operators import body, chunks, relations, titles, tree
 
 DATA = "/root/testdata/sf0.001"
 
@@ -61,3 +61,31 @@ def test_ids_of_any_form_are_edges_ends(spark):
     n = spark.createDataFrame([("d", "p", "khoan", None, i) for i in ("ab", "AB", "", "x", "\x01")], "document_id string, path string, node_type string, content_class string, id string")
     ends = spark.createDataFrame([("ab", None), ("\x01", "«"), ("", "q")], "source_node_id string, target_node_id string")
     assert sorted(r["id"] for r in chunks.materialised(n, ends).collect()) == ["", "\x01", "ab"]
+
+
+@pytest.mark.parametrize("name", ["page_attributes", "page_relations", "document_pages", "detail_pages"])
+def test_pages_are_dealt_out(spark, name):
+    """A table in one small file was one task's."""
+    assert "Exchange hashpartitioning(" in (p := plan(entry.queries()[name](spark, DATA))) and "REPARTITION_BY_NUM" in p
+
+
+def test_values_are_computed_once(spark):
+    """A filter on them would be pushed below, with a copy of what computes them."""
+    df = relations.once(spark.createDataFrame([(" a ",), (None,)], "x string"), "y", F.trim("x"))
+    p = plan(df.filter("y = 'a'").select("y", F.length("y")))
+    assert p.count("trim(") == 1 and [r["y"] for r in df.collect()] == ["a", None]
+
+
+def test_equal_titles_are_scored_once(spark):
+    """2,000 titles and 50 queries of two texts each; ids that repeat give their best score once."""
+    t = spark.createDataFrame([(i, ["Luật đất đai", "LUẬT đất ĐAI", "Bộ luật hình sự"][i % 3]) for i in range(2000)] + [(0, "xyz")], "id long, title string")
+    q = spark.createDataFrame([(i, ["luat dat dai", "bo luat hinh su x"][i % 2]) for i in range(50)] + [(1, "luat dat dai")], "query_id long, query string")
+    assert titles.scored_texts(t.select(titles.folded(F.col("title")).alias("t")).distinct(), q.select(titles.folded(F.col("query")).alias("q")).distinct(), 0.4).filter("score = 0").count() == 1
+    got = titles.title_matches(t, q).collect()
+    assert len(got) == len({(r["query_id"], r["id"]) for r in got})
+    zero = {(r["query_id"], r["id"]) for r in got if r["score"] == 0}
+    assert zero == {(k, i) for k in range(50) if k % 2 == 0 or k == 1 for i in range(2000) if i % 3 < 2}
+
+
+def test_basis_and_body_are_read_apart(spark):
+    assert plan(entry.queries()["preamble_refs"](spark, DATA)).count("Scan parquet") == plan(entry.queries()["body_refs"](spark, DATA)).count("Scan parquet") == 1
