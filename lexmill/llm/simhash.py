@@ -32,6 +32,8 @@ _BLOCK = 1 << 16
 SAMPLE, COMMON, LISTED = 20_000, 3, 200_000
 #: rounds in which a key's texts are held against some of them, before all that are still apart are, and how many
 TURNS, HUBS = 2, 4
+#: bits by which fingerprints differ at most whose texts are tried first
+TAU = 2
 #: digests of texts that may be broadcast; more are joined by a shuffle
 BROADCAST_DIGESTS = 200_000
 #: longs of parity bits per text
@@ -142,6 +144,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs of texts whose distinct word shingles have at least that Jaccard similarity; kept marks one of each group's
     texts, that with the smallest id (null ids last) and MD5 digest. Rows of equal id and text share these values.
 
+    Texts are first searched by their fingerprints, by pigeonring chains as in ``near_pairs``: of equal fingerprints each text is
+    tried against one, of fingerprints at most TAU bits apart one against one. A fingerprint alone makes no link, and most
+    links at the similarity are further apart, so what is still apart afterwards goes on by exact search:
+
     No link is lost: texts with equal shingle sets (told by a 128-bit digest) are one class, whatever their ids, and
     classes are joined by prefix filter. With the shingles of every text in one order, two texts at the similarity share
     one of their first size - ceil(similarity * size) + 1, so those are the join keys. What comes of a key is cut only
@@ -161,13 +167,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = prefixes.groupBy("d1", "d2").agg(F.min(who).alias("least"), F.min(F.col("row")).alias("row"))
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     named = classes.select(F.col("row").alias("own"), "node")
-    reps = prefixes.filter("size > 0").join(named, F.col("row") == F.col("own")).select("node", "digest", "d1", "d2", "size", "bits", "prefix")
+    reps = prefixes.filter("size > 0").join(named, F.col("row") == F.col("own")).select("node", "digest", "d1", "d2", "size", "bits", "fp", "prefix")
     reps = written(reps, "reps")
     rows = written(prefixes.select("id", "digest", "d1", "d2"), "rows")
     discard(prefixes)
     lists = reps.select(F.col("node").alias("id"), "size", F.posexplode("prefix").alias("place", "key"), F.col("node").alias("root"))
     lists = written(_within_reach(lists, similarity), "lists")
-    links = None
+    links = _more_links(docs, text_col, words, similarity, reps, _by_fingerprint(reps), None)
+    after = written(_open(lists, links, similarity), "open")
+    discard(lists)
+    lists = after
     for turn in range(TURNS):
         orders = [(F.col("place") if i % 2 else F.lit(0), F.xxhash64(F.lit(turn * HUBS + i), "id")) for i in range(HUBS)]
         own = [F.struct(first.alias("first"), then.alias("then"), "id", "size", "place", "root") for first, then in orders]
@@ -196,6 +205,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(named, ["d1", "d2"]).select("id", "digest", F.col("first.id").alias("component_id"), kept.alias("kept"))
 
 
+def _by_fingerprint(reps: DataFrame) -> DataFrame:
+    """(x, y) of classes to be verified: each against the least of its fingerprint, and the least of near fingerprints."""
+    least = reps.groupBy("fp").agg(F.min("node").alias("hub"))
+    same = reps.select("node", "fp").join(least, "fp").filter("node <> hub").select(F.col("hub").alias("x"), F.col("node").alias("y"))
+    a, b = (least.select(F.col("fp").alias(c), F.col("hub").alias(f"hub_{c}")) for c in "ab")
+    near = near_pairs(reps, TAU).join(a, "a").join(b, "b").select(F.least("hub_a", "hub_b").alias("x"), F.greatest("hub_a", "hub_b").alias("y"))
+    return same.unionByName(near)
+
+
 def _within_reach(lists: DataFrame, similarity: float) -> DataFrame:
     """The rows that may pass ``_possible`` with another row of their key: its smallest size and longest rest bound all partners."""
     rest = F.col("size") - F.col("place")
@@ -258,8 +276,8 @@ def _common(docs: DataFrame, id_col: str, text_col: str, words: int) -> tuple[np
 
 def _prefixes(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
     """(row, id, digest, d1, d2, size, bits, prefix) per row: a number, the MD5 digest of the text, digest and size of
-    the set of shingles, parities of the numbers of shingles that fall on each of PARITY * 64 bits, and the first
-    shingles in order."""
+    the set of shingles, parities of the numbers of shingles that fall on each of PARITY * 64 bits, the fingerprint,
+    and the first shingles in order."""
     common = docs.sparkSession.sparkContext.broadcast(_common(docs, id_col, text_col, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,9 +285,11 @@ def _prefixes(docs: DataFrame, id_col: str, text_col: str, words: int, similarit
 
         known, counts = common.value
         for batch in portions(batches, 2):
-            digests, sizes, bits, prefixes = [], [], [], []
+            digests, sizes, bits, fps, prefixes = [], [], [], [], []
             for text in batch.column(2):
-                s = np.unique(shingle_hashes(text.as_py(), words))
+                hashes = shingle_hashes(text.as_py(), words)
+                fps.append(fingerprint(hashes))
+                s = np.unique(hashes)
                 digests.append(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), dtype="<i8"))
                 sizes.append(len(s))
                 odd = np.bincount((s % np.uint64(PARITY * 64)).astype(np.int64), minlength=PARITY * 64) & 1
@@ -282,13 +302,13 @@ def _prefixes(docs: DataFrame, id_col: str, text_col: str, words: int, similarit
                 prefixes.append(s[np.argsort(often, kind="stable")[:first]].view("<i8"))
             d = np.array(digests, dtype=np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(sizes, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(prefixes, pa.list_(pa.int64()))],
-                names=["id", "digest", "d1", "d2", "size", "bits", "prefix"],
+                [*batch.columns[:2], pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(sizes, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(fps, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
+                names=["id", "digest", "d1", "d2", "size", "bits", "fp", "prefix"],
             )
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_digest(F.col(text_col)).alias("digest"), text.alias("text"))
-    made = texts.mapInArrow(run, "id long, digest string, d1 long, d2 long, size long, bits array<long>, prefix array<long>")
+    made = texts.mapInArrow(run, "id long, digest string, d1 long, d2 long, size long, bits array<long>, fp long, prefix array<long>")
     return made.withColumn("row", F.monotonically_increasing_id())
 
 

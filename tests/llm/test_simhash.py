@@ -171,3 +171,19 @@ def test_a_large_group_meets_few_hubs(spark):
         simhash._verified = real
     assert {r["component_id"] for r in got} == {0} and sum(r["kept"] for r in got) == 1
     assert sum(seen) < 10 * len(texts)
+
+
+def test_near_duplicates_are_searched_by_fingerprints_first(spark):
+    """The stage's first candidates come of the fingerprints, found by chains: those of equal ones and of ones two bits apart."""
+    fps = [5, 5, 5, 6, 1 << 40, -1]
+    reps = spark.createDataFrame([(10 + i, f) for i, f in enumerate(fps)], "node long, fp long")
+    assert sorted(tuple(r) for r in simhash._by_fingerprint(reps).collect()) == [(10, 11), (10, 12), (10, 13)]
+    base = [f"w{i}" for i in range(400)]
+    rows = [(1, " ".join(base)), (2, " ".join([*base, "x"])), (3, "a b c d e f g")]
+    asked, real = [], simhash._verified
+    simhash._verified = lambda *args: asked.append(args[-1].count()) or real(*args)
+    try:
+        got = {r["id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    finally:
+        simhash._verified = real
+    assert got == {1: 1, 2: 1, 3: 3} and asked[0] == 1
