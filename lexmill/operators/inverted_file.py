@@ -23,6 +23,8 @@ from lexmill.scratch import written
 SAMPLE, LISTS, ROUNDS, SEED = 20_000, 64, 12, 5
 #: lists that a search reads first
 PROBES = 8
+#: vectors and queries of a list that are compared in one group, at most on average; queries at once in it
+BLOCK, AT_ONCE = 8192, 256
 #: what rounding can take off a bound
 SLACK = 1e-9
 
@@ -116,19 +118,62 @@ def nearest_lists(index: Index, queries: DataFrame, probes: int, query_col: str
     return asked.mapInArrow(run, "query_id long, vector array<double>, list int, bound double, probe boolean")
 
 
+def _in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Dot products of rows, summed as ``cosine`` does, so that equal ones are ties in either form."""
+    total = np.zeros(len(a))
+    for i in range(a.shape[1]):
+        total += a[:, i] * b[:, i]
+    return total
+
+
+def _nearest(asked: pa.Table, pool: pa.Table, k: int, d: int) -> pa.Table:
+    """(query_id, id, score): of every asked row (query_id, vector) the k best of the pool (id, e), ties by id.
+
+    A matrix product finds what can be among them; these pairs' cosines are then summed in order."""
+    out = {"query_id": [np.empty(0, np.int64)], "id": [np.empty(0, np.int64)], "score": [np.empty(0)]}
+    if asked.num_rows and pool.num_rows:
+        flat = lambda column: np.asarray(column.combine_chunks().flatten(), dtype=np.float64).reshape(-1, d)
+        q, x, ids = flat(asked.column("vector")), flat(pool.column("e")), pool.column("id").to_numpy()
+        numbers = asked.column("query_id").to_numpy()
+        q_size, x_size = np.sqrt(_in_order(q, q)), np.sqrt(_in_order(x, x))
+        x_unit = (x / np.where(x_size > 0, x_size, np.nan)[:, None]).T
+        for at in range(0, len(q), AT_ONCE):
+            part = slice(at, at + AT_ONCE)
+            near = np.nan_to_num(q[part] / np.where(q_size[part] > 0, q_size[part], np.nan)[:, None] @ x_unit, nan=-np.inf)
+            least = np.partition(near, -k, axis=1)[:, -k] if k < near.shape[1] else np.full(len(near), -2.0)
+            row, col = np.nonzero((near >= least[:, None] - SLACK) & (near >= -2))
+            score = _in_order(q[part][row], x[col]) / (q_size[part][row] * x_size[col])
+            order = np.lexsort((ids[col], -score, row))
+            row, col, score = row[order], col[order], score[order]
+            first = np.arange(len(row)) - np.searchsorted(row, row) < k
+            for name, values in (("query_id", numbers[part][row]), ("id", ids[col]), ("score", score)):
+                out[name].append(values[first])
+    return pa.table({name: np.concatenate(values) for name, values in out.items()})
+
+
 def search(index: Index, queries: DataFrame, k: int = 10, probes: int = PROBES, exact: bool = False, keep: Column | None = None, query_col: str = "query_id", vector_col: str = "vector", id_col: str = "vec_id", embedding_col: str = "embedding") -> DataFrame:
     """(query_id, rank, id, score): each query's k vectors with the largest cosines in the lists that it reads, among those that pass ``keep``.
 
-    With ``exact`` also the lists are read whose bound reaches the k-th score of the first ones. Ties go to the smaller id.
+    A list's vectors are compared with its queries in blocks, from which k rows a query come. With ``exact`` also the lists are read whose bound reaches the k-th score of the first ones. Ties go to the smaller id.
     Queries without a cosine, or of another length, have no rows."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     best = lambda rows: rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     pool = index.vectors if keep is None else index.vectors.filter(keep)
-    pool = pool.select(F.col(id_col).alias("id"), F.col(embedding_col).alias("e"), F.col("list").alias("in"))
+    pool = pool.select(F.col(id_col).cast("long").alias("id"), F.col(embedding_col).alias("e"), F.col("list").alias("in"))
+
+    d = len(index.lists.first()["centroid"])
+    many = lambda rows, name: max(1, -(-(rows.groupBy(name).count().agg(F.max("count")).first()[0] or 0) // BLOCK))
+    split = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    parts = many(pool, "in")
 
     def scored(asked: DataFrame) -> DataFrame:
-        score = cosine(F.col("e"), F.col("vector"))
-        return best(asked.join(pool, F.col("list") == F.col("in")).select("query_id", "id", score.alias("score")))
+        turns = many(asked, "list")
+        left = asked.select("query_id", "vector", "list", split("query_id", turns).alias("turn"), every(parts).alias("part"))
+        right = pool.withColumn("turn", every(turns)).withColumn("part", split("id", parts)).withColumnRenamed("in", "list")
+        keys = ["list", "turn", "part"]
+        make = lambda a, b: _nearest(a, b, k, d)
+        return best(left.groupBy(keys).cogroup(right.groupBy(keys)).applyInArrow(make, "query_id long, id long, score double"))
 
     asked = nearest_lists(index, queries, probes, query_col, vector_col)
     if not exact:

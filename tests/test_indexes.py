@@ -92,3 +92,18 @@ def test_one_query_opens_its_lists_alone(spark, cloud, tmp_path):
     assert [r["id"] for r in rows.collect()][:2] == [7, 5004]
     with pytest.raises(ValueError, match="no vector"):
         inverted_file.build(cloud.filter("vec_id in (5000, 5001)"), f"file://{tmp_path}/none")
+
+
+def test_lists_are_compared_in_blocks(spark, cloud, tmp_path, monkeypatch):
+    """Pairs were rows, each scored by itself. Many copies of one vector, blocks of 100 rows: ties by id, as a scan gives."""
+    monkeypatch.setattr(inverted_file, "BLOCK", 100)
+    copies = spark.range(10_000, 10_500).select(F.col("id").alias("vec_id")).crossJoin(cloud.filter("vec_id = 7").select("embedding", "label"))
+    both = cloud.filter("vec_id < 3000").unionByName(copies)
+    index = inverted_file.build(both, f"file://{tmp_path}/index", lists=8)
+    asked = both.filter("vec_id % 100 = 7").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    got = inverted_file.search(index, asked, 10, probes=2, exact=True)
+    assert "FlatMapCoGroupsInArrow" in got._jdf.queryExecution().executedPlan().toString()
+    pairs = asked.crossJoin(both).select("query_id", F.col("vec_id").alias("id"), retrieval.cosine(F.col("embedding"), F.col("vector")).alias("score"))
+    rank = F.row_number().over(inverted_file.Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    want = {tuple(r) for r in pairs.withColumn("rank", rank).filter("rank <= 10").select("query_id", "rank", "id", "score").collect()}
+    assert {tuple(r) for r in got.collect()} == want and {r[2] for r in want if r[0] == 7} == {7, *range(10_000, 10_009)}
