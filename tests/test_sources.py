@@ -1,10 +1,11 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from lexmill.operators import corpus, search
-from lexmill.sources import feeds, pages
+from lexmill.sources import dom, feeds, pages
 
 DOCUMENT = """<html><body><nav class="ant-breadcrumb"><ol><li class="ant-breadcrumb-item"><a href="/van-ban/trung-uong">TW</a></li><li class="ant-breadcrumb-item"> Luật số 1 </li></ol></nav>
 <div class="ant-tabs-tabpane ant-tabs-tabpane-active"><p>Điều 1.&nbsp;A</p><p>1. B<br>C</p><script>x</script></div>
@@ -99,3 +100,32 @@ def test_filters():
         search.Filters(page=0)
     assert search.parse_day("31/02/2024") is None and search.flag("false") is False and search.flag("1") is True
     assert search.Filters().empty() and not search.Filters(keyword="x").empty()
+
+
+def _dump(e):
+    return [e.tag, e.attrs, [x if isinstance(x, str) else _dump(x) for x in e.children], [x.tag for x in e.below()]]
+
+
+def _merged(tree):
+    out = []
+    for x in tree[2]:
+        if isinstance(x, str) and out and isinstance(out[-1], str):
+            out[-1] += x
+        else:
+            out.append(x if isinstance(x, str) else _merged(x))
+    return [tree[0], tree[1], out, tree[3]]
+
+
+def test_plain_markup_gives_the_tokenizers_tree(monkeypatch):
+    """Pages of random pieces, plain and odd ones; every tag of a listing went through the tokenizer."""
+    rng = random.Random(5)
+    plain = ["<table>", "<tr>", "<td>", '<td class="a b">', "<TD Class=x>", "</td>", "</tr>", "</TABLE>", "<p>", "</p>", "<br>", "<input type=hidden name=v>", '<a href="/d?id=1">', "</a>", "x &amp; y &lt", "Điều\n1 ", "&", '<i a="" b>', '<i a="1"  a="2">', "</b>", "<li>", "</ul>", '<a href="">']
+    odd = ["<br/>", "<a b='1'>", "<!-- <p> -->", "<script>a<b</script>", "< p", '<a b="x&amp;y">', "</td >", "<a b = 2>", '<a b="c"d>', "<!DOCTYPE html>", "<title>a<b></title>", "<", "<é>", '<a b="1>2">', "<a\tb=1>", "<?x?>"]
+    pages_ = ["".join(rng.choices(plain + odd * (i % 2), k=rng.randrange(25))) for i in range(3000)]
+    fast = [_merged(_dump(dom.parse(x))) for x in pages_]
+    with monkeypatch.context() as m:
+        m.setattr(dom._Builder, "plain", lambda self, html: False)
+        assert fast == [_merged(_dump(dom.parse(x))) for x in pages_]
+    monkeypatch.setattr(dom._Builder, "feed", lambda self, html: pytest.fail("went through the tokenizer"))
+    for x in pages_[::2]:
+        dom.parse(x)
