@@ -9,6 +9,7 @@ non-letters, BM25 among it.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions.text import fold_diacritics
 from lexmill.operators.retrieval import bm25_folded, tokens
+from lexmill.scratch import discard, written
 
 #: most syllables of a word, least occurrences, least logarithm of occurrences over those by chance
 LONGEST, MIN_COUNT, LEAST = 3, 20, 3.0
@@ -28,15 +30,28 @@ JOIN = "ʼ"
 def collocations(docs: DataFrame, text_col: str = "text", longest: int = LONGEST, min_count: int = MIN_COUNT, least: float = LEAST) -> DataFrame:
     """(word, n, score) of all runs of two to ``longest`` syllables, parted by blanks, that are words by the bounds; counted over all rows.
 
-    score is ln(n * N ** (k - 1) / (n1 * ... * nk)) with N syllables in all and ni occurrences of the i-th. Null texts have none."""
-    split = docs.select(tokens(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("w"))
-    run = lambda k: F.transform(F.sequence(F.lit(1), F.size("w") - (k - 1)), lambda i: F.struct(F.lit(k).alias("k"), F.array_join(F.slice("w", i, k), " ").alias("word")))
-    none = F.array().cast("array<struct<k:int,word:string>>")
-    runs = F.concat(*(F.when(F.size("w") >= k, run(k)).otherwise(none) for k in range(1, longest + 1)))
-    counts = split.select(F.explode(runs).alias("r")).groupBy("r.k", "r.word").agg(F.count("*").alias("n")).filter((F.col("n") >= min_count) | (F.col("k") == 1))
-    single = counts.filter("k = 1").select(F.col("word").alias("s"), F.col("n").alias("own"))
+    score is ln(n * N ** (k - 1) / (n1 * ... * nk)) with N syllables in all and ni occurrences of the i-th. Null texts have none.
+
+    Runs are counted by 64-bit hashes first; only those whose hash comes ``min_count`` times, all words among them, are then
+    counted by their letters. The texts are split once; their syllables are read once by themselves and twice for each length of run."""
+    split = written(docs.select(tokens(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("w")), "split")
+    single = written(split.select(F.explode("w").alias("s")).groupBy("s").agg(F.count("*").alias("own")), "syllables")
     total = single.agg(F.sum("own").alias("total"))
-    parts = counts.filter("k > 1").select("word", "k", "n", F.explode(F.split("word", " ")).alias("s")).join(single, "s")
+
+    def runs(k: int) -> DataFrame:
+        at = lambda i: [F.get("w", i + j) for j in range(k)]
+        each = F.transform(F.sequence(F.lit(0), F.size("w") - k), lambda i: F.struct(F.xxhash64(*at(i)).alias("h"), *(x.alias(f"s{j}") for j, x in enumerate(at(i)))))
+        return split.filter(F.size("w") >= k).select(F.inline(each))
+
+    counts = []
+    for k in range(2, longest + 1):
+        often = written(runs(k).groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= min_count).select("h"), "often")
+        names = [f"s{j}" for j in range(k)]
+        found = runs(k).join(often, "h", "left_semi").groupBy(*names).agg(F.count("*").alias("n")).filter(F.col("n") >= min_count)
+        counts.append(found.select(F.concat_ws(" ", *names).alias("word"), F.lit(k).alias("k"), "n"))
+    counts = written(reduce(DataFrame.unionByName, counts), "runs")
+    discard(split)
+    parts = counts.select("word", "k", "n", F.explode(F.split("word", " ")).alias("s")).join(single, "s")
     scored = parts.groupBy("word", "k", "n").agg(F.sum(F.log("own")).alias("apart")).join(F.broadcast(total))  # a single row
     score = F.log("n") + (F.col("k") - 1) * F.log("total") - F.col("apart")
     return scored.select("word", "n", score.alias("score")).filter(F.col("score") >= least)
