@@ -108,16 +108,29 @@ def heal_report(edges: DataFrame, document: DataFrame, citations: DataFrame) ->
 
 def references(edges: DataFrame, document: DataFrame, document_ids: DataFrame | None = None, direction: str = OUTGOING, reference_type: str | None = None) -> DataFrame:
     """Edges with both sides' citation and title, of the given documents (column id) or of all. They come in no order: a
-    caller that shows a page sorts it by created_at and id, with a limit, instead of the whole table."""
+    caller that shows a page sorts it by created_at and id, with a limit, instead of the whole table.
+
+    With ``document`` itself as document_ids the joins of names tell the edges of its documents, and edges are shuffled
+    by either end alone. In both directions an id that comes again with the same source is one edge."""
     rows = edges if reference_type is None else edges.filter(F.col("reference_type") == reference_type)
-    if document_ids is not None:
+    own = document_ids is document
+    if document_ids is not None and not own:
         ends = {OUTGOING: ["source_document_id"], INCOMING: ["target_document_id"], ALL: ["source_document_id", "target_document_id"]}[direction]
         wanted = document_ids.select(F.col("id").alias("__id")).distinct()
         parts = [rows.join(wanted, F.col(end) == F.col("__id"), "left_semi") for end in ends]
         rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1].filter(~F.col("source_document_id").eqNullSafe(F.col("target_document_id")))).dropDuplicates(["id"])
     for side in ("source", "target"):
         names = document.select(F.col("id").alias(f"{side}_document_id"), F.col("citation_id").alias(f"{side}_citation"), F.col("title").alias(f"{side}_title"))
-        rows = rows.join(names, f"{side}_document_id", "left")
+        if not own:
+            rows = rows.join(names, f"{side}_document_id", "left")
+        else:
+            needed = direction == {"source": OUTGOING, "target": INCOMING}[side]
+            rows = rows.join(names.withColumn(f"__{side}", F.lit(True)), f"{side}_document_id", "inner" if needed else "left")
+            if direction == ALL and side == "source":
+                rows = rows.dropDuplicates(["source_document_id", "id"])  # where the join has put them: no shuffle of its own
+    if own:
+        rows = rows.filter("__source or __target") if direction == ALL else rows
+        rows = rows.drop("__source", "__target")
     return rows
 
 

@@ -126,7 +126,7 @@ from e left join orders a on a.o_orderkey::varchar = s left join orders b on b.o
 
 def _all_references(spark, sf_dir, direction):
     docs = _documents(spark, sf_dir)
-    rows = edges.references(_edges(spark, sf_dir), docs, docs.select("id"), direction)
+    rows = edges.references(_edges(spark, sf_dir), docs, docs, direction)
     return rows.select("id", "reference_type", "source_citation", "target_citation", "target_title")
 
 

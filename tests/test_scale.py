@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from lexmill.operators import body, chunks, relations, titles, tree
+from lexmill.operators import body, chunks, edges, relations, titles, tree
 
 DATA = "/root/testdata/sf0.001"
 
@@ -89,3 +89,24 @@ def test_equal_titles_are_scored_once(spark):
 
 def test_basis_and_body_are_read_apart(spark):
     assert plan(entry.queries()["preamble_refs"](spark, DATA)).count("Scan parquet") == plan(entry.queries()["body_refs"](spark, DATA)).count("Scan parquet") == 1
+
+
+@pytest.mark.parametrize("direction", ["incoming", "all", "outgoing"])
+def test_edges_are_shuffled_by_either_end_alone(spark, direction):
+    """Edges of all documents were joined with their ids first: a shuffle more, two and one of all rows for both directions."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert plan(entry.queries()[f"edge_{direction}"](spark, DATA)).count("Exchange hashpartitioning") == 4
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_edges_of_the_documents_themselves(spark):
+    """As with their ids apart, with ends that are unknown or null, an edge that comes twice and one from a document to itself."""
+    kind = "id string, source_document_id string, target_document_id string, reference_type string"
+    rows = [("1", "a", "b", "x"), ("2", "a", "z", "x"), ("3", "z", "b", "x"), ("4", "z", "y", "x"), ("5", None, "a", "x"), ("6", "a", None, "x"), ("7", "a", "a", "x"), ("1", "a", "b", "x"), ("8", None, None, "x"), ("9", "b", "a", "o")]
+    e, d = spark.createDataFrame(rows, kind), spark.createDataFrame([(x, f"C{x}", f"T{x}") for x in "abc"], "id string, citation_id string, title string")
+    for direction in (edges.OUTGOING, edges.INCOMING, edges.ALL):
+        got, want = (edges.references(e, d, ids, direction, "x") for ids in (d, d.select("id")))
+        assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect())) and sorted(got.columns) == sorted(want.columns)
