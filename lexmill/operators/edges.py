@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lexmill.functions.citations import citation_in_text
 from lexmill.functions.hashing import stable_id
 from lexmill.operators.search import Filters, matching
+from lexmill.scratch import written
 
 OUTGOING, INCOMING, ALL = "outgoing", "incoming", "all"
 
@@ -26,7 +27,8 @@ def dedup_edges(edges: DataFrame, order: list[str] | None = None, stored: bool =
     """One edge per key: the least by ``order`` (created_at, then id), null first.
 
     Of ``stored`` edges, which are cheap to read again, keys are counted as 64-bit hashes first, so nothing but a number
-    per row is shuffled; whole rows are compared, by the parts of their keys, only where a hash comes twice."""
+    per row is shuffled; whole rows are compared, by the parts of their keys, only where a hash comes twice. These hashes
+    are written first."""
     cols, order = edges.columns, [c for c in order or ["created_at", "id"] if c in edges.columns]
     bound = F.col("target_document_id").isNotNull()
     last = F.when(bound, F.col("target_document_id")).otherwise(F.col("raw_citation_text"))
@@ -36,6 +38,7 @@ def dedup_edges(edges: DataFrame, order: list[str] | None = None, stored: bool =
         return edges.groupBy(parts.alias("__key")).agg(first.alias("e")).select("e.*")
     marked = edges.withColumn("__hash", F.xxhash64(parts))
     again = marked.groupBy("__hash").agg(F.count("*").alias("__n")).filter("__n > 1").select("__hash")
+    again = written(again, "again")  # few as a rule: once they are there, Spark knows it and leaves the edges where they are
     several = marked.join(again, "__hash", "left_semi").groupBy(parts.alias("__key")).agg(first.alias("e")).select("e.*")
     return marked.join(again, "__hash", "left_anti").select(cols).unionByName(several)
 

@@ -110,3 +110,9 @@ def test_edges_of_the_documents_themselves(spark):
     for direction in (edges.OUTGOING, edges.INCOMING, edges.ALL):
         got, want = (edges.references(e, d, ids, direction, "x") for ids in (d, d.select("id")))
         assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect())) and sorted(got.columns) == sorted(want.columns)
+
+
+def test_stored_edges_stay_where_they_are(spark):
+    """Joins with the hashes that come twice were planned before their number was known, and shuffled all edges twice."""
+    p = plan(entry.queries()["dedup_edges_nullsafe"](spark, DATA))
+    assert "Exchange hashpartitioning(__hash" not in p and p.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in p
