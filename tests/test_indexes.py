@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,3 +108,48 @@ def test_lists_are_compared_in_blocks(spark, cloud, tmp_path, monkeypatch):
     rank = F.row_number().over(inverted_file.Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     want = {tuple(r) for r in pairs.withColumn("rank", rank).filter("rank <= 10").select("query_id", "rank", "id", "score").collect()}
     assert {tuple(r) for r in got.collect()} == want and {r[2] for r in want if r[0] == 7} == {7, *range(10_000, 10_009)}
+
+
+def test_blocks_are_scored_at_once(spark, tmp_path, monkeypatch):
+    """Each pair of a query and a document was a row. Many equal texts, queries in portions of three, an index of asked words alone: ties by id, as a scan gives."""
+    monkeypatch.setattr(postings, "QUERIES", 3)
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices("abcdefgh", k=rng.randrange(1, 9))) for _ in range(60)]
+    docs = {i: texts[i * 7 % 60] for i in range(300)} | {-4: "", -3: "z z z"}
+    corpus = spark.createDataFrame([*docs.items(), (-5, None)], "id long, text string").repartition(3)
+    asked = {q: " ".join(rng.sample("abcdefghy", 4)) for q in range(10)} | {10: "Y", 11: "a A a"}
+    queries = spark.createDataFrame([*asked.items(), (12, None)], "query_id long, text string")
+    small, whole = (postings.build(corpus, f"file://{tmp_path}/{only is None}", block=16, only=only) for only in (queries, None))
+    assert {r[0] for r in small.postings.select("term").distinct().collect()} == set("abcdefgh") and small.terms.count() == 8 and whole.terms.count() == 9
+    n, size = len(docs) + 1, sum(len(t.split()) for t in docs.values()) / (len(docs) + 1)
+    df = {t: sum(t in d.split() for d in docs.values()) for t in "abcdefgh"}
+    want = []
+    for q, text in asked.items():
+        score = {}
+        for i, d in docs.items():
+            d = d.split()
+            found = [np.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * d.count(t) * 2.2 / (d.count(t) + 1.2 * (0.25 + 0.75 * len(d) / size)) for t in sorted(set(text.lower().split())) if t in d]
+            if found:
+                score[i] = round(float(sum(found)), 9)
+        want += [(q, rank, i, pytest.approx(s, abs=2e-9)) for rank, (i, s) in enumerate(sorted(score.items(), key=lambda x: (-x[1], x[0]))[:7], 1)]
+    for index in (small, whole):
+        rows = postings.search(index, queries, 7, first=2)
+        assert "FlatMapGroupsInArrow" in rows._jdf.queryExecution().executedPlan().toString()
+        assert sorted(tuple(r) for r in rows.collect()) == want
+
+
+def test_blocks_are_whole_across_batches(monkeypatch):
+    """Batches end within blocks, portions hold seven words at most or one block."""
+    monkeypatch.setattr(postings, "WORDS", 7)
+    rng = random.Random(6)
+    rows = [(n, n * 3 if n % 11 else None, rng.choices("abcé", k=rng.randrange(5))) for n in [*range(40), *range(1 << 33, (1 << 33) + 9)]]
+    columns = lambda some: [pa.array(c, kind) for c, kind in zip(zip(*some), (pa.int64(), pa.int64(), pa.list_(pa.string())))]
+    batches = [pa.RecordBatch.from_arrays(columns(rows[i : i + 5]), names=["number", "id", "words"]) for i in range(0, len(rows), 5)]
+    got = {(r["term"], r["block"]): r for b in postings._inverted(iter(batches), 8, 2.0, 1.2, 0.75) for r in b.to_pylist()}
+    want = {}
+    for n, i, words in rows:
+        for t in sorted(set(words)):
+            want.setdefault((t, n // 8), []).append((i, words.count(t) * 2.2 / (words.count(t) + 1.2 * (0.25 + 0.75 * len(words) / 2))))
+    assert {k: list(zip(r["ids"], r["weights"])) for k, r in got.items()} == {k: [(i, pytest.approx(w)) for i, w in v] for k, v in want.items()}
+    assert all(r["top"] == max(r["weights"]) for r in got.values()) and sum(b.num_rows for b in postings._inverted(iter(batches), 8, 2.0, 1.2, 0.75)) == len(want)
+    assert [b.num_rows for b in postings._inverted(iter([]), 8, 2.0, 1.2, 0.75)] == []
