@@ -174,10 +174,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lists = reps.select(F.col("node").alias("id"), "size", F.posexplode("prefix").alias("place", "key"), F.col("node").alias("root"))
     lists = written(_within_reach(lists, similarity), "lists")
     links = _more_links(docs, text_col, words, similarity, reps, _by_fingerprint(reps), None)
-    after = written(_open(lists, links, similarity), "open")
-    discard(lists)
-    lists = after
+    lists = _open(lists, links, None, similarity)
     for turn in range(TURNS):
+        if lists.isEmpty():
+            break
         orders = [(F.col("place") if i % 2 else F.lit(0), F.xxhash64(F.lit(turn * HUBS + i), "id")) for i in range(HUBS)]
         own = [F.struct(first.alias("first"), then.alias("then"), "id", "size", "place", "root") for first, then in orders]
         hubs = lists.groupBy("key").agg(*(F.min(o).alias(f"f{i}") for i, o in enumerate(own)))
@@ -185,19 +185,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         hubs = hubs.hint("rebalance")
         met = lists.join(hubs, F.col("key") == F.col("k")).filter("root <> f.root")
         pairs = _possible(met.select("id", "size", "place", F.col("f.id").alias("id2"), F.col("f.size").alias("size2"), F.col("f.place").alias("place2")), similarity)
+        before, links = links, _more_links(docs, text_col, words, similarity, reps, pairs, links)
+        lists = _open(lists, links, before, similarity)
+    if not lists.isEmpty():
+        left = lists.join(reps.select(F.col("node").alias("id"), "bits"), "id")
+        right = left.select("key", *(F.col(c).alias(f"{c}2") for c in ("id", "size", "place", "root", "bits")))
+        met = left.join(right, "key").filter("id < id2 and root <> root2")
+        pairs = _possible(met.filter(_parity_allows("bits", "bits2", F.col("size") + F.col("size2"), similarity)), similarity)
         links = _more_links(docs, text_col, words, similarity, reps, pairs, links)
-        after = written(_open(lists, links, similarity), "open")
-        discard(lists)
-        lists = after
-        if lists.isEmpty():
-            break
-    left = lists.join(reps.select(F.col("node").alias("id"), "bits"), "id")
-    right = left.select("key", *(F.col(c).alias(f"{c}2") for c in ("id", "size", "place", "root", "bits")))
-    met = left.join(right, "key").filter("id < id2 and root <> root2")
-    pairs = _possible(met.filter(_parity_allows("bits", "bits2", F.col("size") + F.col("size2"), similarity)), similarity)
-    links = _more_links(docs, text_col, words, similarity, reps, pairs, links)
     discard(lists, reps)
-    rooted = classes.join(links.withColumnRenamed("root", "top"), "node", "left").withColumn("top", F.coalesce("top", "node"))
+    rooted = _rooted(classes, links, "node", "top")
     tops = rooted.groupBy("top").agg(F.min("least").alias("first")).hint("rebalance")
     named = written(rooted.select("d1", "d2", "top").join(tops, "top").select("d1", "d2", "first"), "named")
     kept = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("digest") == F.col("first.digest"))
@@ -215,20 +212,30 @@ def _by_fingerprint(reps: DataFrame) -> DataFrame:
 
 
 def _within_reach(lists: DataFrame, similarity: float) -> DataFrame:
-    """The rows that may pass ``_possible`` with another row of their key: its smallest size and longest rest bound all partners."""
+    """The rows of keys whose classes aren't all joined yet that may pass ``_possible`` with another row of their key: its
+    smallest size and longest rest bound all partners."""
     rest = F.col("size") - F.col("place")
-    keys = lists.groupBy("key").agg(F.count("*").alias("n"), F.min("size").alias("low"), F.max(rest).alias("far")).filter("n > 1")
+    ends = (F.min("root").alias("lowest"), F.max("root").alias("highest"))
+    keys = lists.groupBy("key").agg(F.min("size").alias("low"), F.max(rest).alias("far"), *ends).filter("lowest <> highest")
     keys = keys.select(F.col("key").alias("k"), "low", "far").hint("rebalance")
     near = F.least(rest, "far") >= _shared(F.col("size") + F.col("low"), similarity)
     return lists.join(keys, F.col("key") == F.col("k")).filter(near).select("key", "id", "size", "place", "root")
 
 
-def _open(lists: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
-    """The rows of keys whose classes aren't all joined yet, with the classes' roots."""
-    rooted = lists.drop("root").join(links.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    apart = rooted.groupBy("key").agg(F.min("root").alias("lowest"), F.max("root").alias("highest")).filter("lowest <> highest")
-    apart = apart.select(F.col("key").alias("k")).hint("rebalance")
-    return _within_reach(rooted.join(apart, F.col("key") == F.col("k")).select("key", "id", "size", "place", "root"), similarity)
+def _rooted(rows: DataFrame, links: DataFrame | None, node: str, root: str) -> DataFrame:
+    """rows with their nodes' roots; a node without links, or all of them where there are none (None), is its own."""
+    if links is None:
+        return rows.withColumn(root, F.col(node))
+    return rows.join(links.select(F.col("node").alias(node), F.col("root").alias(root)), node, "left").withColumn(root, F.coalesce(root, node))
+
+
+def _open(lists: DataFrame, links: DataFrame | None, before: DataFrame | None, similarity: float) -> DataFrame:
+    """The lists with the classes' roots, written anew without what the links have joined; as they were if no link came in."""
+    if links is before:
+        return lists
+    after = written(_within_reach(_rooted(lists.drop("root"), links, "id", "root"), similarity), "open")
+    discard(lists)
+    return after
 
 
 def _shared(sizes: Column, similarity: float) -> Column:
@@ -249,17 +256,18 @@ def _possible(met: DataFrame, similarity: float) -> DataFrame:
     return met.filter(rest >= need).select(F.least("id", "id2").alias("x"), F.greatest("id", "id2").alias("y")).filter("x < y").distinct()
 
 
-def _more_links(docs: DataFrame, text_col: str, words: int, similarity: float, reps: DataFrame, pairs: DataFrame, links: DataFrame | None) -> DataFrame:
-    """links (node, root), joined further by those of the pairs that are similar."""
+def _more_links(docs: DataFrame, text_col: str, words: int, similarity: float, reps: DataFrame, pairs: DataFrame, links: DataFrame | None) -> DataFrame | None:
+    """links (node, root), joined further by those of the pairs that are similar; links itself, without further jobs, if there are none."""
     x, y = (reps.select(F.col("node").alias(c), F.col("size").alias(f"n{c}"), F.col("bits").alias(f"b{c}")) for c in "xy")
     may = _parity_allows("bx", "by", F.col("nx") + F.col("ny"), similarity)
     pairs = written(pairs.join(x, "x").join(y, "y").filter(may).select("x", "y"), "candidates")
-    close = _verified(docs, text_col, words, similarity, reps, pairs)
+    close = None if pairs.isEmpty() else _verified(docs, text_col, words, similarity, reps, pairs)
+    discard(pairs)
+    if close is None or close.isEmpty():
+        return links
     if links is not None:
         close = links.select(F.col("node").alias("x"), F.col("root").alias("y")).unionByName(close)
-    out = connected_components(close, "x", "y")
-    discard(pairs)
-    return out
+    return connected_components(close, "x", "y")
 
 
 def _common(docs: DataFrame, id_col: str, text_col: str, words: int) -> tuple[np.ndarray, np.ndarray]:

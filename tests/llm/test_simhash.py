@@ -187,3 +187,19 @@ def test_near_duplicates_are_searched_by_fingerprints_first(spark):
     finally:
         simhash._verified = real
     assert got == {1: 1, 2: 1, 3: 3} and asked[0] == 1
+
+
+def test_stages_that_join_nothing_run_no_more_jobs(spark, monkeypatch):
+    """Without candidates nothing is verified, without links no components are joined, and what a stage joined ends the search."""
+    calls = []
+    for name in ("_verified", "connected_components"):
+        monkeypatch.setattr(simhash, name, lambda *args, name=name, real=getattr(simhash, name): calls.append(name) or real(*args))
+    rng = random.Random(17)
+    base, other = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(200)) for _ in range(2))
+    for rows, expected, asked in (
+        ([(1, base), (2, other), (3, None)], {1: 1, 2: 2, 3: 3}, []),
+        ([(1, base), (2, f"{base} x"), (3, other)], {1: 1, 2: 1, 3: 3}, ["_verified", "connected_components"]),
+    ):
+        calls.clear()
+        got = {r["id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == expected and calls == asked
