@@ -225,6 +225,47 @@ def clause_nodes(docs: DataFrame, key: str = "document_id", text: str = "full_te
     return docs.select(key, text).mapInArrow(run, schema)
 
 
+#: a node within its text: where it stands, its ancestors and itself by number, and the last node below it
+SPAN = T.StructType([*TREE.fields, T.StructField("line", T.ArrayType(T.IntegerType())), T.StructField("stop", T.IntegerType())])
+
+
+def _spans(ups: list[int | None]) -> tuple[list[list[int]], list[int]]:
+    """Of the nodes of a text, told by their parents' numbers: ancestors and itself, outermost first, and the last node of the
+    subtree. Nodes come depth first, so a subtree is a run of them."""
+    lines: list[list[int]] = []
+    stops = list(range(len(ups)))
+    for i, up in enumerate(ups):
+        lines.append([i] if up is None else [*lines[up], i])
+    for i in range(len(ups) - 1, -1, -1):
+        if ups[i] is not None:
+            stops[ups[i]] = max(stops[ups[i]], stops[i])
+    return lines, stops
+
+
+def clause_trees(docs: DataFrame, key: str = "document_id", text: str = "full_text", legacy: bool = False) -> DataFrame:
+    """(key, nodes): a row per text with its nodes in document order as an array of SPAN, so that what is asked of one text
+    alone needs no shuffle. Texts that share a key stay apart."""
+    schema = T.StructType([docs.schema[key], T.StructField("nodes", T.ArrayType(SPAN))])
+    arrow = to_arrow_schema(schema)
+    kinds = {f.name: f for f in arrow.field(1).type.value_type}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns: list[list] = [[] for _ in TREE.names]
+            sizes = [_put(t, legacy, columns) for t in batch.column(1).to_pylist()]
+            ends = np.cumsum([0, *sizes])
+            lines, stops = [], []
+            for a, b in zip(ends, ends[1:]):
+                line, stop = _spans(columns[1][a:b])
+                lines += line
+                stops += stop
+            parts = [pa.array(c, kinds[name].type) for name, c in zip(SPAN.names, [*columns, lines, stops])]
+            nodes = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(parts, fields=list(kinds.values())))
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(arrow.field(0).type), nodes.cast(arrow.field(1).type)], schema=arrow)
+
+    return docs.select(key, text).mapInArrow(run, schema)
+
+
 def with_paths(nodes: DataFrame, key: str = "document_id", legacy: bool = False) -> DataFrame:
     """Nodes with id, parent_id and content_hash, all from columns of their own rows: no join, no shuffle."""
     name = lambda path, seq: stable_id(F.col(key).cast("string"), F.col(path), F.col(seq) if legacy else F.lit(None))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,7 +45,7 @@ def full_texts(nodes: DataFrame, doc: str = "document_id", order: str = "seq") -
 
     A node's text goes to each of its ancestors, of which there are at most eight levels, and meets them in one grouping:
     no join is made. order is ``seq`` for document order or ``path`` for label order."""
-    own = F.concat_ws("\n", blank_to_null(node_header(F.col("label"), F.col("heading"))), blank_to_null(F.col("text_content")))
+    own = own_text(F.col("label"), F.col("heading"), F.col("text_content"))
     by = path_array(F.col("path")) if order == "path" else F.col(order)
     each = nodes.withColumn("__at", F.explode(ancestors(F.col("path"), itself=True)))
     parts = each.select(F.col(doc).alias("__doc"), "__at", F.struct(by.alias("by"), own.alias("text")).alias("part"), F.when(F.col("__at") == F.col("path"), F.struct(*nodes.columns)).alias("node"))
@@ -51,6 +53,28 @@ def full_texts(nodes: DataFrame, doc: str = "document_id", order: str = "seq") -
     return texts.select(F.explode("nodes").alias("node"), "full_text").select("node.*", "full_text").select(doc, "path", *(c for c in nodes.columns if c not in (doc, "path")), "full_text")
 
 
+def own_text(label: Column, heading: Column, text: Column) -> Column:
+    """A node's header and own text, one per line; empty if it has neither."""
+    return F.concat_ws("\n", blank_to_null(node_header(label, heading)), blank_to_null(text))
+
+
+def below(nodes: Column, node: Column) -> Column:
+    """A node of ``body.clause_trees`` and all below it, in order: a slice of its text's nodes."""
+    return F.slice(nodes, node["seq"] + 1, node["stop"] - node["seq"] + 1)
+
+
+def joined_texts(nodes: Column) -> Column:
+    return F.array_join(F.transform(nodes, lambda x: own_text(x["label"], x["heading"], x["text_content"])), "\n")
+
+
+def matched_texts(trees: DataFrame, match: Callable[[Column], Column], doc: str = "document_id") -> DataFrame:
+    """(doc, path, full_text): ``full_texts`` of what ``pruned`` leaves, over the rows of ``body.clause_trees``. A text's row holds
+    all that is needed, so nothing is shuffled; the work is at most nodes times levels."""
+    n = F.col("nodes")
+    kept = F.filter(n, lambda x: F.exists(x["line"], lambda i: F.coalesce(match(F.get(n, i)), F.lit(False))))
+    return trees.select(doc, F.inline(F.transform(kept, lambda x: F.struct(x["path"].alias("path"), joined_texts(below(n, x)).alias("full_text")))))
+
+
 def subtree(nodes: DataFrame, path: str, doc: str = "document_id", document_id: str | None = None) -> DataFrame:
     """A node and all below it, as a prefix filter that the scan can take."""
     rows = nodes if document_id is None else nodes.filter(F.col(doc) == document_id)
@@ -77,12 +101,13 @@ def pruned(nodes: DataFrame, match: Column, doc: str = "document_id", order: str
     return each.join(tops, [doc, "__top"]).drop("__top")
 
 
-def node_filter(node_type: str | None = None, ordinal: str | None = None) -> Column:
+def node_filter(node_type: str | None = None, ordinal: str | None = None, of: Callable[[str], Column] = F.col) -> Column:
+    """Whether a node has that type and ordinal; ``of`` gives its fields, by name."""
     cond = F.lit(True)
     if node_type is not None:
-        cond = cond & (F.col("node_type") == node_type)
+        cond = cond & (of("node_type") == node_type)
     if ordinal is not None:
-        cond = cond & (F.col("ordinal") == ordinal)
+        cond = cond & (of("ordinal") == ordinal)
     return cond
 
 

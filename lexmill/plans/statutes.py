@@ -47,6 +47,10 @@ def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return body.with_paths(body.clause_nodes(_statutes(spark, sf_dir)))
 
 
+def _trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return body.clause_trees(_statutes(spark, sf_dir))
+
+
 _NODE_SQL = f"""with l as (select *, l_orderkey as k, row_number() over (partition by l_orderkey order by {', '.join(_LINE_ORDER)}) as n from lineitem join orders on o_orderkey = l_orderkey),
 a as (select *, 'chuong1.' || case when n >= 3 then 'muc1.' else '' end || 'dieu' || n as up, l_quantity::int % 5 <> 0 as long, case when n >= 3 then 'Mục 1 Riêng' || chr(10) else '' end as section from l),
 parts as (select o_orderkey as k, 0 as n, 0 as s, 'chuong' as node_type, '1' as ordinal, 'Chương I' as label, o_orderpriority as heading, null as text_content, null as content_class, 'chuong1' as path from orders
@@ -78,8 +82,7 @@ select k as document_id, up || '.khoan1' as path, 'Điểm a' || chr(10) || 'Bê
 where node_type = 'khoan' and ordinal = '1' union all select document_id, path, label || chr(10) || text_content from nodes where node_type = 'diem'""")
 def node_filter(spark, sf_dir):
     """The first clauses of all articles with what stands below them."""
-    n = _nodes(spark, sf_dir).select("document_id", "seq", "path", "node_type", "ordinal", "label", "heading", "text_content")
-    return tree.full_texts(tree.pruned(n, tree.node_filter("khoan", "1"), order="seq")).select("document_id", "path", "full_text")
+    return tree.matched_texts(_trees(spark, sf_dir), lambda x: tree.node_filter("khoan", "1", x.getField))
 
 
 _POINTS_SQL = "case when l_linestatus = 'F' then chr(10) || 'Điểm a' || chr(10) || 'Bên ' || l_suppkey || ';' || chr(10) || 'Điểm đ' || chr(10) || 'Ngày ' || l_shipdate::date || '.' else '' end"
