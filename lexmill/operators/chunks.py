@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import blank_to_null, node_header
-from lexmill.operators.tree import lineage
+from lexmill.operators.tree import below, joined_texts, lineage, own_text
 
 CONTAINERS = ("phan", "chuong", "muc", "tieu_muc")
 
@@ -56,3 +56,23 @@ def search_documents(nodes: DataFrame) -> DataFrame:
     clause = F.when(F.col("node_type") == "khoan", F.struct("seq", "ordinal", "text_content"))
     agg = each.groupBy("document_id", "__top", "top_label", "top_heading").agg(F.array_sort(F.collect_list(clause)).alias("khoan"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", _own().alias("t")))), lambda p: p["t"]), "\n").alias("body"))
     return agg.select(F.concat_ws(":", "document_id", "__top").alias("id"), "document_id", F.col("top_label").alias("label"), F.col("top_heading").alias("heading"), "khoan", "body")
+
+
+def _normative(x: Column) -> Column:
+    return (x["node_type"] == "phu_luc") & (F.coalesce(x["content_class"], F.lit("normative")) == "normative")
+
+
+def tree_chunks(trees: DataFrame) -> DataFrame:
+    """``chunks`` over the rows of ``body.clause_trees``: each text's chunks come from its own row, nothing is shuffled."""
+    n = F.col("nodes")
+
+    def chunk(x: Column) -> Column:
+        above = F.array_join(F.transform(F.filter(x["line"], lambda i: i != x["seq"]), lambda i: node_header(F.get(n, i)["label"], F.get(n, i)["heading"])), "\n")
+        points = joined_texts(F.filter(below(n, x), lambda y: (y["parent_seq"] == x["seq"]) & (y["node_type"] == "diem")))
+        text = F.concat_ws("\n", blank_to_null(above), blank_to_null(own_text(x["label"], x["heading"], x["text_content"])), blank_to_null(points))
+        return F.struct(x["path"].alias("path"), x["seq"].alias("seq"), text.alias("text"))
+
+    clauses = lambda x: F.exists(below(n, x), lambda y: (y["parent_seq"] == x["seq"]) & (y["node_type"] == "khoan"))
+    kept = F.filter(n, lambda x: (x["node_type"] == "khoan") | _normative(x) | ((x["node_type"] == "dieu") & ~clauses(x)))
+    rows = trees.select("document_id", F.inline(F.transform(kept, chunk)))
+    return rows.select(F.concat_ws(":", "document_id", "path").alias("id"), "document_id", "path", "seq", "text").withColumn("content_hash", F.sha2("text", 256))

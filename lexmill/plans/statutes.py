@@ -98,7 +98,7 @@ union all select k || ':' || up || '.khoan2', {_ABOVE_SQL} || {_ARTICLE_SQL} ||
 union all select k || ':' || up, {_ABOVE_SQL} || {_ARTICLE_SQL} || 'Chữ của điều.' from a where not long
 union all select o_orderkey || ':phu_luc2', {_ANNEX_SQL} from orders where o_orderstatus = 'P'""")
 def clause_chunks(spark, sf_dir):
-    return chunks.chunks(_nodes(spark, sf_dir)).select("id", "text")
+    return chunks.tree_chunks(_trees(spark, sf_dir)).select("id", "text")
 
 
 @query(f"""{_NODE_SQL} select k || ':' || up as id, 'Hàng ' || l_partkey as heading, case when long then 2 else 0 end::int as clauses,

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from lexmill.operators import body, tree
+from lexmill.operators import body, chunks, tree
 
 DATA = "/root/testdata/sf0.001"
 FORMS = ["Phần I\nMột", "Chương II\nHai", "Mục 1. M", "Tiểu mục 2\nT", "Điều {}. A", "Điều {}\nB", "1. Một", "2. Hai\nthêm", "1. Lại", "a) x", "đ) y", "chữ", "Điều 3. Lại"]
@@ -32,13 +32,18 @@ def test_pruned_texts(spark, docs):
         assert rows(got) == rows(want) and got.count()
 
 
+def test_chunks_of_whole_trees(spark, docs):
+    got, want = chunks.tree_chunks(body.clause_trees(docs)), chunks.chunks(body.with_paths(body.clause_nodes(docs)))
+    assert rows(got.select(want.columns)) == rows(want) and got.count()
+
+
 def test_spans():
     lines, stops = body._spans([None, 0, 1, 1, 0, None])
     assert lines == [[0], [0, 1], [0, 1, 2], [0, 1, 3], [0, 4], [5]] and stops == [4, 3, 2, 3, 4, 5]
     assert body._spans([]) == ([], [])
 
 
-@pytest.mark.parametrize("name", ["node_filter"])
+@pytest.mark.parametrize("name", ["node_filter", "clause_chunks"])
 def test_nodes_are_not_shuffled(spark, name):
     """Orders and lines are shuffled to make the texts; nodes, several times as large, were shuffled once more."""
     p = entry.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
