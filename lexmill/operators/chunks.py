@@ -76,3 +76,16 @@ def tree_chunks(trees: DataFrame) -> DataFrame:
     kept = F.filter(n, lambda x: (x["node_type"] == "khoan") | _normative(x) | ((x["node_type"] == "dieu") & ~clauses(x)))
     rows = trees.select("document_id", F.inline(F.transform(kept, chunk)))
     return rows.select(F.concat_ws(":", "document_id", "path").alias("id"), "document_id", "path", "seq", "text").withColumn("content_hash", F.sha2("text", 256))
+
+
+def tree_search_documents(trees: DataFrame) -> DataFrame:
+    """``search_documents`` over the rows of ``body.clause_trees``: nothing is shuffled."""
+    n = F.col("nodes")
+
+    def whole(x: Column) -> Column:
+        inner = F.filter(below(n, x), lambda y: y["node_type"] == "khoan")
+        khoan = F.transform(inner, lambda y: F.struct(y["seq"].alias("seq"), y["ordinal"].alias("ordinal"), y["text_content"].alias("text_content")))
+        return F.struct(x["path"].alias("path"), x["label"].alias("label"), x["heading"].alias("heading"), khoan.alias("khoan"), joined_texts(below(n, x)).alias("body"))
+
+    rows = trees.select("document_id", F.inline(F.transform(F.filter(n, lambda x: (x["node_type"] == "dieu") | _normative(x)), whole)))
+    return rows.select(F.concat_ws(":", "document_id", "path").alias("id"), "document_id", "label", "heading", "khoan", "body")

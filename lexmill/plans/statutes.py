@@ -105,7 +105,7 @@ def clause_chunks(spark, sf_dir):
   {_ARTICLE_SQL} || case when long then {_FIRST_SQL} || chr(10) || {_SECOND_SQL} else 'Chữ của điều.' end as body from a
 union all select o_orderkey || ':phu_luc2', null, 0, {_ANNEX_SQL} from orders where o_orderstatus = 'P'""")
 def search_documents(spark, sf_dir):
-    return chunks.search_documents(_nodes(spark, sf_dir)).select("id", "heading", F.size("khoan").alias("clauses"), "body")
+    return chunks.tree_search_documents(_trees(spark, sf_dir)).select("id", "heading", F.size("khoan").alias("clauses"), "body")
 
 
 @query(f"""{_NODE_SQL} select document_id, path from nodes where node_type = 'dieu' or (document_id % 2 = 0 and (path like '%.khoan1' or path = 'phu_luc2'))""")

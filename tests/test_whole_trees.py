@@ -37,13 +37,18 @@ def test_chunks_of_whole_trees(spark, docs):
     assert rows(got.select(want.columns)) == rows(want) and got.count()
 
 
+def test_search_documents_of_whole_trees(spark, docs):
+    got, want = chunks.tree_search_documents(body.clause_trees(docs)), chunks.search_documents(body.with_paths(body.clause_nodes(docs)))
+    assert rows(got.select(want.columns)) == rows(want) and got.count()
+
+
 def test_spans():
     lines, stops = body._spans([None, 0, 1, 1, 0, None])
     assert lines == [[0], [0, 1], [0, 1, 2], [0, 1, 3], [0, 4], [5]] and stops == [4, 3, 2, 3, 4, 5]
     assert body._spans([]) == ([], [])
 
 
-@pytest.mark.parametrize("name", ["node_filter", "clause_chunks"])
+@pytest.mark.parametrize("name", ["node_filter", "clause_chunks", "search_documents"])
 def test_nodes_are_not_shuffled(spark, name):
     """Orders and lines are shuffled to make the texts; nodes, several times as large, were shuffled once more."""
     p = entry.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
