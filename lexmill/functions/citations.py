@@ -34,7 +34,8 @@ def _form() -> str:
     """Number, year and code: a body with its term, or a document type with one or more issuers (joint circulars have several).
     A number of more than three digits counts where the number word introduces it."""
     issuer = r"[-/](?:[A-ZĐƯ]{1,12}\d{0,2}|\d{1,2})"
-    number = rf"(?:\d{{1,3}}|(?<=(?iuU:\b{NUMBER_WORD})\s{{1,4}})\d{{4,}})"
+    word = "".join(f"[{c}{c.upper()}]" for c in NUMBER_WORD)  # spelt out, since flags within a pattern aren't the same in all engines
+    number = rf"(?:\d{{1,3}}|(?<=(?<![\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}]){word}\s{{1,4}})\d{{4,}})"
     return rf"{number}/\d{{4}}/(?:(?:{'|'.join(TERM_CODES)})\d{{1,2}}|(?:{'|'.join(TYPE_CODES)})(?:{issuer})+)"
 
 
