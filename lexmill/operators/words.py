@@ -8,11 +8,13 @@ non-letters, BM25 among it.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import fold_diacritics
@@ -23,29 +25,85 @@ from lexmill.scratch import discard, written
 LONGEST, MIN_COUNT, LEAST = 3, 20, 3.0
 #: entries of a lexicon, at most: those with the largest score times occurrences
 ENTRIES = 200_000
+#: hashes that a task counts at once, and parts of all hashes, by their first bits, that are summed up apart
+CHUNK, PART_BITS = 4_000_000, 10
+HASH_BITS = 32
 #: a letter (modifier apostrophe) that joins the syllables of a word
 JOIN = "ʼ"
 
 
+def _hash(syllables: list[Column]) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(*syllables), 64 - HASH_BITS)
+
+
+def frequent(hashes: DataFrame, least: int) -> DataFrame:
+    """(h): those hashes of HASH_BITS bits, one per row, that come ``least`` times or more.
+
+    Tasks count what they hold in chunks; what is shuffled is a chunk's different hashes as steps from one to the next, with
+    their counts, packed by the parts that are summed up: about two bytes each, where a row for each took twelve."""
+    low = HASH_BITS - PART_BITS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        n = 0
+        for batch in batches:
+            n += batch.num_rows
+            held.append(batch.column(0).to_numpy(zero_copy_only=False).astype(np.uint32))
+            if n >= CHUNK:
+                yield packed(np.concatenate(held))
+                held, n = [], 0
+        if held:
+            yield packed(np.concatenate(held))
+
+    def packed(h: np.ndarray) -> pa.RecordBatch:
+        values, n = np.unique(h, return_counts=True)
+        parts = (values >> np.uint32(low)).astype(np.int64)
+        firsts = np.flatnonzero(np.diff(parts, prepend=-1))
+        bodies = [_packed(v & np.uint32((1 << low) - 1), c.astype(np.uint32)) for v, c in zip(np.split(values, firsts[1:]), np.split(n, firsts[1:]))] if len(firsts) else []
+        return pa.RecordBatch.from_arrays([pa.array(parts[firsts], pa.int32()), pa.array(bodies, pa.binary())], names=["part", "body"])
+
+    def summed(key: tuple, table: pa.Table) -> pa.Table:
+        total: np.ndarray = np.zeros(1 << low, dtype=np.int64)
+        for body in table.column("body"):
+            values, n = _unpacked(body.as_py())
+            total[values] += n
+        return pa.table({"h": pa.array(np.flatnonzero(total >= least) + (key[0].as_py() << low), pa.int64())})
+
+    return hashes.mapInArrow(count, "part int, body binary").groupBy("part").applyInArrow(summed, "h long")
+
+
+def _packed(values: np.ndarray, n: np.ndarray) -> bytes:
+    """Ascending numbers and how often each comes, byte by byte of all steps and counts, so that what is zero in most of them shrinks."""
+    planes = np.stack([np.diff(values, prepend=np.uint32(0)), n]).astype("<u4").view(np.uint8).reshape(2, -1, 4)
+    return zlib.compress(planes.transpose(0, 2, 1).tobytes(), 1)
+
+
+def _unpacked(body: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(zlib.decompress(body), dtype=np.uint8).reshape(2, 4, -1).transpose(0, 2, 1)
+    steps, n = np.ascontiguousarray(planes).view("<u4").reshape(2, -1)
+    return np.cumsum(steps, dtype=np.int64), n
+
+
 def collocations(docs: DataFrame, text_col: str = "text", longest: int = LONGEST, min_count: int = MIN_COUNT, least: float = LEAST) -> DataFrame:
     """(word, n, score) of all runs of two to ``longest`` syllables, parted by blanks, that are words by the bounds; counted over all rows.
 
     score is ln(n * N ** (k - 1) / (n1 * ... * nk)) with N syllables in all and ni occurrences of the i-th. Null texts have none.
 
-    Runs are counted by 64-bit hashes first; only those whose hash comes ``min_count`` times, all words among them, are then
+    Runs are counted by hashes first; only those whose hash comes ``min_count`` times, all words among them, are then
     counted by their letters. The texts are split once; their syllables are read once by themselves and twice for each length of run."""
-    split = written(docs.select(tokens(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("w")), "split")
+    split = written(docs.select(tokens(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("w")), "split", compression="zstd")
     single = written(split.select(F.explode("w").alias("s")).groupBy("s").agg(F.count("*").alias("own")), "syllables")
     total = single.agg(F.sum("own").alias("total"))
 
     def runs(k: int) -> DataFrame:
         at = lambda i: [F.get("w", i + j) for j in range(k)]
-        each = F.transform(F.sequence(F.lit(0), F.size("w") - k), lambda i: F.struct(F.xxhash64(*at(i)).alias("h"), *(x.alias(f"s{j}") for j, x in enumerate(at(i)))))
+        each = F.transform(F.sequence(F.lit(0), F.size("w") - k), lambda i: F.struct(_hash(at(i)).alias("h"), *(x.alias(f"s{j}") for j, x in enumerate(at(i)))))
         return split.filter(F.size("w") >= k).select(F.inline(each))
 
     counts = []
     for k in range(2, longest + 1):
-        often = written(runs(k).groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= min_count).select("h"), "often")
+        hashes = F.transform(F.sequence(F.lit(0), F.size("w") - k), lambda i: _hash([F.get("w", i + j) for j in range(k)]))
+        often = written(frequent(split.filter(F.size("w") >= k).select(F.explode(hashes).alias("h")), min_count), "often")
         names = [f"s{j}" for j in range(k)]
         found = runs(k).join(often, "h", "left_semi").groupBy(*names).agg(F.count("*").alias("n")).filter(F.col("n") >= min_count)
         counts.append(found.select(F.concat_ws(" ", *names).alias("word"), F.lit(k).alias("k"), "n"))

@@ -2,6 +2,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from lexmill.operators import words
@@ -62,3 +63,24 @@ def test_runs_are_counted_once(spark):
     found = words.collocations(docs, min_count=2, least=-9.0)
     assert {(r["word"], r["n"]) for r in found.collect()} == {("a b", 3), ("b a", 3), ("a b a", 2), ("b a b", 2)}
     assert "Generate" not in found._jdf.queryExecution().executedPlan().toString().replace("Generate explode(split(", "")
+
+
+def test_hashes_are_counted_in_packed_chunks(spark, monkeypatch):
+    """A row for each hash and task was shuffled; counts over several chunks and tasks add up."""
+    monkeypatch.setattr(words, "CHUNK", 1000)
+    rng = random.Random(4)
+    values = [0, (1 << 32) - 1, 7, 1 << 22, *(rng.randrange(1 << 32) for _ in range(3000))]
+    rows = [(v,) for i, v in enumerate(values) for _ in range(300 if i < 4 else 1 + i % 25)]
+    rng.shuffle(rows)
+    hashes = spark.createDataFrame(rows, "h long").repartition(3)
+    counts = Counter(v for (v,) in rows)
+    for least in (1, 20, 300, 301):
+        assert sorted(r["h"] for r in words.frequent(hashes, least).collect()) == sorted(v for v, n in counts.items() if n >= least)
+    assert words.frequent(hashes.limit(0), 1).isEmpty()
+    assert "HashAggregate" not in words.frequent(hashes, 2)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_packed_steps():
+    v, n = np.array([0, 1, 5, (1 << 22) - 1], dtype=np.uint32), np.array([1, 70_000, 2, 1], dtype=np.uint32)
+    got = words._unpacked(words._packed(v, n))
+    assert got[0].tolist() == v.tolist() and got[1].tolist() == n.tolist()
