@@ -28,6 +28,8 @@ ENTRIES = 200_000
 #: hashes that a task counts at once, and parts of all hashes, by their first bits, that are summed up apart
 CHUNK, PART_BITS = 4_000_000, 10
 HASH_BITS = 32
+#: bits of the table of frequent hashes, 16 MB whatever the texts, that goes to every worker: one for each 32 hashes
+TABLE_BITS = 27
 #: a letter (modifier apostrophe) that joins the syllables of a word
 JOIN = "ʼ"
 
@@ -36,8 +38,9 @@ def _hash(syllables: list[Column]) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*syllables), 64 - HASH_BITS)
 
 
-def frequent(hashes: DataFrame, least: int) -> DataFrame:
-    """(h): those hashes of HASH_BITS bits, one per row, that come ``least`` times or more.
+def frequent(hashes: DataFrame, least: int) -> np.ndarray:
+    """A table of 2 ** TABLE_BITS bits, told by a hash's first bits, in which all hashes of HASH_BITS bits, one per row, are marked
+    that come ``least`` times or more; ``marked`` reads it. Others that share a bit with one are marked with it.
 
     Tasks count what they hold in chunks; what is shuffled is a chunk's different hashes as steps from one to the next, with
     their counts, packed by the parts that are summed up: about two bytes each, where a row for each took twelve."""
@@ -67,9 +70,37 @@ def frequent(hashes: DataFrame, least: int) -> DataFrame:
         for body in table.column("body"):
             values, n = _unpacked(body.as_py())
             total[values] += n
-        return pa.table({"h": pa.array(np.flatnonzero(total >= least) + (key[0].as_py() << low), pa.int64())})
+        bits = np.packbits((total >= least).reshape(-1, 1 << (HASH_BITS - TABLE_BITS)).any(axis=1), bitorder="little")
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([bits.tobytes()], pa.binary())})
 
-    return hashes.mapInArrow(count, "part int, body binary").groupBy("part").applyInArrow(summed, "h long")
+    out = np.zeros((1 << PART_BITS, 1 << (TABLE_BITS - PART_BITS - 3)), dtype=np.uint8)
+    for r in hashes.mapInArrow(count, "part int, body binary").groupBy("part").applyInArrow(summed, "part int, bits binary").collect():
+        out[r["part"]] = np.frombuffer(r["bits"], dtype=np.uint8)
+    return out.ravel()
+
+
+def marked(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether each hash's bit is set."""
+    at = hashes >> (HASH_BITS - TABLE_BITS)
+    return table[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
+
+
+def _places(rows: DataFrame, table: np.ndarray) -> DataFrame:
+    """(w, at) of rows (w, h): the places from 0 at which the hashes of an array are marked. The table goes to every worker; nothing is shuffled."""
+    shared = rows.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column(1)
+            sizes = h.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            hit = marked(shared.value, h.flatten().to_numpy(zero_copy_only=False))
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            place = np.arange(len(hit)) - np.repeat(ends[:-1], sizes)
+            before = np.concatenate([[0], np.cumsum(hit)])[ends]
+            at = pa.ListArray.from_arrays(pa.array(before, pa.int32()), pa.array(place[hit], pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), at], names=["w", "at"])
+
+    return rows.mapInArrow(run, "w array<string>, at array<int>")
 
 
 def _packed(values: np.ndarray, n: np.ndarray) -> bytes:
@@ -89,23 +120,20 @@ def collocations(docs: DataFrame, text_col: str = "text", longest: int = LONGEST
 
     score is ln(n * N ** (k - 1) / (n1 * ... * nk)) with N syllables in all and ni occurrences of the i-th. Null texts have none.
 
-    Runs are counted by hashes first; only those whose hash comes ``min_count`` times, all words among them, are then
-    counted by their letters. The texts are split once; their syllables are read once by themselves and twice for each length of run."""
+    Runs are counted by hashes first; only those whose hash is marked as one that comes ``min_count`` times, all words among
+    them, are then counted by their letters, where they stand: no join shuffles the runs. The texts are split once; their syllables are read once by themselves and twice for each length of run."""
     split = written(docs.select(tokens(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("w")), "split", compression="zstd")
     single = written(split.select(F.explode("w").alias("s")).groupBy("s").agg(F.count("*").alias("own")), "syllables")
     total = single.agg(F.sum("own").alias("total"))
 
-    def runs(k: int) -> DataFrame:
-        at = lambda i: [F.get("w", i + j) for j in range(k)]
-        each = F.transform(F.sequence(F.lit(0), F.size("w") - k), lambda i: F.struct(_hash(at(i)).alias("h"), *(x.alias(f"s{j}") for j, x in enumerate(at(i)))))
-        return split.filter(F.size("w") >= k).select(F.inline(each))
-
     counts = []
     for k in range(2, longest + 1):
         hashes = F.transform(F.sequence(F.lit(0), F.size("w") - k), lambda i: _hash([F.get("w", i + j) for j in range(k)]))
-        often = written(frequent(split.filter(F.size("w") >= k).select(F.explode(hashes).alias("h")), min_count), "often")
+        long = split.filter(F.size("w") >= k)
+        table = frequent(long.select(F.explode(hashes).alias("h")), min_count)
         names = [f"s{j}" for j in range(k)]
-        found = runs(k).join(often, "h", "left_semi").groupBy(*names).agg(F.count("*").alias("n")).filter(F.col("n") >= min_count)
+        runs = _places(long.select("w", hashes.alias("h")), table).select("w", F.explode("at").alias("at"))
+        found = runs.select(*(F.get("w", F.col("at") + j).alias(s) for j, s in enumerate(names))).groupBy(*names).agg(F.count("*").alias("n")).filter(F.col("n") >= min_count)
         counts.append(found.select(F.concat_ws(" ", *names).alias("word"), F.lit(k).alias("k"), "n"))
     counts = written(reduce(DataFrame.unionByName, counts), "runs")
     discard(split)

@@ -75,9 +75,18 @@ def test_hashes_are_counted_in_packed_chunks(spark, monkeypatch):
     hashes = spark.createDataFrame(rows, "h long").repartition(3)
     counts = Counter(v for (v,) in rows)
     for least in (1, 20, 300, 301):
-        assert sorted(r["h"] for r in words.frequent(hashes, least).collect()) == sorted(v for v, n in counts.items() if n >= least)
-    assert words.frequent(hashes.limit(0), 1).isEmpty()
-    assert "HashAggregate" not in words.frequent(hashes, 2)._jdf.queryExecution().executedPlan().toString()
+        table, want = words.frequent(hashes, least), [v for v, n in counts.items() if n >= least]
+        assert words.marked(table, np.array(want, dtype=np.int64)).all() and np.unpackbits(table).sum() == len({v >> 5 for v in want})
+    assert not words.frequent(hashes.limit(0), 1).any()
+
+
+def test_runs_are_not_joined(spark, monkeypatch):
+    """The join with frequent hashes shuffled all runs where the hashes were too many for a broadcast."""
+    plans = []
+    monkeypatch.setattr(words, "written", lambda df, name, **o: (plans.append((name, df._jdf.queryExecution().executedPlan().toString())), df)[1])
+    monkeypatch.setattr(words, "discard", lambda *t: None)
+    words.collocations(spark.createDataFrame([("a b c " * 50,)], "text string"))
+    assert "Join" not in dict(plans)["runs"] and "HashAggregate" in dict(plans)["runs"]
 
 
 def test_packed_steps():
